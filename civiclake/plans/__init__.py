@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("council_tax", "repairs", "social_care", "dashboard")
+MODULES = ("council_tax", "repairs", "social_care", "dashboard", "properties", "quality", "linkage")
 
 
 def load_all() -> None:
