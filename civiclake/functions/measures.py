@@ -17,6 +17,11 @@ def divide(numerator: Column, denominator: Column, otherwise: float | None = 0.0
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(otherwise))
 
 
+def day(value: str | Column) -> Column:
+    """A reporting day given as ISO text or as an expression."""
+    return F.lit(value).cast("date") if isinstance(value, str) else value
+
+
 def rows() -> Column:
     return F.count(F.lit(1))
 

@@ -11,6 +11,9 @@ from civiclake.operators.linkage.compare import COPIES, ID, Comparison, Linkage
 from civiclake.operators.skew import pairs_within
 
 
+SMALL_BLOCK = 64
+
+
 def in_block(found: DataFrame, rule: Sequence[str]) -> DataFrame:
     """Profiles with all blocking columns present; NULL never blocks."""
     return found.dropna(subset=list(rule))
@@ -29,12 +32,20 @@ def carried(found: DataFrame) -> list[str]:
     return [c for c in found.columns if c != ID]
 
 
-def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> DataFrame:
-    """Pairs of a block that agree at least a little on some column outside the rule.
+def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK) -> DataFrame:
+    """Pairs of a block, complete for those that agree at least a little outside the rule.
 
-    Joined on (block, token): see ``Comparison.tokens``. A pair may share several
-    tokens, so pairs are made distinct before anything is compared.
+    Blocks of up to ``small`` profiles are paired in full, which costs each profile at
+    most ``small`` pairs. Larger blocks are joined on (block, token), see
+    ``Comparison.tokens``, so dissimilar pairs are never formed there; a pair may share
+    several tokens and is made distinct before anything is compared.
     """
+    rows = in_block(found, rule)
+    large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
+    sized = rows.join(large, list(rule), "left")
+    few = sized.where("_n is null").drop("_n")
+    many = sized.where("_n is not null").drop("_n")
+
     free = linkage.outside(rule)
     longest = longest_value(found, free)
     marks = F.flatten(F.array(*[
@@ -43,15 +54,22 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> Da
             F.array().cast("array<string>"))
         for i, c in enumerate(free)
     ]))
-    rows = in_block(found, rule).withColumn("_block", F.to_json(F.struct(*rule))).withColumn("_token", F.explode(marks))
-    pairs = pairs_within(rows, ["_block", "_token"], ID, carried(found))
-    return pairs.drop("_block", "_token").distinct()
+    marked = many.withColumn("_token", F.explode(marks))
+    similar = pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule)
+    return plain_pairs(few, rule, found).unionByName(similar.drop("_token").distinct())
+
+
+def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame) -> DataFrame:
+    """All pairs of each block by one self-join."""
+    left = rows.select(*rule, *[F.col(c).alias(f"{c}_l") for c in found.columns])
+    right = rows.select(*rule, *[F.col(c).alias(f"{c}_r") for c in found.columns])
+    joined = left.join(right, list(rule)).where(F.col(f"{ID}_l") < F.col(f"{ID}_r"))
+    return joined.select(*[f"{c}_{side}" for c in found.columns for side in ("l", "r")])
 
 
 def all_pairs(found: DataFrame, rule: Sequence[str]) -> DataFrame:
     """Every pair of a block, for blocks that need no further agreement to match."""
-    rows = in_block(found, rule).withColumn("_block", F.to_json(F.struct(*rule)))
-    return pairs_within(rows, ["_block"], ID, carried(found)).drop("_block")
+    return pairs_within(in_block(found, rule), list(rule), ID, carried(found), drop=rule)
 
 
 def with_levels(pairs: DataFrame, linkage: Linkage) -> DataFrame:

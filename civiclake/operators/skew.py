@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pairs_within(rows: DataFrame, keys: Sequence[str], id_col: str, values: Sequence[str], chunk: int = 1000) -> DataFrame:
+def pairs_within(rows: DataFrame, keys: Sequence[str], id_col: str, values: Sequence[str], chunk: int = 1000,
+                 drop: Sequence[str] = ()) -> DataFrame:
     """Pairs of rows that agree on ``keys``, as columns ``<c>_l``/``<c>_r`` with the smaller id on the left.
 
+    ``drop`` names the keys to leave out of the result (``values`` may repeat them).
+
     A group larger than ``chunk`` is cut into chunks and its pairs into a triangle of
     chunk x chunk cells, each joined on its own, so no task meets more than
     ``chunk`` x ``chunk`` pairs of one group. Every pair falls into exactly one cell.
@@ -34,4 +37,4 @@ def pairs_within(rows: DataFrame, keys: Sequence[str], id_col: str, values: Sequ
         F.when(swap, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}")).alias(f"{c}_{a}")
         for c in carried for a, b in (("l", "r"), ("r", "l"))
     ]
-    return joined.select(*keys, *ordered)
+    return joined.select(*[k for k in keys if k not in drop], *ordered)

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("council_tax", "repairs", "social_care", "dashboard", "properties", "quality", "linkage")
+MODULES = (
+    "council_tax", "repairs", "social_care", "dashboard", "properties", "quality", "linkage", "governance", "storage", "streams",
+)
 
 
 def load_all() -> None:

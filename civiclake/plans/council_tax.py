@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclake.functions import text
-from civiclake.functions.measures import MONEY, arrears_band, days_between, divide, money, rows, rows_where
+from civiclake.functions.measures import MONEY, arrears_band, day, days_between, divide, money, rows, rows_where
 from civiclake.operators import current, timeline
 from civiclake.plans.registry import query
 from civiclake.sources.domain import AS_OF, read, table
 
-TODAY = F.lit(AS_OF).cast("date")
-
-
-def collection_summary(accounts: DataFrame, wards: DataFrame, today=TODAY) -> DataFrame:
+def collection_summary(accounts: DataFrame, wards: DataFrame, today=AS_OF) -> DataFrame:
     """Collection figures per ward and band.
 
     Aggregated before the ward names are joined, so the join touches a few hundred rows.
@@ -25,7 +22,7 @@ def collection_summary(accounts: DataFrame, wards: DataFrame, today=TODAY) -> Da
         money("annual_charge").alias("liability"),
         money("balance_outstanding").alias("outstanding"),
         rows_where(paid_up).alias("accounts_paid_up"),
-        F.avg(days_between("liable_start", today)).alias("avg_days_since_start"),
+        F.avg(days_between("liable_start", day(today))).alias("avg_days_since_start"),
     )
     return per_group.join(wards.select("ward_code", "ward_name"), "ward_code", "left").select(
         "ward_code", "band", "ward_name", "total_accounts",
@@ -53,14 +50,14 @@ def ct_collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection_summary(table(spark, sf_dir, "accounts"), table(spark, sf_dir, "wards"))
 
 
-def source_extract(accounts: DataFrame, properties: DataFrame, today=TODAY) -> DataFrame:
+def source_extract(accounts: DataFrame, properties: DataFrame, today=AS_OF) -> DataFrame:
     """This year's accounts with the address of their property."""
     homes = properties.select(
         F.col("property_reference").alias("property_ref"), F.col("address_1").alias("address_line_1"),
         "postcode", "ward_code",
     )
     return (
-        accounts.where(F.col("year") == F.year(today))
+        accounts.where(F.col("year") == F.year(day(today)))
         .select("account_ref", "property_ref", "liable_name", "liable_start", "band", "annual_charge",
                 "balance_outstanding")
         .join(homes, "property_ref")
@@ -115,7 +112,7 @@ def ct_dedupe_latest(spark, sf_dir):
     return newest.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
-def order_states(spark: SparkSession, sf_dir: str, when) -> DataFrame:
+def order_states(spark: SparkSession, sf_dir: str, when: str) -> DataFrame:
     """Newest order of each customer among the orders meeting ``when``: a feed of account states."""
     orders = read(spark, sf_dir, "orders").where(when)
     newest = current.latest_per_key(orders, ["o_custkey"], ["o_orderdate"], ["o_orderkey"])
@@ -132,8 +129,8 @@ ORDER_STATES_SQL = """
     states as (select o_custkey as account_key, o_orderstatus as state, o_orderpriority as band,
         o_totalprice as charge, cast(o_orderdate as date) as changed_on, fresh from latest where rn = 1)"""
 
-SPLIT_DAY = F.lit("2000-01-01").cast("timestamp_ntz")
-EARLIER, LATER = F.col("o_orderdate") < SPLIT_DAY, F.col("o_orderdate") >= SPLIT_DAY
+EARLIER = "o_orderdate < timestamp_ntz'2000-01-01'"
+LATER = "o_orderdate >= timestamp_ntz'2000-01-01'"
 
 
 @query("ct_upsert", f"""
@@ -297,8 +294,8 @@ def ct_filters(spark, sf_dir):
     """Equality, list, not-null, current-year and trailing-years filters together."""
     accounts = table(spark, sf_dir, "accounts")
     return accounts.where(
-        (F.col("status") == "Active") & (F.col("year") == F.year(TODAY)) & F.col("band").isin("A", "B", "C")
-        & F.col("forename").isNotNull() & (F.col("liable_start") >= F.add_months(TODAY, -72))
+        (F.col("status") == "Active") & (F.col("year") == F.year(day(AS_OF))) & F.col("band").isin("A", "B", "C")
+        & F.col("forename").isNotNull() & (F.col("liable_start") >= F.add_months(day(AS_OF), -72))
     ).select("account_ref", "property_ref", "band", "liable_start")
 
 
@@ -323,7 +320,7 @@ def cts_scalar_battery(spark, sf_dir):
         F.round(c("annual_charge").cast(MONEY) * F.lit(0.75).cast("decimal(3,2)"), 2).cast("double").alias("award"),
         F.year("liable_start").alias("start_year"), F.add_months("liable_start", 12).alias("year_later"),
         F.try_to_date("start_date", "yyyy-MM-dd").alias("parsed_start"), F.trunc("liable_start", "MM").alias("start_month"),
-        days_between("liable_start", TODAY).cast("long").alias("days_liable"),
+        days_between("liable_start", day(AS_OF)).cast("long").alias("days_liable"),
         F.coalesce(F.nullif("title", F.lit("")), F.lit("(none)")).alias("shown_title"),
         text.contains_folded("liable_name", "son").alias("has_son"),
     )

@@ -13,6 +13,7 @@ from civiclake.operators.linkage.pairs import pattern_counts
 from civiclake.operators.linkage.predict import review_queue, summary
 from civiclake.plans import social_care
 from civiclake.plans.registry import query
+from civiclake.session import materialise
 from civiclake.sources.domain import table
 
 # Comparison thresholds, blocking rules, cut-offs and day lengths of the person model.
@@ -64,7 +65,7 @@ def compared(people: DataFrame) -> DataFrame:
 
 def _people(spark, sf_dir):
     records = compared(persons(spark, sf_dir))
-    return records, lk.profiles(records, PEOPLE, "person_id")
+    return records, materialise(lk.profiles(records, PEOPLE, "person_id"), "profiles")
 
 
 RECORDS_SQL = """
@@ -257,7 +258,7 @@ def link_predict(spark, sf_dir):
 
 def _given_pairs(spark, sf_dir):
     records, found = _people(spark, sf_dir)
-    return records, found, lk.predict(found, PEOPLE, GIVEN, PREDICT_AT)
+    return records, found, materialise(lk.predict(found, PEOPLE, GIVEN, PREDICT_AT), "pairs")
 
 
 @query("link_scored", f"""
@@ -299,10 +300,10 @@ def link_summary(spark, sf_dir):
 def referral_clusters(spark, sf_dir) -> DataFrame:
     """``(referral_id, person_cluster_id)`` from the trained referral model."""
     records = social_care.pseudonymised(table(spark, sf_dir, "referrals")).select("referral_id", *REFERRALS.columns)
-    found = lk.profiles(records, REFERRALS, "referral_id")
+    found = materialise(lk.profiles(records, REFERRALS, "referral_id"), "profiles")
     u = lk.estimate_u(records, REFERRALS, "referral_id", 2e5)
     model = lk.estimate_m(found, REFERRALS, u, REFERRAL_TRAINING, rounds=10, tolerance=1e-3)
-    pairs = lk.predict(found, REFERRALS, model, REFERRAL_PREDICT_AT)
+    pairs = materialise(lk.predict(found, REFERRALS, model, REFERRAL_PREDICT_AT), "pairs")
     named = lk.cluster_records(records, found, REFERRALS, model, pairs, REFERRAL_CLUSTER_AT, "referral_id")
     return named.withColumnRenamed("cluster_id", "person_cluster_id")
 

@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from civiclake.functions import text
+from civiclake.functions.measures import day
 from civiclake.operators import quality
 from civiclake.plans.properties import STAGED_SQL, staged
 from civiclake.plans.registry import query
 from civiclake.sources.domain import AS_OF, read, table
 
-TODAY = F.lit(AS_OF).cast("date")
-
 # The reference ward set holds codes up to ...1099; later codes are genuine failures.
 WARD_LIMIT = "E05001099"
 
 
 def suite(spark, sf_dir) -> quality.Suite:
     known = table(spark, sf_dir, "wards").where(F.col("ward_code") <= WARD_LIMIT).select("ward_code")
-    return quality.council_tax_suite(known, TODAY)
+    return quality.council_tax_suite(known, day(AS_OF))
 
 
 RULES_SQL = r"""

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.functions.measures import days_between, divide, money, percent, rows, rows_where, share, sla_days
+from civiclake.functions.measures import day, days_between, divide, money, percent, rows, rows_where, share, sla_days
 from civiclake.operators import current, timeline
 from civiclake.plans.registry import query
 from civiclake.sources.domain import AS_OF, read, table
 
-TODAY = F.lit(AS_OF).cast("date")
-
 ENRICHED_SQL = """
     enriched as (select r.*, p.ward_code, w.ward_name,
         case priority when 'Emergency' then 1 when 'Urgent' then 5 else 28 end as sla_days,
@@ -22,14 +20,14 @@ ENRICHED_SQL = """
       left join wards w on w.ward_code = p.ward_code)"""
 
 
-def with_sla(repairs: DataFrame, today=TODAY) -> DataFrame:
+def with_sla(repairs: DataFrame, today=AS_OF) -> DataFrame:
     """SLA limit, days taken (open repairs age until ``today``) and whether the limit was met."""
-    taken = days_between("reported_date", F.coalesce("completed_date", today))
+    taken = days_between("reported_date", F.coalesce("completed_date", day(today)))
     limit = sla_days("priority")
     return repairs.withColumns({"sla_days": limit, "turnaround_days": taken, "sla_met": taken <= limit})
 
 
-def enrich(repairs: DataFrame, properties: DataFrame, wards: DataFrame, today=TODAY) -> DataFrame:
+def enrich(repairs: DataFrame, properties: DataFrame, wards: DataFrame, today=AS_OF) -> DataFrame:
     homes = properties.select(F.col("property_reference").alias("property_ref"), "ward_code")
     named = homes.join(wards.select("ward_code", "ward_name"), "ward_code", "left")
     return with_sla(repairs, today).join(named, "property_ref", "left")

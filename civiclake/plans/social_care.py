@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.functions import text
-from civiclake.functions.measures import days_between, divide, percent, rows, rows_where
+from civiclake.functions.measures import day, days_between, divide, percent, rows, rows_where
 from civiclake.operators import current, timeline
 from civiclake.plans.registry import query
-from civiclake.sources.domain import REFERRAL_AS_OF, table
+from civiclake.sources.domain import REFERRAL_AS_OF, read, table
 
-TODAY = F.lit(REFERRAL_AS_OF).cast("date")
-
-
-def pseudonymised(referrals: DataFrame, today=TODAY, years: int = 3, salt: str = "") -> DataFrame:
+def pseudonymised(referrals: DataFrame, today=REFERRAL_AS_OF, years: int = 3, salt: str = "") -> DataFrame:
     """Referrals of the last ``years`` years with the identifier hashed and the postcode cut to its area."""
-    recent = referrals.where(F.col("contact_date") >= F.add_months(today, -12 * years))
+    recent = referrals.where(F.col("contact_date") >= F.add_months(day(today), -12 * years))
     return recent.select(
         "referral_id", "contact_date", "referral_source", "primary_support_reason", "age_band", "gender",
         text.pseudonym("nhs_number", salt).alias("nhs_number_hash"),
@@ -24,7 +21,7 @@ def pseudonymised(referrals: DataFrame, today=TODAY, years: int = 3, salt: str =
     )
 
 
-def demand(referrals: DataFrame, person: str, today=TODAY) -> DataFrame:
+def demand(referrals: DataFrame, person: str, today=REFERRAL_AS_OF) -> DataFrame:
     """Monthly demand per ward and support reason; ``person`` identifies distinct people."""
     people = F.count_distinct(person)
     return referrals.groupBy(
@@ -32,7 +29,7 @@ def demand(referrals: DataFrame, person: str, today=TODAY) -> DataFrame:
     ).agg(
         people.alias("unique_people"), rows().alias("total_referrals"),
         F.round(divide(rows(), people, None), 2).alias("avg_referrals_per_person"),
-        F.round(F.avg(days_between("contact_date", F.coalesce("assessment_date", today))), 4)
+        F.round(F.avg(days_between("contact_date", F.coalesce("assessment_date", day(today)))), 4)
         .alias("avg_days_to_assessment"),
         F.round(percent(F.col("outcome") == "Service Provided"), 4).alias("conversion_rate_pct"),
     )
@@ -98,7 +95,7 @@ def _with_retention(spark, sf_dir) -> DataFrame:
     select referral_id, contact_date, outcome from referrals
     where not coalesce(contact_date + to_months(12 * ({RETENTION_SQL})) < DATE '2024-02-29', false)""")
 def retention_purge(spark, sf_dir):
-    kept = current.purge(_with_retention(spark, sf_dir), "contact_date", "_retention_years", TODAY)
+    kept = current.purge(_with_retention(spark, sf_dir), "contact_date", "_retention_years", day(REFERRAL_AS_OF))
     return kept.select("referral_id", "contact_date", "outcome")
 
 
@@ -107,7 +104,7 @@ def retention_purge(spark, sf_dir):
                from referrals)
     select outcome, count(*) filter (where gone) as purged, count(*) filter (where not gone) as kept from g group by 1""")
 def retention_audit(spark, sf_dir):
-    return current.purge_audit(_with_retention(spark, sf_dir), "contact_date", "_retention_years", TODAY, ["outcome"])
+    return current.purge_audit(_with_retention(spark, sf_dir), "contact_date", "_retention_years", day(REFERRAL_AS_OF), ["outcome"])
 
 
 @query("bronze_as_of", """
@@ -116,8 +113,6 @@ def retention_audit(spark, sf_dir):
       from events where ts <= TIMESTAMP '2024-01-15 00:00:00') where rn = 1""")
 def bronze_as_of(spark, sf_dir):
     """Latest event per user as it stood on 15 January."""
-    from civiclake.sources.domain import read
-
     moment = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     state = current.as_of(read(spark, sf_dir, "events"), ["user_id"], moment, "ts", [F.col("event_id").desc()])
     return state.select("user_id", "event_id", "event_type", "value")

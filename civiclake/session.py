@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the library relies on. Sizes that depend on the cluster
 #: (shuffle partitions, executor memory) stay with the person who submits the job.
@@ -55,7 +55,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder unless the cluster did so already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and no executor holds the only copy.
+
+    Unlike a checkpoint it is computed once, stays columnar and gives Spark its size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
