@@ -32,18 +32,19 @@ def jaro_winkler_pair(a: str, b: str) -> float:
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
+    open_b: list[str | None] = list(b)
     from_a = []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if b[j] == ch and not taken[j]:
-                taken[j] = True
-                from_a.append(ch)
-                break
+        try:
+            j = open_b.index(ch, max(0, i - reach), i + reach + 1)
+        except ValueError:
+            continue
+        open_b[j] = None
+        from_a.append(ch)
     m = len(from_a)
     if m == 0:
         return 0.0
-    from_b = [ch for ch, hit in zip(b, taken) if hit]
+    from_b = [ch for ch, left in zip(b, open_b) if left is None]
     moved = sum(x != y for x, y in zip(from_a, from_b)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     if jaro <= BOOST_ABOVE:
@@ -89,42 +90,49 @@ def _least_jaro(threshold: float) -> float:
     return max(min(threshold, BOOST_ABOVE), (threshold - most) / (1 - most))
 
 
-# Letters from rare to common in English names; the order only steers how selective the tokens are.
+# Letters from rare to common in English names. Repeats of a letter count as rarer still. The order
+# only steers how selective the tokens are.
 _RARE_FIRST = {c: i for i, c in enumerate("JQXZKVBPYGFWMUCLDRHSNIOATE")}
 
 
-def letter_tokens(value: str, threshold: float, longest: int) -> list[str]:
-    """Prefix-filter tokens for Jaro-Winkler >= ``threshold`` against values of up to ``longest`` characters.
+def letter_tokens(value: str, threshold: float, lengths: list[int]) -> list[str]:
+    """Prefix-filter tokens for Jaro-Winkler >= ``threshold`` against values of the given ``lengths``.
 
     A Jaro score s over lengths p and q needs m common letters with m/p + m/q >= 3s - 1.
     Two bags of letters with at least m in common share one among the first
     (length - m + 1) of each, in any fixed letter order. Tokens carry both lengths,
-    because m depends on them.
+    because m depends on them. Without a common first letter the Jaro score itself must
+    reach the threshold; with one, a lower score may do, and the token names the letter.
     """
     n = len(value)
-    need = 3 * _least_jaro(threshold) - 1
+    if n == 0:
+        return []
     seen: dict[str, int] = {}
     tagged = []
     for ch in value:
         seen[ch] = seen.get(ch, 0) + 1
-        tagged.append((_RARE_FIRST.get(ch, -1), ch, seen[ch]))
+        tagged.append((-seen[ch], _RARE_FIRST.get(ch, -1), ch))
     tagged.sort()
     tokens = []
-    for other in range(1, longest + 1):
-        common = max(1, math.ceil(need * n * other / (n + other) - 1e-9))
-        if n == 0 or common > min(n, other):
-            continue
-        tokens += [f"{min(n, other)}.{max(n, other)}.{ch}{k}" for _, ch, k in tagged[: n - common + 1]]
+    for jaro, family in ((threshold, ""), (_least_jaro(threshold), value[0])):
+        need = 3 * jaro - 1
+        for other in lengths:
+            if other == 0:
+                continue
+            common = max(1, math.ceil(need * n * other / (n + other) - 1e-9))
+            if common <= min(n, other):
+                pair = f"{family}.{min(n, other)}.{max(n, other)}."
+                tokens += [f"{pair}{ch}{-k}" for k, _, ch in tagged[: n - common + 1]]
     return tokens
 
 
-def jaro_winkler_tokens(c: str | Column, threshold: float, longest: int) -> Column:
+def jaro_winkler_tokens(c: str | Column, threshold: float, lengths: list[int]) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
         for values in batches:
             yield pd.Series([
-                None if v is None else remember(memo, v, lambda: letter_tokens(v, threshold, longest)) for v in values
+                None if v is None else remember(memo, v, lambda: letter_tokens(v, threshold, lengths)) for v in values
             ], dtype="object")
 
     return tokens(col(c))

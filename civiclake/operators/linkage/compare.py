@@ -47,10 +47,10 @@ class Comparison:
                 agree = agree.when(condition, self.top - 1 - step)
         return agree.otherwise(0)
 
-    def tokens(self, longest: int) -> Column:
+    def tokens(self, lengths: list[int]) -> Column:
         """Array of strings; two values on a level above 0 always share an element."""
         if self.kind == "jaro_winkler":
-            return similarity.jaro_winkler_tokens(self.column, self.thresholds[-1], longest)
+            return similarity.jaro_winkler_tokens(self.column, self.thresholds[-1], lengths)
         if self.kind == "levenshtein":
             return similarity.edit_tokens(self.column, int(self.thresholds[-1]))
         if self.kind == "date":

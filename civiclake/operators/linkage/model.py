@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.operators.linkage.compare import COPIES, Comparison, Linkage
+from civiclake.operators.linkage.compare import Comparison, Linkage
 from civiclake.operators.linkage.pairs import pattern_counts, with_levels
 from civiclake.operators.skew import pairs_within
 

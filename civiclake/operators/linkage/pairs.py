@@ -11,7 +11,7 @@ from civiclake.operators.linkage.compare import COPIES, ID, Comparison, Linkage
 from civiclake.operators.skew import pairs_within
 
 
-SMALL_BLOCK = 64
+SMALL_BLOCK = 256  # profiles
 
 
 def in_block(found: DataFrame, rule: Sequence[str]) -> DataFrame:
@@ -19,44 +19,51 @@ def in_block(found: DataFrame, rule: Sequence[str]) -> DataFrame:
     return found.dropna(subset=list(rule))
 
 
-def longest_value(found: DataFrame, comparisons: Sequence[Comparison]) -> int:
-    """Longest text any fuzzy comparison will meet: one number."""
-    lengths = [F.max(F.length(c.column)) for c in comparisons if c.kind == "jaro_winkler"]
-    if not lengths:
-        return 0
-    row = found.agg(*[n.alias(f"n{i}") for i, n in enumerate(lengths)]).first()
-    return max([n for n in row if n is not None], default=0)
+def value_lengths(found: DataFrame, comparisons: Sequence[Comparison]) -> list[int]:
+    """The distinct lengths of the texts compared by Jaro-Winkler: a handful of numbers."""
+    fuzzy = [F.length(c.column) for c in comparisons if c.kind == "jaro_winkler"]
+    if not fuzzy:
+        return []
+    rows = found.select(F.explode(F.array(*fuzzy)).alias("n")).where("n > 0").distinct().collect()
+    return sorted(r["n"] for r in rows)
 
 
 def carried(found: DataFrame) -> list[str]:
     return [c for c in found.columns if c != ID]
 
 
-def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK) -> DataFrame:
+def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK,
+                  whole: Column | None = None) -> DataFrame:
     """Pairs of a block, complete for those that agree at least a little outside the rule.
 
     Blocks of up to ``small`` profiles are paired in full, which costs each profile at
     most ``small`` pairs. Larger blocks are joined on (block, token), see
     ``Comparison.tokens``, so dissimilar pairs are never formed there; a pair may share
-    several tokens and is made distinct before anything is compared.
+    several tokens and is made distinct before anything is compared. Blocks for which
+    ``whole`` holds need every pair whatever their size.
     """
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
+    if large.isEmpty():
+        return plain_pairs(rows, rule, found)
     sized = rows.join(large, list(rule), "left")
-    few = sized.where("_n is null").drop("_n")
+    pairs = plain_pairs(sized.where("_n is null").drop("_n"), rule, found)
     many = sized.where("_n is not null").drop("_n")
+    if whole is not None:
+        pairs = pairs.unionByName(all_pairs(many.where(whole), rule))
+        many = many.where(~whole)
 
     free = linkage.outside(rule)
-    longest = longest_value(found, free)
+    lengths = value_lengths(many, free)
     marks = F.flatten(F.array(*[
         F.coalesce(
-            F.transform(c.tokens(longest), lambda t, i=i: F.concat(F.lit(f"{i}:"), t)),
+            F.transform(c.tokens(lengths), lambda t, i=i: F.concat(F.lit(f"{i}:"), t)),
             F.array().cast("array<string>"))
         for i, c in enumerate(free)
     ]))
     marked = many.withColumn("_token", F.explode(marks))
     similar = pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule)
-    return plain_pairs(few, rule, found).unionByName(similar.drop("_token").distinct())
+    return pairs.unionByName(similar.drop("_token").distinct())
 
 
 def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame) -> DataFrame:

@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.operators.components import connected_components
-from civiclake.operators.linkage.compare import COPIES, ID, Linkage
+from civiclake.operators.linkage.compare import ID, Linkage
 from civiclake.operators.linkage.model import Model, probability, threshold_bits
-from civiclake.operators.linkage.pairs import all_pairs, first_rule, in_block, similar_pairs, with_levels
+from civiclake.operators.linkage.pairs import SMALL_BLOCK, first_rule, similar_pairs, with_levels
 
 
-def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float) -> DataFrame:
+def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
+            small: int = SMALL_BLOCK) -> DataFrame:
     """Profile pairs whose match probability reaches ``threshold``, each once.
 
-    In most blocks a pair must agree on something outside the rule to get there, so only
-    such pairs are formed. Where the blocking values alone are rare enough to carry a
-    pair over the threshold (which also keeps the block small), all its pairs are.
+    In most blocks a pair must agree on something outside the rule to get there, so in
+    large blocks only such pairs are formed. Where the blocking values alone are rare
+    enough to carry a pair over the threshold, all pairs of the block are.
     """
     parts = []
     for number, rule in enumerate(linkage.rules):
         alone = model.unaided_bits(linkage, rule) >= threshold_bits(threshold)
-        rows = in_block(found, rule)
-        proposed = similar_pairs(rows.where(~alone), linkage, rule).unionByName(all_pairs(rows.where(alone), rule))
+        proposed = similar_pairs(found, linkage, rule, small, whole=alone)
         scored = with_levels(proposed, linkage).withColumn("match_weight", model.weight(linkage))
         scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
         parts.append(scored.where(F.col("match_probability") >= threshold).withColumn("_rule", F.lit(number)))

@@ -167,12 +167,12 @@ def link_tf(spark, sf_dir):
 def link_jw_levels(spark, sf_dir):
     """Similar spellings among the distinct forenames of a system, found through shared tokens."""
     from civiclake.functions.similarity import jaro_winkler, jaro_winkler_tokens
-    from civiclake.operators.linkage.pairs import longest_value
+    from civiclake.operators.linkage.pairs import value_lengths
     from civiclake.operators.skew import pairs_within
 
     names = table(spark, sf_dir, "housing_persons").where("forename is not null").select("forename").distinct()
-    longest = longest_value(names, PEOPLE.comparisons[:1])
-    marked = names.withColumn("_token", F.explode(jaro_winkler_tokens("forename", 0.70, longest)))
+    lengths = value_lengths(names, PEOPLE.comparisons[:1])
+    marked = names.withColumn("_token", F.explode(jaro_winkler_tokens("forename", 0.70, lengths)))
     near = pairs_within(marked, ["_token"], "forename", []).drop("_token").distinct()
     scored = near.withColumn("similarity", jaro_winkler("forename_l", "forename_r"))
     level = F.when(F.col("similarity") >= 0.92, 3).when(F.col("similarity") >= 0.85, 2).otherwise(1)

@@ -185,8 +185,8 @@ PROJECTIONS: dict[str, Projection] = {
         "cast(ts as date) - cast((user_id % 24) * 30 as int) as contact_date",
         f"{_pick('GP,Hospital,Self,Police', 'event_id % 4 + 1')} as referral_source",
         "event_type as primary_support_reason",
-        f"{_pick('18-64,65-74,75-84,85+', 'user_id % 4 + 1')} as age_band",
-        "case when user_id % 2 = 0 then 'F' else 'M' end as gender",
+        f"{_pick('18-64,65-74,75-84,85+', _int_div('user_id', 7) + ' % 4 + 1')} as age_band",
+        f"case when {_int_div('user_id', 3)} % 2 = 0 then 'F' else 'M' end as gender",
         "lpad(cast(user_id as string), 10, '9') as nhs_number",
         f"{postcode('user_id')} as postcode",
         f"{ward('user_id % 25')} as ward_code",
