@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.operators.linkage.compare import Comparison, Linkage
-from civiclake.operators.linkage.pairs import pattern_counts, with_levels
+from civiclake.operators.linkage.pairs import pattern_counts, spread, with_levels
 from civiclake.operators.skew import pairs_within
 
 FLOOR = 1e-6  # keeps an unseen level from deciding a pair on its own
@@ -82,10 +82,10 @@ def random_pairs(records: DataFrame, id_col: str, columns: Sequence[str], max_pa
     else:
         buckets = max(1, round(wanted * wanted / (2 * max_pairs)))
     place = F.xxhash64(F.lit(seed), id_col)
-    spread = 1 << 40
-    sample = records.where(F.pmod(place, F.lit(spread)) < int(spread * min(1.0, wanted / max(n, 1))))
+    grain = 1 << 40
+    sample = records.where(F.pmod(place, F.lit(grain)) < int(grain * min(1.0, wanted / max(n, 1))))
     dealt = sample.select(id_col, *columns, F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.lit(buckets)).alias("_bucket"))
-    return pairs_within(dealt, ["_bucket"], id_col, columns).drop("_bucket")
+    return spread(pairs_within(dealt, ["_bucket"], id_col, columns, drop=["_bucket"]), id_col)
 
 
 def level_shares(pairs: DataFrame, linkage: Linkage) -> DataFrame:

@@ -92,25 +92,44 @@ def agrees_outside(linkage: Linkage, rule: Sequence[str]) -> Column:
     return agree
 
 
-def block_pairs(found: DataFrame, linkage: Linkage) -> DataFrame:
-    """Levels of all pairs some rule proposes and that agree on something outside it; each pair once.
+def spread(pairs: DataFrame, id_col: str = ID) -> DataFrame:
+    """Pairs dealt evenly over the shuffle partitions before they are compared.
 
-    ``match_key`` is the first rule that proposes the pair.
+    Comparing costs far more than the bytes of a pair suggest, so the number is fixed:
+    left to its byte counts, Spark would merge these partitions into a few.
     """
-    parts = []
-    for number, rule in enumerate(linkage.rules):
-        levelled = with_levels(similar_pairs(found, linkage, rule), linkage)
-        parts.append(levelled.where(agrees_outside(linkage, rule)).withColumn("_rule", F.lit(number)))
-    return first_rule(parts)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, f"{id_col}_l", f"{id_col}_r")
+
+
+def proposed_pairs(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union of the rules' pairs, each pair once, with the set of its rules as bits."""
+    union = None
+    for number, part in enumerate(parts):
+        marked = part.withColumn("_rules", F.lit(1 << number))
+        union = marked if union is None else union.unionByName(marked)
+    names = [c for c in union.columns if c != "_rules"]
+    return spread(union).groupBy(*names).agg(F.bit_or("_rules").alias("_rules"))
+
+
+def by_rule(number: int) -> Column:
+    return F.col("_rules").bitwiseAND(1 << number) != 0
 
 
-def first_rule(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of the rules' pairs, each pair once, with the number of its first rule."""
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    kept = [c for c in union.columns if c != "_rule"]
-    return union.groupBy(*kept).agg(F.min("_rule").alias("match_key"))
+def first_rule(conditions: Sequence[Column]) -> Column:
+    """Number of the first rule whose condition holds, else NULL."""
+    return F.coalesce(*[F.when(c, F.lit(number)) for number, c in enumerate(conditions)])
+
+
+def block_pairs(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) -> DataFrame:
+    """Levels of all pairs some rule proposes and that agree on something outside it; each pair once.
+
+    ``match_key`` is the first such rule.
+    """
+    proposed = proposed_pairs([similar_pairs(found, linkage, rule, small) for rule in linkage.rules])
+    key = first_rule([by_rule(i) & agrees_outside(linkage, rule) for i, rule in enumerate(linkage.rules)])
+    levelled = with_levels(proposed, linkage).withColumn("match_key", key)
+    return levelled.where(F.col("match_key").isNotNull()).drop("_rules")
 
 
 def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> DataFrame:
@@ -124,7 +143,7 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
     names = [f"gamma_{c.column}" for c in free]
     rows = in_block(found, rule)
 
-    similar = with_levels(similar_pairs(found, linkage, rule), linkage).where(agrees_outside(linkage, rule))
+    similar = with_levels(spread(similar_pairs(found, linkage, rule)), linkage).where(agrees_outside(linkage, rule))
     seen = similar.groupBy(*names).agg(F.sum(F.col(f"{COPIES}_l") * F.col(f"{COPIES}_r")).alias("n"))
 
     n = F.col(COPIES)

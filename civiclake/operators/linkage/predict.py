@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civiclake.operators.components import connected_components
 from civiclake.operators.linkage.compare import ID, Linkage
 from civiclake.operators.linkage.model import Model, probability, threshold_bits
-from civiclake.operators.linkage.pairs import SMALL_BLOCK, first_rule, similar_pairs, with_levels
+from civiclake.operators.linkage.pairs import SMALL_BLOCK, by_rule, first_rule, proposed_pairs, similar_pairs, with_levels
 
 
 def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
@@ -20,13 +20,13 @@ def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
     enough to carry a pair over the threshold, all pairs of the block are.
     """
     parts = []
-    for number, rule in enumerate(linkage.rules):
+    for rule in linkage.rules:
         alone = model.unaided_bits(linkage, rule) >= threshold_bits(threshold)
-        proposed = similar_pairs(found, linkage, rule, small, whole=alone)
-        scored = with_levels(proposed, linkage).withColumn("match_weight", model.weight(linkage))
-        scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
-        parts.append(scored.where(F.col("match_probability") >= threshold).withColumn("_rule", F.lit(number)))
-    return first_rule(parts)
+        parts.append(similar_pairs(found, linkage, rule, small, whole=alone))
+    scored = with_levels(proposed_pairs(parts), linkage).withColumn("match_weight", model.weight(linkage))
+    scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
+    key = first_rule([by_rule(i) for i in range(len(linkage.rules))])
+    return scored.where(F.col("match_probability") >= threshold).withColumn("match_key", key).drop("_rules")
 
 
 def copies_match(linkage: Linkage, model: Model, threshold: float) -> Column:

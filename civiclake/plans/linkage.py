@@ -285,12 +285,36 @@ def assigned_people(spark, sf_dir) -> DataFrame:
     return lk.cluster_records(records, found, PEOPLE, GIVEN, pairs, CLUSTER_AT, "person_id")
 
 
-@query("link_clusters")
+def _own_bits_sql(column: str, tf: bool) -> str:
+    m, u = GIVEN.m[column][-1], GIVEN.u[column][-1]
+    rarity = f" + log2({u!r}::double / p.tf_{column})" if tf else ""
+    return f"(case when p.{column} is not null then log2({m!r}::double / {u!r}::double){rarity} else 0 end)"
+
+
+CLUSTERS_SQL = f"""{SCORED_SQL},
+    linked as (select profile_id_l as a, profile_id_r as b from scored where match_probability >= 0.92
+      union all select profile_id_r, profile_id_l from scored where match_probability >= 0.92),
+    reach as (select a as node, a as label from linked union select l.b, r.label from reach r join linked l on l.a = r.node),
+    named as (select node, min(label) as cluster_id from reach group by 1),
+    own as (select p.*, ((p.surname is not null and p.postcode is not null) or (p.forename is not null and p.dob is not null)
+        or (p.surname is not null and p.dob is not null))
+        and 1 / (1 + pow(2.0::double, -(log2({GIVEN.prior!r}::double / (1 - {GIVEN.prior!r}::double))
+          + {_own_bits_sql('forename', True)} + {_own_bits_sql('surname', True)} + {_own_bits_sql('dob', False)}
+          + {_own_bits_sql('postcode', False)}))) >= 0.92 as together from prof p),
+    assigned as (select r.person_id, coalesce(n.cluster_id, case when o.together then o.profile_id end, r.person_id) as cluster_id
+      from people r join own o on o.forename is not distinct from r.forename and o.surname is not distinct from r.surname
+        and o.dob is not distinct from r.dob and o.postcode is not distinct from r.postcode
+      left join named n on n.node = o.profile_id)"""
+
+
+@query("link_clusters", f"with recursive {CLUSTERS_SQL} select person_id, cluster_id from assigned")
 def link_clusters(spark, sf_dir):
     return assigned_people(spark, sf_dir)
 
 
-@query("link_summary")
+@query("link_summary", f"""
+    with recursive {CLUSTERS_SQL} select count(*) as records, count(distinct cluster_id) as clusters,
+      round(count(*) * 1.0 / count(distinct cluster_id), 1) as dedupe_ratio from assigned""")
 def link_summary(spark, sf_dir):
     return summary(assigned_people(spark, sf_dir))
 

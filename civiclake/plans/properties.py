@@ -104,9 +104,14 @@ def scd2_counts(spark, sf_dir):
            count(*) filter (where void_status = 'Under Repair') as under_repair, count(*) as properties
     from properties group by 1, 2""")
 def mart_property_void(spark, sf_dir):
-    """Void status per ward and type over the current versions of the property history."""
-    homes = table(spark, sf_dir, "properties").withColumn("is_current", F.lit(True))
-    per_status = homes.where("is_current").groupBy("ward_code", "property_type")
+    """Void status per ward and type over the current versions of the property history.
+
+    The history is a first load with every home occupied, then a second load of today's status.
+    """
+    homes = table(spark, sf_dir, "properties").select("property_reference", "ward_code", "property_type", "void_status")
+    first = history(homes.withColumn("void_status", F.lit("Occupied")))
+    versions = current.scd2(first, homes, ["property_reference"], ["void_status"], SCD_DAY, check_keys=False)
+    per_status = versions.where("is_current").groupBy("ward_code", "property_type")
     return per_status.agg(
         rows_where(F.col("void_status") == "Occupied").alias("occupied"),
         rows_where(F.col("void_status") == "Void").alias("void"),

@@ -83,6 +83,20 @@ def io_create_or_merge(spark, sf_dir):
     return spark.table(name)
 
 
+@query("io_merge_partitions", """
+    select o_orderkey, case when o_orderdate >= DATE '2000-07-01' then 'X' else o_orderstatus end as o_orderstatus,
+           cast(year(o_orderdate) as int) as year from orders""")
+def io_merge_partitions(spark, sf_dir):
+    """Orders by year with the newest ones corrected: only their two partitions are rewritten."""
+    path = scratch_path(spark, "by-year")
+    orders = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderdate", F.year("o_orderdate").alias("year"))
+    lake.append(orders.drop("o_orderdate"), path, ["year"])
+    late = orders.where("o_orderdate >= timestamp_ntz'2000-07-01'").withColumn("o_orderstatus", F.lit("X"))
+    lake.merge_partitions(spark, path, late.drop("o_orderdate"), ["o_orderkey"], "year")
+    return spark.read.parquet(path)
+
+
 def io_view_read(spark, sf_dir):
     """The collection mart published as a view and read by name."""
     name = f"gold_summary_{uuid.uuid4().hex}"

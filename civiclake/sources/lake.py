@@ -43,6 +43,18 @@ def create_or_merge(spark: SparkSession, table: str, source: DataFrame, keys: Se
     return path
 
 
+def merge_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str) -> None:
+    """Merge ``source`` by key into a partitioned path, rewriting only the partitions it touches.
+
+    A key must always fall into the same partition. The touched partitions are found by
+    join, so Spark prunes the scan to them, and they are replaced in one commit.
+    """
+    touched = source.select(partition).distinct()
+    affected = spark.read.parquet(path).join(touched, partition, "left_semi")
+    merged = upsert(affected, source, keys)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def publish_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
