@@ -144,13 +144,15 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
     rows = in_block(found, rule)
 
     similar = with_levels(spread(similar_pairs(found, linkage, rule)), linkage).where(agrees_outside(linkage, rule))
-    seen = similar.groupBy(*names).agg(F.sum(F.col(f"{COPIES}_l") * F.col(f"{COPIES}_r")).alias("n"))
+    exact = "decimal(38,0)"  # pair counts of a hot block outgrow a long
+    both = F.col(f"{COPIES}_l").cast("decimal(19,0)") * F.col(f"{COPIES}_r").cast("decimal(19,0)")
+    seen = similar.groupBy(*names).agg(F.sum(both.cast(exact)).alias("n"))
 
-    n = F.col(COPIES)
+    n = F.col(COPIES).cast("decimal(19,0)")
     own = rows.where(n > 1).select(
         *[F.when(F.col(c.column).isNull(), -1).otherwise(c.top).alias(f"gamma_{c.column}") for c in free],
-        (n * (n - 1) / 2).cast("long").alias("n"),
-    ).groupBy(*names).agg(F.sum("n").alias("n"))
+        (n * (n - 1) / 2).cast(exact).alias("n"),
+    ).groupBy(*names).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
     mask = F.lit(0)
     for i, c in enumerate(free):
@@ -158,19 +160,19 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
     masks = range(1 << len(free))
     wide = rows.withColumn("_mask", mask).groupBy(*rule).agg(*[
         agg for m in masks for agg in (
-            F.sum(F.when(F.col("_mask") == m, n).otherwise(0)).alias(f"c{m}"),
-            F.sum(F.when(F.col("_mask") == m, n * n).otherwise(0)).alias(f"s{m}"),
+            F.sum(F.when(F.col("_mask") == m, n).otherwise(0)).cast("decimal(19,0)").alias(f"c{m}"),
+            F.sum(F.when(F.col("_mask") == m, (n * n).cast(exact)).otherwise(0)).alias(f"s{m}"),
         )
     ])
 
     def cross(a: int, b: int) -> Column:
         if a == b:
-            return ((F.col(f"c{a}") * F.col(f"c{a}") - F.col(f"s{a}")) / 2).cast("long")
-        return F.col(f"c{a}") * F.col(f"c{b}")
+            return ((F.col(f"c{a}") * F.col(f"c{a}") - F.col(f"s{a}")) / 2).cast(exact)
+        return (F.col(f"c{a}") * F.col(f"c{b}")).cast(exact)
 
     missing = wide.select(F.inline(F.array(*[
         F.struct(F.lit(a | b).alias("_mask"), cross(a, b).alias("n")) for a in masks for b in masks if a <= b
-    ]))).groupBy("_mask").agg(F.sum("n").alias("n"))
+    ]))).groupBy("_mask").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
     bit = {c.column: i for i, c in enumerate(free)}
 
     def blank(source: DataFrame) -> DataFrame:
@@ -184,6 +186,6 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
         seen_mask = seen_mask + F.when(F.col(name) < 0, 1 << i).otherwise(0)
     rest = blank(
         missing.unionByName(seen.select(seen_mask.alias("_mask"), (-F.col("n")).alias("n")))
-        .groupBy("_mask").agg(F.sum("n").alias("n")))
+        .groupBy("_mask").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
     union = seen.unionByName(own).unionByName(rest)
-    return union.groupBy(*names).agg(F.sum("n").alias("n")).where("n > 0")
+    return union.groupBy(*names).agg(F.sum("n").cast("decimal(38,0)").alias("n")).where("n > 0")

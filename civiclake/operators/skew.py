@@ -38,3 +38,45 @@ def pairs_within(rows: DataFrame, keys: Sequence[str], id_col: str, values: Sequ
         for c in carried for a, b in (("l", "r"), ("r", "l"))
     ]
     return joined.select(*[k for k in keys if k not in drop], *ordered)
+
+
+def join_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = 10000) -> DataFrame:
+    """Inner equi-join in which hot keys are cut on both sides.
+
+    A key with more than ``chunk`` rows on a side is cut into chunks there, and the rows
+    of the other side visit every chunk: each cell holds at most ``chunk`` rows of either
+    side. Other keys pass through one cell. Every matching pair is formed exactly once.
+
+    Rows are placed by a hash of their values, which a repeated task reproduces; fold
+    equal rows with ``counted_copies`` first so that copies do not share one chunk.
+    """
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        sizes = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
+        return sizes.select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias(name))
+
+    cuts = parts(left, "_cut_l").join(parts(right, "_cut_r"), list(keys), "full_outer").na.fill(1, ["_cut_l", "_cut_r"])
+
+    def dealt(side: DataFrame, own: str, own_cell: str, other: str, other_cell: str) -> DataFrame:
+        known = side.join(cuts, list(keys), "left").na.fill(1, ["_cut_l", "_cut_r"])
+        place = F.pmod(F.xxhash64(*side.columns), F.col(own)).cast("int")
+        visits = F.sequence(F.lit(0), F.col(other) - 1)
+        return known.select(*side.columns, place.alias(own_cell), F.explode(visits).alias(other_cell))
+
+    a = dealt(left, "_cut_l", "_i", "_cut_r", "_j")
+    b = dealt(right, "_cut_r", "_j", "_cut_l", "_i")
+    return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def counted_copies(df: DataFrame, at_most: int = 10000) -> DataFrame:
+    """Distinct rows with ``_copies``; a row with more than ``at_most`` copies is repeated with a part of them each."""
+    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_all"))
+    last = F.ceil(F.col("_all") / at_most) - 1
+    cut = folded.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    copies = F.least(F.lit(at_most).cast("long"), F.col("_all") - F.col("_part") * at_most)
+    return cut.withColumn("_copies", copies).drop("_all")
+
+
+def unfold_copies(df: DataFrame) -> DataFrame:
+    """The inverse of ``counted_copies``."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copy", "_copies", "_part")

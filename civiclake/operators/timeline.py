@@ -92,15 +92,18 @@ def calendar(df: DataFrame, first: Column, last: Column, dims: Sequence[str] = (
 def backlog(df: DataFrame, opened: str, closed: str, dims: Sequence[str]) -> DataFrame:
     """Items still open at each month end: everything opened less everything closed so far.
 
-    Each item contributes one +1 and at most one -1, summed map-side per month, so
-    no item is ever joined to the months it stayed open.
+    Items are first counted by (month opened, month closed), which is bounded by the
+    calendar; only these counts are unfolded, and no item is joined to its months.
     """
+    spans = df.groupBy(*dims, month_index(opened).alias("_from"), month_index(closed).alias("_to")).agg(
+        F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
     moves = F.array_compact(F.array(
-        F.struct(month_index(opened).alias("month_idx"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
-        F.when(F.col(closed).isNotNull(),
-               F.struct(month_index(closed).alias("month_idx"), F.lit(0).alias("opened"), F.lit(1).alias("closed"))),
+        F.struct(F.col("_from").alias("month_idx"), F.col("n").alias("opened"), none.alias("closed")),
+        F.when(F.col("_to").isNotNull(),
+               F.struct(F.col("_to").alias("month_idx"), none.alias("opened"), F.col("n").alias("closed"))),
     ))
-    moved = df.select(*dims, F.inline(moves)).groupBy(*dims, "month_idx").agg(
+    moved = spans.select(*dims, F.inline(moves)).groupBy(*dims, "month_idx").agg(
         F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
     span = moved.groupBy(*dims).agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b"))
     months = span.select(*dims, F.explode(F.sequence("a", "b")).alias("month_idx"))

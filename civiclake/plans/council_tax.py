@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civiclake.functions import text
 from civiclake.functions.measures import MONEY, arrears_band, day, days_between, divide, money, rows, rows_where
 from civiclake.operators import current, timeline
+from civiclake.operators.skew import counted_copies, join_in_cells, unfold_copies
 from civiclake.plans.registry import query
 from civiclake.sources.domain import AS_OF, read, table
 
@@ -197,19 +198,17 @@ def unclaimed(accounts: DataFrame, awards: DataFrame) -> DataFrame:
 def support_matches(accounts: DataFrame, awards: DataFrame, claims: DataFrame, whole_name: bool = False) -> DataFrame:
     """Accounts without support that share a postcode with a live benefit claim.
 
-    The result is one row per account and claim. Identical claims are counted before the
-    join and unfolded after it, so copies do not travel; skewed postcodes are split by AQE.
+    The result is one row per account and claim. Equal claims travel as one row with a
+    count, and postcodes with many rows on either side are joined in cells.
     """
-    kinds = claims.groupBy("postcode", "surname", "claim_type", "weekly_amount").agg(rows().alias("_copies"))
-    matched = unclaimed(accounts, awards).join(kinds, "postcode")
+    matched = join_in_cells(unclaimed(accounts, awards), counted_copies(claims), ["postcode"])
     alike = text.sounds_like("liable_name", "surname", whole_name)
-    return matched.select(
+    return unfold_copies(matched.select(
         "account_ref", "liable_name", "ward_name", "band", "annual_charge", "balance_outstanding",
         F.col("claim_type").alias("hb_claim_type"), F.col("weekly_amount").alias("hb_weekly_amount"),
         F.when(alike, "High").otherwise("Medium").alias("match_confidence"),
-        F.col("estimated_cts_award").cast("double").alias("estimated_cts_award"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
-    ).drop("_copy")
+        F.col("estimated_cts_award").cast("double").alias("estimated_cts_award"), "_copies", "_part",
+    ))
 
 
 def _cross_match_inputs(spark, sf_dir):
