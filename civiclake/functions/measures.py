@@ -36,7 +36,7 @@ def share(condition: Column, otherwise: float | None = 0.0) -> Column:
 
 
 def percent(condition: Column, digits: int | None = None) -> Column:
-    value = share(condition, None) * 100
+    value = divide(rows_where(condition) * 100.0, rows(), None)
     return value if digits is None else F.round(value, digits)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civiclake.functions.measures import money
 from civiclake.plans.quality import RULES_SQL, suite
 from civiclake.plans.registry import query
 from civiclake.session import scratch_path
@@ -27,14 +28,15 @@ def stream_ingest(spark, sf_dir):
 
 
 @query("stream_daily_counts", """
-    select cast(ts as date) as day, event_type, count(*) as n, round(avg(value), 4) as avg_value from events
+    select cast(ts as date) as day, event_type, count(*) as n,
+      cast(sum(cast(value as decimal(18,2))) as double) as total_value from events
     where cast(ts as date) + 1 <= (select max(ts) from events) - interval 1 day group by 1, 2""")
 def stream_daily_counts(spark, sf_dir):
     """Daily counts per type, emitted once a day's window has closed."""
     out, marks = scratch_path(spark, "daily"), scratch_path(spark, "progress")
-    counts = feeds.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], avg_value=F.avg("value"))
+    counts = feeds.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], total_value=money("value"))
     feeds.drain(counts, out, marks)
-    return spark.read.parquet(out).withColumn("avg_value", F.round("avg_value", 4))
+    return spark.read.parquet(out).withColumn("total_value", F.col("total_value").cast("double"))
 
 
 @query("stream_upsert", """
