@@ -48,16 +48,19 @@ class Model:
             total = total + self.level_bits(c)
         return total
 
-    def unaided_bits(self, linkage: Linkage, rule: Sequence[str]) -> Column:
-        """Most weight a pair of the row's block can reach while agreeing on nothing outside the rule."""
+    def most_bits(self, linkage: Linkage, disagreeing: Sequence[str]) -> Column:
+        """Most weight any pair with this row can reach while the ``disagreeing`` columns are on level 0 or missing."""
         total = F.lit(self.prior_bits)
         for c in linkage.comparisons:
-            if c.column not in rule:
+            if c.column in disagreeing:
                 total = total + max(0.0, self.bits(c.column, 0))
                 continue
-            total = total + self.bits(c.column, c.top)
+            best = max(0.0, *[self.bits(c.column, level) for level in range(c.top)])
+            top = F.lit(self.bits(c.column, c.top))
             if c.term_frequency:
-                total = total + F.log2(F.lit(float(self.u[c.column][c.top])) / F.col(f"tf_{c.column}"))
+                rarity = F.log2(F.lit(float(self.u[c.column][c.top])) / F.col(f"tf_{c.column}"))
+                top = F.coalesce(top + rarity, F.lit(best))
+            total = total + F.greatest(top, F.lit(best))
         return total
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def carried(found: DataFrame) -> list[str]:
 
 
 def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK,
-                  whole: Column | None = None) -> DataFrame:
+                  whole: Column | None = None, demands: Mapping[str, Column] | None = None) -> DataFrame:
     """Pairs of a block, complete for those that agree at least a little outside the rule.
 
     Blocks of up to ``small`` profiles are paired in full, which costs each profile at
@@ -41,6 +41,9 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
     ``Comparison.tokens``, so dissimilar pairs are never formed there; a pair may share
     several tokens and is made distinct before anything is compared. Blocks for which
     ``whole`` holds need every pair whatever their size.
+
+    ``demands`` narrows the tokens: a row shows those of a column only where the column's
+    condition holds for it, and columns not named show none.
     """
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
@@ -55,12 +58,15 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
 
     free = linkage.outside(rule)
     lengths = value_lengths(many, free)
-    marks = F.flatten(F.array(*[
-        F.coalesce(
-            F.transform(c.tokens(lengths), lambda t, i=i: F.concat(F.lit(f"{i}:"), t)),
-            F.array().cast("array<string>"))
-        for i, c in enumerate(free)
-    ]))
+    if demands is not None:
+        free = [c for c in free if c.column in demands]
+    nothing = F.array().cast("array<string>")
+
+    def shown(i: int, c: Comparison) -> Column:
+        marks = F.transform(c.tokens(lengths), lambda t: F.concat(F.lit(f"{i}:"), t))
+        return F.coalesce(marks if demands is None else F.when(demands[c.column], marks), nothing)
+
+    marks = F.flatten(F.array(*[shown(i, c) for i, c in enumerate(free)]))
     marked = many.withColumn("_token", F.explode(marks))
     similar = pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule)
     return pairs.unionByName(similar.drop("_token").distinct())

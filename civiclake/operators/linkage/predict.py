@@ -15,20 +15,41 @@ def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
             small: int = SMALL_BLOCK) -> DataFrame:
     """Profile pairs whose match probability reaches ``threshold``, each once.
 
-    In most blocks a pair must agree on something outside the rule to get there, so in
-    large blocks only such pairs are formed. Where the blocking values alone are rare
-    enough to carry a pair over the threshold, all pairs of the block are.
+    In large blocks only pairs are formed that agree where they must to get there, see
+    ``demanded``. Where the blocking values alone are rare enough to carry a pair over
+    the threshold, all pairs of the block are.
     """
+    enough = threshold_bits(threshold) - 1e-9
     parts = []
     for rule in linkage.rules:
-        alone = model.unaided_bits(linkage, rule) >= threshold_bits(threshold)
-        parts.append(similar_pairs(found, linkage, rule, small, whole=alone))
+        alone = model.most_bits(linkage, [c.column for c in linkage.outside(rule)]) >= enough
+        demands = demanded(linkage, model, rule, enough)
+        parts.append(similar_pairs(found, linkage, rule, small, whole=alone, demands=demands))
     scored = with_levels(proposed_pairs(parts), linkage).withColumn("match_weight", model.weight(linkage))
     scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
     key = first_rule([by_rule(i) for i in range(len(linkage.rules))])
     return scored.where(F.col("match_probability") >= threshold).withColumn("match_key", key).drop("_rules")
 
 
+#: Comparisons from most to least selective: days, edits, spellings, categories.
+SELECTIVE = ("date", "levenshtein", "jaro_winkler", "exact")
+
+
+def demanded(linkage: Linkage, model: Model, rule: tuple[str, ...], enough: float) -> dict[str, Column]:
+    """Columns outside the rule whose tokens a row must show, with the condition for each.
+
+    The most selective column always shows its tokens. The next ones do so only for rows
+    that could reach the threshold while disagreeing on all columns before them. A pair
+    that gets there that way has two such rows, since the bound holds for either side.
+    """
+    free = sorted(linkage.outside(rule), key=lambda c: SELECTIVE.index(c.kind))
+    conditions, before = {}, []
+    for c in free:
+        conditions[c.column] = F.lit(True) if not before else model.most_bits(linkage, before) >= enough
+        before.append(c.column)
+    return conditions
+
+
 def copies_match(linkage: Linkage, model: Model, threshold: float) -> Column:
     """Whether the records behind one profile belong together: some rule blocks them and their score suffices."""
     blocked = F.lit(False)

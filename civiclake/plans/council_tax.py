@@ -238,7 +238,24 @@ def cts_cross_match(spark, sf_dir):
     return support_matches(*_cross_match_inputs(spark, sf_dir)).drop("match_confidence")
 
 
-@query("cts_cross_match_soundex")
+def _soundex_sql(word: str) -> str:
+    """Soundex in plain SQL: letter codes, H and W skipped, runs collapsed, vowels dropped, three digits kept."""
+    letters, codes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230127022455012623017202"
+    code = f"translate(upper({word}), '{letters}', '{codes}')"
+    first = f"replace(left({code}, 1), '7', '0')"
+    run = f"concat({first}, replace(substring({code}, 2), '7', ''))"
+    for digit in "0123456":
+        run = f"regexp_replace({run}, '{digit}+', '{digit}', 'g')"
+    return f"concat(upper(left({word}, 1)), left(rpad(replace(substring({run}, 2), '0', ''), 3, '0'), 3))"
+
+
+@query("cts_cross_match_soundex", f"""
+    with {CROSS_MATCH_SQL}, w as (select *, list_last(string_split(liable_name, ' ')) as last_name from matched)
+    select account_ref, liable_name, ward_name, band, annual_charge, balance_outstanding,
+           claim_type as hb_claim_type, weekly_amount as hb_weekly_amount,
+           cast(round(cast(annual_charge as decimal(18,2)) * 0.75, 2) as double) as estimated_cts_award,
+           case when {_soundex_sql('last_name')} = {_soundex_sql('hb_surname')} then 'High' else 'Medium' end as match_confidence
+    from w""")
 def cts_cross_match_soundex(spark, sf_dir):
     return support_matches(*_cross_match_inputs(spark, sf_dir))
 
