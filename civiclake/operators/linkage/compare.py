@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from civiclake.functions import similarity
 
 ID, COPIES = "profile_id", "copies"
+KINDS = ("date", "levenshtein", "jaro_winkler", "exact")  # from most to least selective
 
 
 @dataclass(frozen=True)
@@ -47,15 +48,16 @@ class Comparison:
                 agree = agree.when(condition, self.top - 1 - step)
         return agree.otherwise(0)
 
-    def tokens(self, lengths: list[int]) -> Column:
-        """Array of strings; two values on a level above 0 always share an element."""
+    def tokens(self, lengths: list[int], level: int = 1) -> Column:
+        """Array of strings; two values on ``level`` or above always share an element."""
+        if level >= self.top:
+            return F.when(F.col(self.column).isNotNull(), F.array(F.col(self.column).cast("string")))
+        limit = self.thresholds[self.top - 1 - level]
         if self.kind == "jaro_winkler":
-            return similarity.jaro_winkler_tokens(self.column, self.thresholds[-1], lengths)
+            return similarity.jaro_winkler_tokens(self.column, limit, lengths)
         if self.kind == "levenshtein":
-            return similarity.edit_tokens(self.column, int(self.thresholds[-1]))
-        if self.kind == "date":
-            return similarity.day_tokens(self.column, int(self.thresholds[-1]))
-        return F.when(F.col(self.column).isNotNull(), F.array(F.col(self.column).cast("string")))
+            return similarity.edit_tokens(self.column, int(limit))
+        return similarity.day_tokens(self.column, int(limit))
 
 
 @dataclass(frozen=True)

@@ -39,8 +39,7 @@ class Model:
             weights = F.when(gamma == level, self.bits(c.column, level)).otherwise(weights)
         if not c.term_frequency:
             return weights
-        rarity = F.log2(F.lit(float(self.u[c.column][c.top])) / F.col(f"tf_{c.column}_l"))
-        return weights + F.when(gamma == c.top, rarity).otherwise(0.0)
+        return weights + F.when(gamma == c.top, self.rarity(c, f"tf_{c.column}_l")).otherwise(0.0)
 
     def weight(self, linkage: Linkage) -> Column:
         total = F.lit(self.prior_bits)
@@ -48,19 +47,45 @@ class Model:
             total = total + self.level_bits(c)
         return total
 
-    def most_bits(self, linkage: Linkage, disagreeing: Sequence[str]) -> Column:
-        """Most weight any pair with this row can reach while the ``disagreeing`` columns are on level 0 or missing."""
+    def most_bits(self, linkage: Linkage, disagreeing: Sequence[str], held: tuple[str, int] | None = None) -> Column:
+        """Most weight any pair with this row can reach.
+
+        The ``disagreeing`` columns are taken to be on level 0 or missing, the ``held``
+        column on the given level.
+        """
         total = F.lit(self.prior_bits)
         for c in linkage.comparisons:
             if c.column in disagreeing:
                 total = total + max(0.0, self.bits(c.column, 0))
                 continue
-            best = max(0.0, *[self.bits(c.column, level) for level in range(c.top)])
             top = F.lit(self.bits(c.column, c.top))
             if c.term_frequency:
-                rarity = F.log2(F.lit(float(self.u[c.column][c.top])) / F.col(f"tf_{c.column}"))
-                top = F.coalesce(top + rarity, F.lit(best))
-            total = total + F.greatest(top, F.lit(best))
+                top = top + F.coalesce(self.rarity(c, f"tf_{c.column}"), F.lit(0.0))
+            if held is not None and held[0] == c.column:
+                total = total + (top if held[1] == c.top else F.lit(self.bits(*held)))
+            else:
+                total = total + F.greatest(top, F.lit(self.best_below_top(c)))
+        return total
+
+    def rarity(self, c: Comparison, frequency: str) -> Column:
+        """Extra weight of sharing a value of the given frequency."""
+        return F.log2(F.lit(float(self.u[c.column][c.top])) / F.col(frequency))
+
+    def best_below_top(self, c: Comparison) -> float:
+        return max(0.0, *[self.bits(c.column, level) for level in range(c.top)])
+
+    def pair_bound(self, linkage: Linkage) -> Column:
+        """Most weight of a pair whose cheap levels are known and whose spellings are only known to be equal or not."""
+        total = F.lit(self.prior_bits)
+        for c in linkage.comparisons:
+            if c.kind != "jaro_winkler":
+                total = total + self.level_bits(c)
+                continue
+            left, right = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
+            top = F.lit(self.bits(c.column, c.top))
+            if c.term_frequency:
+                top = top + self.rarity(c, f"tf_{c.column}_l")
+            total = total + F.when(left == right, top).otherwise(self.best_below_top(c))
         return total
 
 

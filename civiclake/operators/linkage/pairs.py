@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.operators.linkage.compare import COPIES, ID, Comparison, Linkage
+from civiclake.operators.linkage.compare import COPIES, ID, KINDS, Comparison, Linkage
 from civiclake.operators.skew import pairs_within
 
 
@@ -33,7 +33,7 @@ def carried(found: DataFrame) -> list[str]:
 
 
 def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK,
-                  whole: Column | None = None, demands: Mapping[str, Column] | None = None) -> DataFrame:
+                  whole: Column | None = None, demands: Mapping[tuple[str, int], Column] | None = None) -> DataFrame:
     """Pairs of a block, complete for those that agree at least a little outside the rule.
 
     Blocks of up to ``small`` profiles are paired in full, which costs each profile at
@@ -42,8 +42,8 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
     several tokens and is made distinct before anything is compared. Blocks for which
     ``whole`` holds need every pair whatever their size.
 
-    ``demands`` narrows the tokens: a row shows those of a column only where the column's
-    condition holds for it, and columns not named show none.
+    ``demands`` narrows the tokens: a row shows those of a (column, level) only where the
+    condition holds for it. A pair needed on a level must meet it on both sides.
     """
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
@@ -58,15 +58,16 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
 
     free = linkage.outside(rule)
     lengths = value_lengths(many, free)
-    if demands is not None:
-        free = [c for c in free if c.column in demands]
-    nothing = F.array().cast("array<string>")
+    if demands is None:
+        demands = {(c.column, 1): F.lit(True) for c in free}
+    by_name = {c.column: c for c in free}
 
-    def shown(i: int, c: Comparison) -> Column:
-        marks = F.transform(c.tokens(lengths), lambda t: F.concat(F.lit(f"{i}:"), t))
-        return F.coalesce(marks if demands is None else F.when(demands[c.column], marks), nothing)
+    def shown(column: str, level: int, condition: Column) -> Column:
+        label = F.lit(f"{column}.{level}:")
+        marks = F.transform(by_name[column].tokens(lengths, level), lambda t: F.concat(label, t))
+        return F.coalesce(F.when(condition, marks), F.array().cast("array<string>"))
 
-    marks = F.flatten(F.array(*[shown(i, c) for i, c in enumerate(free)]))
+    marks = F.flatten(F.array(*[shown(*key, condition) for key, condition in demands.items()]))
     marked = many.withColumn("_token", F.explode(marks))
     similar = pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule)
     return pairs.unionByName(similar.drop("_token").distinct())
@@ -85,9 +86,10 @@ def all_pairs(found: DataFrame, rule: Sequence[str]) -> DataFrame:
     return pairs_within(in_block(found, rule), list(rule), ID, carried(found), drop=rule)
 
 
-def with_levels(pairs: DataFrame, linkage: Linkage) -> DataFrame:
+def with_levels(pairs: DataFrame, linkage: Linkage, kinds: Sequence[str] = KINDS) -> DataFrame:
     return pairs.withColumns({
-        f"gamma_{c.column}": c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r")) for c in linkage.comparisons
+        f"gamma_{c.column}": c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
+        for c in linkage.comparisons if c.kind in kinds
     })
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.operators.components import connected_components
-from civiclake.operators.linkage.compare import ID, Linkage
+from civiclake.operators.linkage.compare import ID, KINDS, Linkage
 from civiclake.operators.linkage.model import Model, probability, threshold_bits
 from civiclake.operators.linkage.pairs import SMALL_BLOCK, by_rule, first_rule, proposed_pairs, similar_pairs, with_levels
 
@@ -25,27 +25,26 @@ def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
         alone = model.most_bits(linkage, [c.column for c in linkage.outside(rule)]) >= enough
         demands = demanded(linkage, model, rule, enough)
         parts.append(similar_pairs(found, linkage, rule, small, whole=alone, demands=demands))
-    scored = with_levels(proposed_pairs(parts), linkage).withColumn("match_weight", model.weight(linkage))
+    cheap = with_levels(proposed_pairs(parts), linkage, [k for k in KINDS if k != "jaro_winkler"])
+    hopeful = cheap.where(model.pair_bound(linkage) >= enough)
+    scored = with_levels(hopeful, linkage, ["jaro_winkler"]).withColumn("match_weight", model.weight(linkage))
     scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
     key = first_rule([by_rule(i) for i in range(len(linkage.rules))])
     return scored.where(F.col("match_probability") >= threshold).withColumn("match_key", key).drop("_rules")
 
 
-#: Comparisons from most to least selective: days, edits, spellings, categories.
-SELECTIVE = ("date", "levenshtein", "jaro_winkler", "exact")
+def demanded(linkage: Linkage, model: Model, rule: tuple[str, ...], enough: float) -> dict[tuple[str, int], Column]:
+    """For each column outside the rule and each level: the rows whose tokens of that level are needed.
 
-
-def demanded(linkage: Linkage, model: Model, rule: tuple[str, ...], enough: float) -> dict[str, Column]:
-    """Columns outside the rule whose tokens a row must show, with the condition for each.
-
-    The most selective column always shows its tokens. The next ones do so only for rows
-    that could reach the threshold while disagreeing on all columns before them. A pair
-    that gets there that way has two such rows, since the bound holds for either side.
+    Columns are taken from most to least selective. A row shows its tokens of a level if
+    it could reach the threshold with the column on that level and all columns before it
+    disagreeing. A pair that gets there that way has two such rows, since the bound holds
+    for either side.
     """
-    free = sorted(linkage.outside(rule), key=lambda c: SELECTIVE.index(c.kind))
     conditions, before = {}, []
-    for c in free:
-        conditions[c.column] = F.lit(True) if not before else model.most_bits(linkage, before) >= enough
+    for c in sorted(linkage.outside(rule), key=lambda c: KINDS.index(c.kind)):
+        for level in range(1, c.top + 1):
+            conditions[c.column, level] = model.most_bits(linkage, before, (c.column, level)) >= enough
         before.append(c.column)
     return conditions
 
@@ -62,7 +61,7 @@ def copies_match(linkage: Linkage, model: Model, threshold: float) -> Column:
     for c in linkage.comparisons:
         bits = F.lit(model.bits(c.column, c.top))
         if c.term_frequency:
-            bits = bits + F.log2(F.lit(float(model.u[c.column][c.top])) / F.col(f"tf_{c.column}"))
+            bits = bits + model.rarity(c, f"tf_{c.column}")
         weight = weight + F.when(F.col(c.column).isNotNull(), bits).otherwise(0.0)
     return blocked & (probability(weight) >= threshold)
 
