@@ -55,7 +55,10 @@ def join_in_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk:
         sizes = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
         return sizes.select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias(name))
 
+    # One small aggregation tells whether anything is hot; mostly nothing is, and a plain join will do.
     cuts = parts(left, "_cut_l").join(parts(right, "_cut_r"), list(keys), "full_outer").na.fill(1, ["_cut_l", "_cut_r"])
+    if cuts.isEmpty():
+        return left.join(right, list(keys))
 
     def dealt(side: DataFrame, own: str, own_cell: str, other: str, other_cell: str) -> DataFrame:
         known = side.join(cuts, list(keys), "left").na.fill(1, ["_cut_l", "_cut_r"])
