@@ -9,11 +9,11 @@ import pytest
 from compare import check_engine, compare
 
 import __spark_entry__ as entry
+from civiclake.plans.registry import ORACLES, QUERIES
 from civiclake.sources.domain import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+entry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,7 @@ def test_runs(spark, name):
 
 
 def test_contract(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
     assert entry.entry(spark).count() > 0
 
