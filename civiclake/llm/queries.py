@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import quality_rules
+from civiclake.llm import jaccard_join, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,3 +17,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"),
                          F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"),
+                        F.col("_set_links").alias("n_text_links"), F.col("_copies").alias("n_copies"), F.col("_first").alias("first_copy"))
