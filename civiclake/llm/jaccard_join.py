@@ -72,10 +72,14 @@ def _sets(w: Words, size: int) -> list[np.ndarray]:
 def _keys(sets: list[np.ndarray]) -> list[bytes]:
     """16 bytes for each set, whatever order its members had."""
     sizes = np.array([len(s) for s in sets])
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    everything = np.append(np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64), np.uint64(0))
-    at = np.minimum(first[:-1], len(everything) - 1)
-    a, b = np.add.reduceat(mix(everything), at), np.add.reduceat(mix(everything ^ np.uint64(0x5851F42D4C957F2D)), at)
+    first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    everything = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+
+    def total(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+        return sums[first[1:]] - sums[first[:-1]]
+
+    a, b = total(mix(everything)), total(mix(everything ^ np.uint64(0x5851F42D4C957F2D)))
     keys = np.stack([a, mix(b + sizes.astype(np.uint64))], 1)
     return [k.tobytes() for k in keys]
 
