@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import jaccard_join, quality_rules
+from civiclake.llm import decontaminate, jaccard_join, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,3 +24,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"),
                         F.col("_set_links").alias("n_text_links"), F.col("_copies").alias("n_copies"), F.col("_first").alias("first_copy"))
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), F.col("_first_word").alias("first_word"),
+                        F.col("_edits").alias("edits"), F.col("_item_words").alias("item_words"))

@@ -12,6 +12,9 @@ import pyarrow.compute
 
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators for words of letters and digits only: all of ASCII that is neither.
+ALNUM_GAPS = np.zeros(256, np.bool_)
+ALNUM_GAPS[:128] = [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers of the polynomial hash and its inverse modulo 2**64.
@@ -55,10 +58,10 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 class Words:
     """Words of a batch of texts: ``start``/``end`` byte positions, ``doc`` row numbers and, when asked for, hashes."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         self.raw, self.offsets = text_bytes(column, lower)
         self.n_docs = len(self.offsets) - 1
-        inside = ~_SPACE[self.raw]
+        inside = ~gaps[self.raw]
         starts = inside.copy()
         starts[1:] &= ~inside[:-1]
         first = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
