@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, jaccard_join, quality_rules
+from civiclake.llm import decontaminate, jaccard_join, mixing, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,3 +31,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), F.col("_first_word").alias("first_word"),
                         F.col("_edits").alias("edits"), F.col("_item_words").alias("item_words"))
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return read.select("_row.doc_id", "_row.source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"),
+                       F.col("_before").alias("tokens_before"), F.col("_tokens").alias("n_tokens"))
