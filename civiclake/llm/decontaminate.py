@@ -219,7 +219,7 @@ def matcher(index: Index):
     @F.arrow_udf(_MATCH)
     def find(text: pa.Array) -> pa.Array:
         out = []
-        for lo, hi in pieces(text, 4_000_000):
+        for lo, hi in pieces(text):
             w = item_words(text.slice(lo, hi - lo))
             rows: list[list[dict]] = [[] for _ in range(hi - lo)]
             if len(w):

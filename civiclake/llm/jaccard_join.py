@@ -91,7 +91,7 @@ def sketcher(size: int, coordinates: int):
     @F.arrow_udf(_SKETCH)
     def sketch(text: pa.Array) -> pa.Array:
         parts = []
-        for lo, hi in pieces(text, 4_000_000):
+        for lo, hi in pieces(text):
             w = Words(text.slice(lo, hi - lo))
             sets = _sets(w, size)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -253,7 +253,7 @@ def _exact_links(size: int, threshold: float):
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         out = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(1, 16_000_000 // len(sets))
+        width = max(1, 4_000_000 // len(sets))
         for lo in range(0, int(shared.sum()), width):
             a, b = np.searchsorted(column, [lo, lo + width])
             block = np.zeros((len(sets), width), np.float32)
@@ -299,7 +299,7 @@ def shingle_bytes(size: int):
     @F.arrow_udf(kind)
     def make(text: pa.Array) -> pa.Array:
         parts = []
-        for lo, hi in pieces(text, 4_000_000):
+        for lo, hi in pieces(text):
             sets = _sets(Words(text.slice(lo, hi - lo)), size)
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(_keys(sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"]))

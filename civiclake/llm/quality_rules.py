@@ -104,7 +104,7 @@ def _count(column: pa.Array) -> dict[str, np.ndarray]:
 def statistics(text: pa.Array) -> pa.Array:
     """The counts of each text, worked out for several million bytes at a time."""
     parts = []
-    for a, b in pieces(text, 4_000_000):
+    for a, b in pieces(text):
         got = _count(text.slice(a, b - a))
         parts.append(pa.StructArray.from_arrays([pa.array(got[c].astype(np.int64)) for c in COUNTS], COUNTS))
     return pa.concat_arrays(parts) if parts else pa.array([], _COUNTS_TYPE)

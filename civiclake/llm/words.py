@@ -33,13 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
+    """base**0 ... base**(n - 1), kept for the next batch; a longer text makes them anew."""
+    if n > len(_POWERS.get(base, ())):
+        out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out
+        _POWERS[base] = np.multiply.accumulate(out, out=out)
+    return _POWERS[base][:n]
 
 
 def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +87,12 @@ class Words:
     def hash(self) -> np.ndarray:
         """A 64-bit hash per word that depends on its bytes only."""
         if self._hash is None:
-            # Polynomial prefix sums in blocks keep the powers small in number; words that cross a block are summed over both.
             n = len(self.raw)
             prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
+            terms = prefix[1:]
+            np.add(self.raw, np.uint64(1), out=terms)
+            terms *= _powers(_BASE, n)
+            np.cumsum(terms, out=terms)
             value = (prefix[self.end] - prefix[self.start]) * _powers(_INVERSE, n + 1)[self.start]
             self._hash = mix(value + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         return self._hash
@@ -109,7 +114,7 @@ class Words:
         return ok, mix(total[ok])
 
 
-def pieces(column: pa.Array, target: int = 8_000_000):
+def pieces(column: pa.Array, target: int = 2_000_000):
     """Slices of a column of about ``target`` bytes each, a longer text alone: bounds the memory of vectorised work."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column.cast(pa.large_string())), 0))
     start, held = 0, 0
