@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, jaccard_join, mixing, quality_rules
+from civiclake.llm import decontaminate, jaccard_join, mixing, packing, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
+#: A public byte-level BPE vocabulary of 50,256 tokens.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -38,3 +41,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     read, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return read.select("_row.doc_id", "_row.source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"),
                        F.col("_before").alias("tokens_before"), F.col("_tokens").alias("n_tokens"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
