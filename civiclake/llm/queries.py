@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, jaccard_join, mixing, packing, quality_rules
+from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, mixing, packing, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 #: A public byte-level BPE vocabulary of 50,256 tokens.
@@ -46,3 +46,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op6_hmm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm_scoring.hmm_scores(table(spark, sf_dir, "documents"))
+    return scored.select(F.col("_id").alias("doc_id"), F.col("_held_out").alias("held_out"), F.col("_tokens").alias("n_tokens"),
+                         F.col("_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"),
+                         F.col("_base").alias("base_score"), F.col("_score").alias("score"))
