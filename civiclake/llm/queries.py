@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, mixing, packing, quality_rules
+from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 #: A public byte-level BPE vocabulary of 50,256 tokens.
@@ -54,3 +54,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("_id").alias("doc_id"), F.col("_held_out").alias("held_out"), F.col("_tokens").alias("n_tokens"),
                          F.col("_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"),
                          F.col("_base").alias("base_score"), F.col("_score").alias("score"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = language_id.identify(docs, learn=number % 4 != 2)
+    return found.select(
+        F.col("_id").alias("doc_id"), F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),
+        F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_entropy").alias("bits_per_symbol"), F.col("_accepted").alias("accepted"))
