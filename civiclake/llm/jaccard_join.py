@@ -4,8 +4,9 @@ Texts with one set of word shingles are one record with a number of copies. Ever
 min-hash values. In each run a record walks down the tree of buckets: from a bucket it follows each of its
 coordinates with probability ``1 / (rate * coordinates)``, decided by a hash of the bucket and the value, so two records
 share a path with a chance that grows with their similarity. Buckets of at most ``leaf`` records are compared all with
-all on the embedding; larger ones are split again, down to ``depth``, where what is left is compared in cells. The number of runs
-follows from the recall asked for at the threshold, see ``runs_needed``.
+all on the embedding. Larger ones first lose their near copies (``peel``), which no path can split, and are then split
+again, down to ``depth``, where what is left is compared in cells. The number of runs follows from the recall asked for at the
+threshold, see ``runs_needed``.
 
 Pairs that look similar enough (4.5 standard deviations below the threshold) only say which records belong
 together: connected components of them are then compared exactly, on whole shingle sets, again in cells of
@@ -20,6 +21,7 @@ it; an id may be null or repeated, classes go by texts. Further columns don't ma
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +178,46 @@ def _by_group(batches, *names):
 _EDGE = "a binary, b binary"
 
 
+def _peel_group(coordinates: int, least: int, near: int):
+    def run(batches):
+        for (bucket, _), rows in _by_group(batches, "bucket", "salt"):
+            s = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint32).reshape(-1, coordinates)
+            pivot, keys = np.asarray(rows["pivot"]), rows["key"].to_pylist()
+            lead, rest = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+            same = np.zeros((len(rest), len(lead)), np.int16)
+            for k in range(coordinates):
+                same += s[rest, k][:, None] == s[lead, k][None, :]
+            a, b = [], []
+            # Every pivot that looks similar is a link; they are few. Who is nearly a pivot itself leaves the bucket.
+            for i, j in zip(*np.nonzero(same >= least)):
+                if keys[rest[i]] != keys[lead[j]]:
+                    a.append(keys[rest[i]])
+                    b.append(keys[lead[j]])
+            stay = np.flatnonzero(same.max(1, initial=0) < near) if len(lead) else np.arange(len(rest))
+            a += [keys[rest[i]] for i in stay]
+            b += [None] * len(stay)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(np.full(len(a), bucket, np.int64))], ["a", "b", "bucket"])
+
+    return run
+
+
+def peel(level: DataFrame, large: DataFrame, sketches: DataFrame, coordinates: int, least: int, pivots: int = 16, chunk: int = 4096) -> DataFrame:
+    """Compares all rows of large buckets with some ``pivots`` of the same bucket: edges ``a, b``, and with a null ``b`` the rows that stay.
+
+    A group of near copies can't be split by its tokens. A row that agrees with a pivot on nine tenths of the embedding leaves: what
+    is similar to it looks similar to that pivot as well, and is linked to it here. A bucket is dealt to tasks in chunks, its pivots
+    to all of them, so the work grows with its size and not with the square.
+    """
+    rows = level.join(large.select("bucket", "size"), "bucket").join(sketches, "key")
+    rows = rows.withColumn("salts", F.ceil(F.col("size") / chunk).cast("int"))
+    leads = rows.where(F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / pivots)) == 0)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).withColumn("pivot", F.lit(False)).unionByName(
+        leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("pivot", F.lit(True)))
+    dealt = dealt.select("bucket", "salt", "pivot", "key", "sketch").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "key")
+    return dealt.mapInArrow(_peel_group(coordinates, least, math.ceil(0.9 * coordinates)), "a binary, b binary, bucket long")
+
+
 def _leaf_edges(coordinates: int, least: int):
     def run(batches):
         a, b = [], []
@@ -219,24 +261,30 @@ def candidate_edges(records: DataFrame, *, coordinates: int, threshold: float, r
     choose = chooser(rate, coordinates, runs)
     sketches = records.select("key", "sketch")
     level = sketches.select("key", F.explode(choose(F.lit(None).cast("long"), "sketch")).alias("bucket"))
-    leaves = None
+    leaves, peeled = [], []
     for step in range(depth):
         level = materialise(level, "paths")
         sizes = level.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("size > 1")
         # Buckets with the same members need one comparison.
-        small = sizes if step == depth - 1 else sizes.where(F.col("size") <= leaf)
-        small = small.groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
-        found = level.join(small.select("bucket"), "bucket")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if step < depth - 1:
-            large = sizes.where(F.col("size") > leaf).select("bucket")
-            level = level.join(large, "bucket").join(sketches, "key").select(
-                "key", F.explode(choose("bucket", "sketch")).alias("bucket"))
+        small = sizes.where(F.col("size") <= leaf).groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
+        leaves.append(level.join(small.select("bucket"), "bucket"))
+        large = materialise(sizes.where(F.col("size") > leaf).groupBy("size", "print").agg(F.min("bucket").alias("bucket")), "large")
+        if large.isEmpty():
+            break
+        found = materialise(peel(level, large, sketches, coordinates, least), "peeled")
+        peeled.append(found.where("b is not null").select("a", "b"))
+        rest = found.where("b is null").select(F.col("a").alias("key"), "bucket")
+        if step == depth - 1:
+            leaves.append(rest.select("bucket", "key"))
+        else:
+            level = rest.join(sketches, "key").select("key", F.explode(choose("bucket", "sketch")).alias("bucket"))
+    leaves = reduce(DataFrame.unionByName, leaves)
     cells = in_cells(leaves, "bucket", leaf)
     placed = cells.select("key", F.xxhash64("bucket", "_i", "_j").alias("bucket")).join(sketches, "key")
     dealt = placed.repartition("bucket").sortWithinPartitions("bucket", "key")
-    return dealt.mapInArrow(_leaf_edges(coordinates, least), _EDGE).distinct()
+    edges = dealt.mapInArrow(_leaf_edges(coordinates, least), _EDGE)
+    return reduce(DataFrame.unionByName, [edges, *peeled]).distinct()
 
 
 _LINKS = "key binary, links long, set_links long, root binary, whole boolean"
