@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules
+from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 
 #: A public byte-level BPE vocabulary of 50,256 tokens.
@@ -64,3 +64,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("_id").alias("doc_id"), F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),
         F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_entropy").alias("bits_per_symbol"), F.col("_accepted").alias("accepted"))
+
+
+URL_RULES = (
+    url_filters.Rule("allow", "com", ""), url_filters.Rule("block", "example.com", "en/"), url_filters.Rule("allow", "www.example.com", "en/"),
+    url_filters.Rule("block", "net", "es/"), url_filters.Rule("block", "net", "fr/"))
+
+
+@query("op3_url_filters")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("_id").alias("page_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+                         F.col("_verdict").alias("verdict"), F.col("_trust").alias("trust"), F.col("_distrust").alias("distrust"))
