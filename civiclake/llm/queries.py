@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters
+from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
+from civiclake.session import materialise
 
 #: A public byte-level BPE vocabulary of 50,256 tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -76,3 +77,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(F.col("_id").alias("page_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
                          F.col("_verdict").alias("verdict"), F.col("_trust").alias("trust"), F.col("_distrust").alias("distrust"))
+
+
+@query("op10_warc_fixity", """
+with records as (
+    select page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+        || coalesce(page_id::varchar, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+        || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+        || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) as record
+    from pages),
+sized as (select page_id, octet_length(record)::bigint as length, sha256(record) as digest from records),
+placed as (
+    select *, ('0x' || substr(digest, 1, 8))::bigint % greatest(1, ceil((select sum(length) from sized) / 64000000.0)::bigint) as file from sized),
+positioned as (
+    select *, coalesce(sum(length) over (partition by file order by page_id, digest rows between unbounded preceding and 1 preceding), 0)::bigint as "offset",
+        ('0x' || substr(sha256(coalesce(page_id::varchar, '')), 1, 8))::bigint % 600 as n
+    from placed)
+select page_id, file, "offset", length, case n when 0 then 'changed' when 1 then 'resized' else 'missing' end as kind
+from positioned where n <= 2
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica is the first with faults in about one of 200 records."""
+    first = materialise(warc_fixity.archive(table(spark, sf_dir, "pages")), "archive")
+    second = materialise(warc_fixity.damaged(first), "replica")
+    return warc_fixity.audit(first, second).select(F.col("id").alias("page_id"), "file", "offset", "length", "kind")
