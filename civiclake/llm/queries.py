@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
+from civiclake.llm import chat_format, decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 from civiclake.session import materialise
 
@@ -101,3 +101,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = materialise(warc_fixity.archive(table(spark, sf_dir, "pages")), "archive")
     second = materialise(warc_fixity.damaged(first), "replica")
     return warc_fixity.audit(first, second).select(F.col("id").alias("page_id"), "file", "offset", "length", "kind")
+
+
+@query("op2_chat_format")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = chat_format.repair_turns(table(spark, sf_dir, "conversations"))
+    return repaired.select(F.col("conv").alias("conv_id"), "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "cost", "piece")
