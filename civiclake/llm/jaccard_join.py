@@ -359,7 +359,7 @@ def shingle_bytes(size: int):
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
                     recall: float = 0.9999, coordinates: int = 64, rate: float = 0.5, depth: int = 3, leaf: int = 1024,
                     broadcast_rows: int = 1_000_000) -> DataFrame:
-    """A row for each row of ``docs``: ``_id``, ``_key`` (of its shingle set), ``_class`` (smallest id), ``_links``, ``_set_links``
+    """A row for each row of ``docs``: ``_id``, ``_key`` (of its shingle set), ``_root`` (a key that names its class), ``_class`` (smallest id), ``_links``, ``_set_links``
     (other documents, other sets with a Jaccard similarity of ``threshold`` or more), ``_copies`` (documents with its set) and
     ``_first`` (smallest id with its set).
 
@@ -393,11 +393,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         "key", "first", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"),
         F.coalesce("set_links", F.lit(0)).alias("set_links"))
     named = known.join(known.groupBy("root").agg(F.min("first").alias("class")), "root").select(
-        "key", "class", F.col("first").alias("_first"), F.col("copies").alias("_copies"),
+        "key", F.col("root").alias("_root"), "class", F.col("first").alias("_first"), F.col("copies").alias("_copies"),
         (F.col("links") + F.col("copies") - 1).alias("_links"), F.col("set_links").alias("_set_links"))
     out = rows.select("_id", "key").join(materialise(named, "classes"), "key", "left")
     return out.select(
-        "_id", F.col("key").alias("_key"), F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("class")).alias("_class"),
+        "_id", F.col("key").alias("_key"), "_root", F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("class")).alias("_class"),
         F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_set_links", F.lit(0)).alias("_set_links"),
         F.coalesce("_copies", F.lit(1)).alias("_copies"), F.coalesce("_first", "_id").alias("_first"))
 
@@ -424,7 +424,7 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
         return plain
     again = docs.join(_bounded(repeated, broadcast_rows), F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
     again = again.withColumn("_set", shingle_bytes(size)(F.col(text))).withColumn("_own", F.col("_set.key"))
-    keep = classes.where("_key is not null and (_id <=> _class)").groupBy("_class").agg(F.min("_key").alias("_key")).select("_key")
+    keep = classes.where("_key is not null and (_id <=> _class)").groupBy("_root").agg(F.min("_key").alias("_key")).select("_key")
     held = again.join(keep, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])
     wordless = again.where(F.length("_set.shingles") == 0)
     return plain.unionByName(held.select(*docs.columns)).unionByName(wordless.select(*docs.columns))
