@@ -51,7 +51,8 @@ def as_of(bronze: DataFrame, keys: Sequence[str], moment: Column, ingested: str
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``target`` with the rows of ``source`` replacing or joining it by key (source keys unique)."""
+    """``target`` with the rows of ``source`` replacing or joining it by key; a key that occurs twice in ``source`` fails the run."""
+    source = require_unique(source, keys)
     kept = target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(source, allowMissingColumns=True)
 
@@ -62,10 +63,12 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Grouping happens on the merge keys, so the merge that follows reuses the shuffle.
     """
     others = [c for c in df.columns if c not in keys]
+    if not others:
+        others, df = ["_key_only"], df.withColumn("_key_only", F.lit(True))
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*others)).alias("_row"))
     message = F.concat(F.lit("duplicate merge key: "), F.to_json(F.struct(*keys)))
     checked = F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return grouped.where(checked).select(*keys, "_row.*").select(*df.columns)
+    return grouped.where(checked).select(*keys, "_row.*").select(*[c for c in df.columns if c != "_key_only"])
 
 
 def scd2(target: DataFrame, source: DataFrame, keys: Sequence[str], tracked: Sequence[str], on: date | str,

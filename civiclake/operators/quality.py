@@ -33,6 +33,7 @@ class Rule:
     severity: str
     check: Callable[[Column], Column] | None = None
     reference: DataFrame | None = field(default=None, compare=False)
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -92,14 +93,14 @@ class Suite:
         return self._counts(df).select(F.inline(F.array(*entries)))
 
     def results(self, df: DataFrame, row_key: Sequence[str]) -> DataFrame:
-        """One row per record and rule."""
+        """One row per record and rule; ordered by the keys and ``rule_number`` they stand row by row, as rules are listed."""
         entries = [
             F.struct(
                 F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.field).alias("field"),
                 text.shown_value(r.field).alias("value"), self._ok(r).alias("passed"),
-                F.lit(r.severity).alias("severity"),
+                F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"), F.lit(i).alias("rule_number"),
             )
-            for r in self.rules
+            for i, r in enumerate(self.rules, 1)
         ]
         return self._checked(df).select(*[F.col(c).alias(f"key_{c}") for c in row_key], F.inline(F.array(*entries)))
 
@@ -108,9 +109,10 @@ class Suite:
         entries = [
             F.when(~self._ok(r), F.struct(
                 F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.field).alias("field"),
-                text.shown_value(r.field).alias("value"), F.lit(r.severity).alias("severity"),
+                text.shown_value(r.field).alias("value"), F.lit(r.severity).alias("severity"), F.lit(r.description).alias("description"),
+                F.lit(i).alias("rule_number"),
             ))
-            for r in self.rules
+            for i, r in enumerate(self.rules, 1)
         ]
         return self._checked(df).select(
             *[F.col(c).alias(f"key_{c}") for c in row_key], F.inline(F.array_compact(F.array(*entries)))
@@ -134,6 +136,21 @@ class Suite:
         return df
 
 
+#: The names and descriptions under which users know the ten rules.
+RULE_TEXTS = {
+    "R001": ("Account Reference — Not Null", "Every record must have an account reference"),
+    "R002": ("Account Reference — Format", "Account ref must match pattern CT followed by 8 digits"),
+    "R003": ("Surname — Not Null", "Surname is required for all liable parties"),
+    "R004": ("Forename — Not Null", "Forename should be present (some historic records may lack it)"),
+    "R005": ("Postcode — Valid Format", "Postcode must be a valid UK format"),
+    "R006": ("Ward Code — Valid Reference", "Ward code must exist in the ONS ward reference table"),
+    "R007": ("Council Tax Band — Valid", "Band must be A through H"),
+    "R008": ("Start Date — Valid", "Liable start date must be a valid date, not in the future"),
+    "R009": ("Annual Charge — Positive", "Annual charge must be a positive number"),
+    "R010": ("Title — Present", "Title is preferred for correspondence but not strictly required"),
+}
+
+
 def council_tax_suite(wards: DataFrame, today: Column) -> Suite:
     """The ten council-tax account rules; ``wards`` holds the valid ward codes."""
     bands = [chr(c) for c in range(ord("A"), ord("H") + 1)]
@@ -147,17 +164,21 @@ def council_tax_suite(wards: DataFrame, today: Column) -> Suite:
     def blank_or(pattern: str) -> Callable[[Column], Column]:
         return lambda c: text.is_missing(c) | text.matches(c, pattern)
 
+    def rule(id_: str, of: str, severity: str, check: Callable[[Column], Column] | None = None, reference: DataFrame | None = None) -> Rule:
+        name, description = RULE_TEXTS[id_]
+        return Rule(id_, name, of, severity, check, reference, description)
+
     return Suite((
-        Rule("R001", "Account reference is present", "account_ref", FAIL, text.is_present),
-        Rule("R002", "Account reference is CT and 8 digits", "account_ref", FAIL, blank_or(text.ACCOUNT_REF)),
-        Rule("R003", "Surname is present", "surname", FAIL, text.is_present),
-        Rule("R004", "Forename is present", "forename", WARN, text.is_present),
-        Rule("R005", "Postcode is a UK postcode", "postcode", FAIL, blank_or(text.POSTCODE_LOOSE)),
-        Rule("R006", "Ward code is a known ward", "ward_code", FAIL, reference=wards),
-        Rule("R007", "Band is A to H", "band", FAIL, lambda c: c.isin(bands)),
-        Rule("R008", "Start date is a past date", "start_date", FAIL, real_past_date),
-        Rule("R009", "Annual charge is above zero", "annual_charge", FAIL, positive),
-        Rule("R010", "Title is present", "title", WARN, text.is_present),
+        rule("R001", "account_ref", FAIL, text.is_present),
+        rule("R002", "account_ref", FAIL, blank_or(text.ACCOUNT_REF)),
+        rule("R003", "surname", FAIL, text.is_present),
+        rule("R004", "forename", WARN, text.is_present),
+        rule("R005", "postcode", FAIL, blank_or(text.POSTCODE_LOOSE)),
+        rule("R006", "ward_code", FAIL, reference=wards),
+        rule("R007", "band", FAIL, lambda c: c.isin(bands)),
+        rule("R008", "start_date", FAIL, real_past_date),
+        rule("R009", "annual_charge", FAIL, positive),
+        rule("R010", "title", WARN, text.is_present),
     ))
 
 
@@ -165,7 +186,11 @@ def council_tax_suite(wards: DataFrame, today: Column) -> Suite:
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Key values that occur more than once, with their count (NULL keys are another test's concern)."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    present = df.where(F.col(key).isNotNull()).select(key, digest.alias("_digest"))
+    # Long values are shuffled only where their digest occurs twice.
+    twice = present.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    return present.join(twice, "_digest", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

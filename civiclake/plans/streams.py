@@ -30,13 +30,13 @@ def stream_ingest(spark, sf_dir):
 @query("stream_daily_counts", """
     select cast(ts as date) as day, event_type, count(*) as n,
       cast(sum(cast(value as decimal(18,2))) as double) as total_value from events
-    where cast(ts as date) + 1 <= (select max(ts) from events) - interval 1 day group by 1, 2""")
+    group by 1, 2""")
 def stream_daily_counts(spark, sf_dir):
-    """Daily counts per type, emitted once a day's window has closed."""
-    out, marks = scratch_path(spark, "daily"), scratch_path(spark, "progress")
+    """Daily counts per type, also of days whose window is still open."""
+    log = feeds.ChangeLog(spark, scratch_path(spark, "daily"), ["day", "event_type"])
     counts = feeds.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], total_value=money("value"))
-    feeds.drain(counts, out, marks)
-    return spark.read.parquet(out).withColumn("total_value", F.col("total_value").cast("double"))
+    feeds.each_batch(counts, scratch_path(spark, "progress"), log.apply, mode="update")
+    return log.read().withColumn("total_value", F.col("total_value").cast("double"))
 
 
 @query("stream_upsert", """
@@ -54,11 +54,13 @@ def stream_upsert(spark, sf_dir):
 
 @query("stream_dq_quarantine", f"""
     with {RULES_SQL}, broken as (select account_ref, string_agg(rule_id, ',' order by rule_id) as rules
-      from long where not ok and severity = 'fail' group by 1) select account_ref, rules from broken""")
+      from long where not ok and severity = 'fail' group by 1)
+    select account_ref, coalesce(rules, '') as rules from accounts left join broken using (account_ref)""")
 def stream_dq_quarantine(spark, sf_dir):
-    """Accounts scored per micro-batch; rows breaking a rule are held back."""
+    """Accounts scored per micro-batch: what was let through (no rules) and what was held back."""
     landed, clean, held = (scratch_path(spark, n) for n in ("arrivals", "clean", "held"))
     table(spark, sf_dir, "accounts").repartition(3, "account_ref").write.parquet(landed)
     stream = feeds.file_stream(spark, landed, spark.read.parquet(landed).schema, files_per_batch=1)
     feeds.each_batch(stream, scratch_path(spark, "progress"), feeds.quarantine_sink(suite(spark, sf_dir), clean, held))
-    return spark.read.parquet(held).select("account_ref", F.array_join("_dq_failed", ",").alias("rules"))
+    back = spark.read.parquet(held).select("account_ref", F.array_join("_dq_failed", ",").alias("rules"))
+    return back.unionByName(spark.read.parquet(clean).select("account_ref", F.lit("").alias("rules")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from civiclake.operators.current import upsert
+from civiclake.session import materialise
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -46,13 +47,22 @@ def create_or_merge(spark: SparkSession, table: str, source: DataFrame, keys: Se
 def merge_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str) -> None:
     """Merge ``source`` by key into a partitioned path, rewriting only the partitions it touches.
 
-    A key must always fall into the same partition. The touched partitions are found by
-    join, so Spark prunes the scan to them, and they are replaced in one commit.
+    Touched are the partitions of the source rows and those that hold their keys now, so a row whose partition changes
+    leaves the old one; only keys and partitions of the target are read to find them. They are replaced in one commit.
+    A partition that loses its last row is deleted after it, since overwriting by partition leaves such a one alone.
     """
-    touched = source.select(partition).distinct()
-    affected = spark.read.parquet(path).join(touched, partition, "left_semi")
-    merged = upsert(affected, source, keys)
+    target = spark.read.parquet(path)
+    now = target.select(partition, *keys).join(source.select(*keys), list(keys), "left_semi").select(partition)
+    touched = materialise(source.select(partition).unionByName(now).distinct(), "touched")
+    affected = target.join(touched, partition, "left_semi")
+    merged = materialise(upsert(affected, source, keys), "merged")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    emptied = touched.join(merged.select(partition).distinct(), touched[partition].eqNullSafe(merged[partition]), "left_anti")
+    folders = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in emptied.collect():  # partitions, not rows
+        value = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else str(row[0])
+        folder = folders.Path(f"{path}/{partition}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def publish_view(df: DataFrame, name: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from civiclake.operators.current import latest_per_key
 from civiclake.operators.quality import Suite
+from civiclake.session import materialise
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None,
@@ -34,9 +35,9 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return query
 
 
-def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     query = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -51,6 +52,22 @@ def windowed_counts(stream: DataFrame, stamp: str, by: Sequence[str], window: st
     return counted.select(F.col("window.start").cast("date").alias("day"), *by, "n", *measures)
 
 
+class ChangeLog:
+    """Changed rows of a keyed aggregate, one folder per micro-batch; a replayed batch rewrites its own folder.
+
+    ``read`` gives the newest row of each key, so windows that are still open are in the result as well.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]) -> None:
+        self.spark, self.root, self.keys = spark, root, list(keys)
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        return latest_per_key(self.spark.read.parquet(self.root), self.keys, ["batch"]).drop("batch")
+
+
 class VersionedState:
     """A keyed table kept as one directory per micro-batch under ``root``.
 
@@ -63,6 +80,13 @@ class VersionedState:
         self.spark, self.root, self.keys, self.newest_by, self.ties = spark, root, list(keys), list(newest_by), list(ties)
         self.last: int | None = None
 
+    def newest(self) -> int | None:
+        """The newest complete version in storage: its write committed. What a restarted process goes on from."""
+        folders = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        done = folders.Path(f"{self.root}/v=*/_SUCCESS")
+        found = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+        return max((int(f.getPath().getParent().getName()[2:]) for f in found or []), default=None)
+
     def path(self, version: int) -> str:
         return f"{self.root}/v={version}"
 
@@ -74,15 +98,19 @@ class VersionedState:
         self.last = batch_id
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path(self.last))
+        version = self.newest() if self.last is None else self.last
+        if version is None:
+            raise ValueError(f"no version in {self.root}")
+        return self.spark.read.parquet(self.path(version))
 
 
 def quarantine_sink(suite: Suite, clean: str, held: str) -> Callable[[DataFrame, int], None]:
     """Splits each micro-batch into rows that pass and rows to hold, under the batch's own folders."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = suite.split(batch)
-        good.write.mode("overwrite").parquet(f"{clean}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+        # The rules are evaluated once; both sinks read what came of it.
+        marked = materialise(suite.flagged(batch), "flagged")
+        marked.where(F.size("_dq_failed") == 0).drop("_dq_failed").write.mode("overwrite").parquet(f"{clean}/batch={batch_id}")
+        marked.where(F.size("_dq_failed") > 0).write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
 
     return handle
