@@ -154,7 +154,7 @@ class Identifier:
     order: int
     sharpness: float = 1.0
     usual: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # mean cross-entropy and its spread at one symbol
-    memo_size: int = 500_000
+    memo_size: int = 300_000
 
     def __post_init__(self):
         self.memo: dict[int, int] = {}

@@ -48,7 +48,7 @@ def read_vocabulary(path: str, at_most: int = 64_000_000) -> bytes:
 class Encoder:
     """Texts to id bytes. Words after single spaces are encoded once and remembered, up to ``remember`` of them."""
 
-    def __init__(self, vocabulary: bytes, remember: int = 400_000):
+    def __init__(self, vocabulary: bytes, remember: int = 150_000):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
@@ -186,7 +186,7 @@ class _Shard:
 
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", row_length: int = 2048,
-         shard_tokens: int = 4_000_000) -> DataFrame:
+         shard_tokens: int = 2_000_000) -> DataFrame:
     """Packed rows of all documents, see ``SCHEMA``; ``vocabulary`` is the path of a byte-level BPE file of tokens and ranks."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 

@@ -114,9 +114,9 @@ class Words:
         return ok, mix(total[ok])
 
 
-def pieces(column: pa.Array, target: int = 2_000_000):
+def pieces(column: pa.Array, target: int = 1_000_000):
     """Slices of a column of about ``target`` bytes each, a longer text alone: bounds the memory of vectorised work."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column.cast(pa.large_string())), 0))
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
     start, held = 0, 0
     for i, s in enumerate(sizes):
         if held and held + s > target:
