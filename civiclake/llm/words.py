@@ -38,7 +38,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1), kept for the next batch; a longer text makes them anew."""
-    if n > len(_POWERS.get(base, ())):
+    if base not in _POWERS or n > len(_POWERS[base]):
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         _POWERS[base] = np.multiply.accumulate(out, out=out)
