@@ -305,13 +305,13 @@ def ct_distinct_awards(spark, sf_dir):
 @query("ct_filters", """
     select account_ref, property_ref, band, liable_start from accounts
     where status = 'Active' and year = 2001 and band in ('A', 'B', 'C') and forename is not null
-      and liable_start >= DATE '1995-12-31'""")
+      and liable_start >= DATE '1990-06-30'""")
 def ct_filters(spark, sf_dir):
     """Equality, list, not-null, current-year and trailing-years filters together."""
     accounts = table(spark, sf_dir, "accounts")
     return accounts.where(
         (F.col("status") == "Active") & (F.col("year") == F.year(day(AS_OF))) & F.col("band").isin("A", "B", "C")
-        & F.col("forename").isNotNull() & (F.col("liable_start") >= F.add_months(day(AS_OF), -72))
+        & F.col("forename").isNotNull() & (F.col("liable_start") >= F.add_months(day(AS_OF), -138))
     ).select("account_ref", "property_ref", "band", "liable_start")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,18 @@ from civiclake.sources.domain import read, table
 EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"
 
 
-def catalogue(spark, sf_dir) -> DataFrame:
-    """Documents as catalogue entries whose columns are the lines of the text."""
+def catalogue(spark, sf_dir, typed: bool = True) -> DataFrame:
+    """Documents as catalogue entries whose columns are the lines of the text; search needs neither types nor marks of personal data."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    line = lambda x, i: F.struct(  # noqa: E731 - higher-order function body
-        F.concat(F.lit("line_"), (i + 1).cast("string")).alias("name"),
-        F.concat(F.lit("VARCHAR("), F.length(x).cast("string"), F.lit(")")).alias("type"),
-        x.alias("description"), x.rlike(EMAIL).alias("pii"))
+
+    def line(x, i):
+        name = F.concat(F.lit("line_"), (i + 1).cast("string")).alias("name")
+        if not typed:
+            return F.struct(name, x.alias("description"))
+        size = F.concat(F.lit("VARCHAR("), F.length(x).cast("string"), F.lit(")")).alias("type")
+        return F.struct(name, size, x.alias("description"), x.rlike(EMAIL).alias("pii"))
+
     return docs.select(
         F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("lang").alias("owner"),
         F.col("text").alias("description"),
@@ -41,7 +47,7 @@ ENTRIES_SQL = """
       or contains(lower(description), 'sensitive') or classification = 'sensitive'
       or id in (select id from lines where contains('line_' || n, 'sensitive'))""")
 def gov_search(spark, sf_dir):
-    return governance.search(catalogue(spark, sf_dir), " Sensitive ").select("id", "owner", "classification")
+    return governance.search(catalogue(spark, sf_dir, typed=False), " Sensitive ").select("id", "owner", "classification")
 
 
 @query("gov_search_flat", """
@@ -100,28 +106,67 @@ def gov_rls(spark, sf_dir):
                                   ["account_ref", "ward_code", "band"])
 
 
+#: Every column of the supplied tables; money and rates are profiled as decimals, so that their text is exact.
+PROFILED = {
+    "region": "r_regionkey:int r_name:string", "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:decimal(18,2) c_mktsegment:string",
+    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:decimal(18,2)",
+    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:decimal(18,2)",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:decimal(18,2) o_orderdate:date o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:decimal(18,2) l_extendedprice:decimal(18,2) "
+                "l_discount:decimal(18,2) l_tax:decimal(18,2) l_returnflag:string l_linestatus:string l_shipdate:date",
+    "events": "event_id:bigint ts:date user_id:bigint event_type:string value:decimal(18,2) props:string",
+    "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint", "labels": "doc_id:bigint quality:int toxic:int",
+    "conversations": "conv_id:bigint turn:bigint role:string text:string", "benchmark": "item_id:bigint text:string",
+    "pages": "page_id:bigint url:string html:string",
+}
+PROFILED = {name: [tuple(c.split(":")) for c in columns.split()] for name, columns in PROFILED.items()}
+
+
 @query("gov_profile", " union all ".join(
-    f"""select '{c}' as column_name, '{t}' as data_type, count(*) as n_rows, count(*) - count({c}) as n_null,
-        cast(min({c}) as string) as least, cast(max({c}) as string) as greatest from lineitem"""
-    for c, t in (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_returnflag", "string"), ("l_linestatus", "string"))))
+    f"""select '{name}' as dataset, '{c}' as column_name, '{t}' as data_type, count(*) as n_rows, count(*) - count({c}) as n_null,
+        cast(min(cast({c} as {t})) as string) as least, cast(max(cast({c} as {t})) as string) as greatest from {name}"""
+    for name, columns in PROFILED.items() for c, t in columns))
 def gov_profile(spark, sf_dir):
-    return governance.profile(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+    """Every column of every table, one pass a table."""
+    parts = []
+    for name, columns in PROFILED.items():
+        typed = read(spark, sf_dir, name).select(*[F.col(c).cast(t).alias(c) for c, t in columns])
+        parts.append(governance.profile(typed).withColumn("dataset", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: The domain tables with the column that dates them, if any.
+DATASETS = {
+    "wards": None, "accounts": "liable_start", "properties": "last_modified_date", "repairs": "last_modified", "requests": "request_date",
+    "referrals": "contact_date", "collections": "scheduled_date", "benefit_claims": None, "cts_awards": None, "budget_lines": None,
+    "revenues_persons": None, "housing_persons": None, "social_persons": None,
+}
 
 
-@query("gov_catalog_build", """
-    select 'accounts' as dataset, count(*) as records, cast(max(liable_start) as date) as last_updated from accounts
-    union all select 'repairs', count(*), max(last_modified) from repairs
-    union all select 'referrals', count(*), max(contact_date) from referrals
-    union all select 'collections', count(*), max(scheduled_date) from collections""")
+@query("gov_catalog_build", " union all ".join(
+    f"""select '{name}' as dataset, count(*) as records, cast({f"max({stamp})" if stamp else "null"} as date) as last_updated from {name}"""
+    for name, stamp in DATASETS.items()))
 def gov_catalog_build(spark, sf_dir):
     """Record count and last update per dataset, as the catalogue shows them."""
-    stamps = {"accounts": "liable_start", "repairs": "last_modified", "referrals": "contact_date", "collections": "scheduled_date"}
-    parts = [
+    return reduce(DataFrame.unionByName, [
         table(spark, sf_dir, name).agg(
-            F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("records"), F.max(stamp).alias("last_updated"))
-        for name, stamp in stamps.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+            F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("records"),
+            (F.max(stamp) if stamp else F.lit(None)).cast("date").alias("last_updated"))
+        for name, stamp in DATASETS.items()])
+
+
+@query("gov_completeness", " union all ".join(
+    f"""select '{name}' as dataset, case when count(*) = 0 then null else round(100.0 * ({" + ".join(f"count({c})" for c, _ in columns)})
+        / (count(*) * {len(columns)}), 1) end as quality from {name}""" for name, columns in PROFILED.items()))
+def gov_completeness(spark, sf_dir):
+    """The catalogue's quality score: the share of cells that hold a value."""
+    parts = []
+    for name, columns in PROFILED.items():
+        filled = reduce(lambda a, b: a + b, [F.count(c) for c, _ in columns])
+        share = F.round(F.try_divide(filled * 100.0, F.count(F.lit(1)) * len(columns)), 1)
+        parts.append(read(spark, sf_dir, name).agg(F.lit(name).alias("dataset"), share.alias("quality")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("gov_open_data", """
