@@ -378,8 +378,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     wanted = materialise(groups.withColumnRenamed("node", "key").join(records.select("key", "first", "copies", "n"), "key"), "wanted")
     lookup = wanted.select("first", F.col("key").alias("_wanted"))
     found = source.join(_bounded(lookup, broadcast_rows), F.col("_id").eqNullSafe(F.col("first")))
-    sets = found.select("_wanted", shingle_bytes(size)(F.col("_text")).alias("s")).where("s.key = _wanted").select("s.key", "s.shingles")
-    sets = sets.dropDuplicates(["key"])
+    sets = found.select("_wanted", "_text").mapInArrow(_wanted_sets(size), "key binary, shingles binary").dropDuplicates(["key"])
     cells = in_cells(wanted.select("key", "component", "copies", "n"), "component", leaf // 2, "n", 500_000).join(sets, "key")
     dealt = cells.select("component", "_i", "_j", "_own", "_parts", "key", "copies", "shingles") \
         .repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "key")
@@ -402,6 +401,21 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         F.coalesce("_copies", F.lit(1)).alias("_copies"), F.coalesce("_first", "_id").alias("_first"))
 
 
+def _wanted_sets(size: int):
+    """(key, text) -> the text's shingles if they have that key; a few hundred rows at a time, since sets are as large as texts."""
+
+    def run(batches):
+        for batch in batches:
+            wanted, text = batch.column(0), batch.column(1)
+            for lo, hi in pieces(text):
+                sets = _sets(Words(text.slice(lo, hi - lo)), size)
+                same = [(k, s.tobytes()) for k, s, w in zip(_keys(sets), sets, wanted.slice(lo, hi - lo).to_pylist()) if k == w]
+                keys, values = zip(*same) if same else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["key", "shingles"])
+
+    return run
+
+
 def _bounded(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it is written already and has at most ``most`` rows."""
     return F.broadcast(df) if df.count() <= most else df
