@@ -20,13 +20,15 @@ class Comparison:
 
     ``kind`` is ``jaro_winkler`` (thresholds fall), ``levenshtein`` (thresholds rise),
     ``date`` (largest distance in days, rising) or ``exact``. Levels count up from 0
-    (no agreement) to ``top`` (equal); a NULL on either side is level -1.
+    (no agreement) to ``top`` (equal); a NULL on either side is level -1. Of a ``digest`` only equality means
+    anything: unequal ones are on level 0 however they are spelt.
     """
 
     column: str
     kind: str
     thresholds: tuple[float, ...] = ()
     term_frequency: bool = False
+    digest: bool = False
 
     @property
     def top(self) -> int:
@@ -34,7 +36,7 @@ class Comparison:
 
     def level(self, left: Column, right: Column) -> Column:
         agree = F.when(left.isNull() | right.isNull(), -1).when(left == right, self.top)
-        if self.thresholds:
+        if self.thresholds and not self.digest:
             if self.kind == "jaro_winkler":
                 near = similarity.jaro_winkler(left, right)
                 reached = [near >= t for t in self.thresholds]
@@ -50,7 +52,7 @@ class Comparison:
 
     def tokens(self, lengths: list[int], level: int = 1) -> Column:
         """Array of strings; two values on ``level`` or above always share an element."""
-        if level >= self.top:
+        if level >= self.top or self.digest:
             return F.when(F.col(self.column).isNotNull(), F.array(F.col(self.column).cast("string")))
         limit = self.thresholds[self.top - 1 - level]
         if self.kind == "jaro_winkler":

@@ -1,17 +1,19 @@
-"""Match and non-match probabilities per level: sampled u, EM for m, and match weights as Columns."""
+"""Match and non-match probabilities per level: counted u, EM for m, and match weights as Columns."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.operators.linkage.compare import Comparison, Linkage
-from civiclake.operators.linkage.pairs import pattern_counts, spread, with_levels
+from civiclake.operators.linkage.compare import COPIES, Comparison, Linkage
+from civiclake.operators.linkage.pairs import pattern_counts, value_lengths
 from civiclake.operators.skew import pairs_within
+from civiclake.session import materialise
 
 FLOOR = 1e-6  # keeps an unseen level from deciding a pair on its own
 
@@ -97,43 +99,45 @@ def threshold_bits(p: float) -> float:
     return math.log2(p / (1 - p))
 
 
-def random_pairs(records: DataFrame, id_col: str, columns: Sequence[str], max_pairs: float, seed: int = 7) -> DataFrame:
-    """About ``max_pairs`` random pairs of records (all pairs when there are no more than that).
+def level_counts(records: DataFrame, linkage: Linkage) -> DataFrame:
+    """``(column, level, pairs, share)`` over all pairs of records with both values present, counted exactly.
 
-    A hash sample of the records is dealt into random buckets and paired inside them, so
-    the work is set by ``max_pairs`` and not by the table; no record meets all others.
+    Columns are counted on their own, by value: equal pairs from the number of records per value, similar ones by joining
+    distinct values on tokens that similar values share, and the rest by subtraction. ``records`` may be profiles with
+    their number of copies.
     """
-    n = records.count()
-    wanted = min(n, math.ceil(8 * math.sqrt(2 * max_pairs)))
-    if n * (n - 1) / 2 <= max_pairs:
-        wanted, buckets = n, 1
-    else:
-        buckets = max(1, round(wanted * wanted / (2 * max_pairs)))
-    place = F.xxhash64(F.lit(seed), id_col)
-    grain = 1 << 40
-    sample = records.where(F.pmod(place, F.lit(grain)) < int(grain * min(1.0, wanted / max(n, 1))))
-    dealt = sample.select(id_col, *columns, F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.lit(buckets)).alias("_bucket"))
-    return spread(pairs_within(dealt, ["_bucket"], id_col, columns, drop=["_bucket"]), id_col)
-
-
-def level_shares(pairs: DataFrame, linkage: Linkage) -> DataFrame:
-    """``(column, level, pairs, share)`` over the pairs, in one aggregation; NULL levels are left out."""
-    cells = F.array(*[
-        F.struct(F.lit(c.column).alias("column"), F.col(f"gamma_{c.column}").alias("level")) for c in linkage.comparisons
-    ])
-    counts = (
-        with_levels(pairs, linkage).select(F.inline(cells)).where("level >= 0")
-        .groupBy("column", "level").agg(F.count(F.lit(1)).alias("pairs"))
-    )
-    per_column = counts.groupBy("column").agg(F.sum("pairs").alias("all_pairs"))
-    return counts.join(per_column, "column").select("column", "level", "pairs", (F.col("pairs") / F.col("all_pairs")).alias("share"))
-
-
-def estimate_u(records: DataFrame, linkage: Linkage, id_col: str, max_pairs: float = 1e6, seed: int = 7) -> dict[str, list[float]]:
-    """Level probabilities among random pairs. Reads back one number per column and level."""
-    shares = level_shares(random_pairs(records, id_col, linkage.columns, max_pairs, seed), linkage)
+    copies = F.sum(COPIES) if COPIES in records.columns else F.count(F.lit(1))
+    exact = "decimal(38,0)"  # numbers of pairs outgrow a long
+    parts = []
+    for c in linkage.comparisons:
+        present = records.where(F.col(c.column).isNotNull())
+        values = materialise(present.groupBy(c.column).agg(copies.cast("decimal(19,0)").alias("n")), "values")
+        n, all_ = F.col("n"), F.sum("n").cast("decimal(19,0)")
+        whole = values.agg((all_ * (all_ - 1) / 2).cast(exact).alias("all_pairs"), F.sum((n * (n - 1) / 2).cast(exact)).alias("same"))
+        near = None
+        if c.thresholds and not c.digest:
+            marked = values.withColumn("_token", F.explode(c.tokens(value_lengths(values.withColumnRenamed("n", COPIES), [c]), 1)))
+            pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()
+            level = c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
+            near = pairs.withColumn("level", level).where(F.col("level").between(1, c.top - 1)).groupBy("level").agg(
+                F.sum((F.col("n_l") * F.col("n_r")).cast(exact)).cast(exact).alias("pairs"))
+        else:
+            near = values.sparkSession.createDataFrame([], f"level int, pairs {exact}")
+        top = whole.select(F.lit(c.top).alias("level"), F.col("same").cast(exact).alias("pairs"))
+        some = materialise(near.unionByName(top), "levels")
+        rest = whole.crossJoin(some.agg(F.sum("pairs").alias("some")))  # one row each
+        rest = rest.select(F.lit(0).alias("level"), (F.col("all_pairs") - F.col("some")).cast(exact).alias("pairs"))
+        levels = some.unionByName(rest).crossJoin(whole.select("all_pairs")).where("pairs > 0")
+        parts.append(levels.select(F.lit(c.column).alias("column"), "level", F.col("pairs").cast("long").alias("pairs"),
+                                   (F.col("pairs").cast("double") / F.col("all_pairs").cast("double")).alias("share")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def estimate_u(records: DataFrame, linkage: Linkage) -> dict[str, list[float]]:
+    """Level probabilities among all pairs of records. Reads back one number per column and level; ``FLOOR`` stands for a level
+    that no pair is on, so that it can't decide a pair on its own."""
     u = {c.column: [FLOOR] * (c.top + 1) for c in linkage.comparisons}
-    for row in shares.collect():  # at most sum of (levels) rows
+    for row in level_counts(records, linkage).collect():  # at most sum of (levels) rows
         u[row["column"]][row["level"]] = max(FLOOR, row["share"])
     return u
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.operators import linkage as lk
-from civiclake.operators.linkage.model import level_shares, random_pairs
+from civiclake.operators.linkage.model import level_counts
 from civiclake.operators.linkage.pairs import pattern_counts
 from civiclake.operators.linkage.predict import review_queue, summary
 from civiclake.plans import social_care
@@ -32,7 +32,7 @@ PREDICT_AT, CLUSTER_AT = 0.88, 0.92
 # The referral model.
 REFERRALS = lk.Linkage(
     comparisons=(
-        lk.Comparison("nhs_number_hash", "jaro_winkler", (0.95, 0.88)),
+        lk.Comparison("nhs_number_hash", "jaro_winkler", (0.95, 0.88), digest=True),
         lk.Comparison("postcode_area", "levenshtein", (1, 2)),
         lk.Comparison("age_band", "exact"),
         lk.Comparison("gender", "exact"),
@@ -225,10 +225,22 @@ def link_gamma_hist(spark, sf_dir):
     return pattern_counts(found, PEOPLE, ("surname", "dob")).withColumn("n", F.col("n").cast("long"))
 
 
-@query("link_u")
+def _values_sql(column: str) -> str:
+    """Level of each pair of distinct values of a column, with the number of record pairs behind it."""
+    others = ", ".join(f"null::{'date' if c == 'dob' else 'varchar'} as {c}_{side}" for c in PEOPLE.columns if c != column for side in "lr")
+    return f"""v_{column} as (select {column} as v, count(*)::hugeint as n from people where {column} is not null group by 1),
+    c_{column} as (select a.v as {column}_l, b.v as {column}_r, {others},
+      case when a.v = b.v then a.n * (a.n - 1) / 2 else a.n * b.n end as n from v_{column} a join v_{column} b on a.v <= b.v),
+    l_{column} as ({_levels_sql(f'c_{column}')})"""
+
+
+@query("link_u", f"with {RECORDS_SQL}, {', '.join(map(_values_sql, PEOPLE.columns))}, counted as (" + " union all ".join(
+    f"select '{c}' as column, gamma_{c} as level, sum(n) as pairs from l_{c} group by gamma_{c}" for c in PEOPLE.columns) + """)
+    select "column", level, cast(pairs as bigint) as pairs, round(pairs / sum(pairs) over (partition by "column"), 9) as share
+    from counted where pairs > 0""")
 def link_u(spark, sf_dir):
-    records, _ = _people(spark, sf_dir)
-    return level_shares(random_pairs(records, "person_id", PEOPLE.columns, 1e6), PEOPLE)
+    """Level counts over all pairs of people."""
+    return level_counts(compared(persons(spark, sf_dir)), PEOPLE).withColumn("share", F.round("share", 9))
 
 
 @query("link_train")
@@ -244,7 +256,7 @@ def link_train(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     records, found = _people(spark, sf_dir)
-    u = lk.estimate_u(records, PEOPLE, "person_id", 1e6)
+    u = lk.estimate_u(found, PEOPLE)
     return records, found, lk.estimate_m(found, PEOPLE, u, PEOPLE_TRAINING)
 
 
@@ -325,7 +337,7 @@ def referral_clusters(spark, sf_dir) -> DataFrame:
     """``(referral_id, person_cluster_id)`` from the trained referral model."""
     records = social_care.pseudonymised(table(spark, sf_dir, "referrals")).select("referral_id", *REFERRALS.columns)
     found = materialise(lk.profiles(records, REFERRALS, "referral_id"), "profiles")
-    u = lk.estimate_u(records, REFERRALS, "referral_id", 2e5)
+    u = lk.estimate_u(found, REFERRALS)
     model = lk.estimate_m(found, REFERRALS, u, REFERRAL_TRAINING, rounds=10, tolerance=1e-3)
     pairs = materialise(lk.predict(found, REFERRALS, model, REFERRAL_PREDICT_AT), "pairs")
     named = lk.cluster_records(records, found, REFERRALS, model, pairs, REFERRAL_CLUSTER_AT, "referral_id")

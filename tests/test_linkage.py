@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from civiclake.functions.similarity import jaro_winkler_pair, letter_tokens
 from civiclake.operators import linkage as lk
 from civiclake.operators.components import connected_components
-from civiclake.operators.linkage.model import random_pairs
+from civiclake.operators.linkage.model import level_counts
 from civiclake.operators.linkage.pairs import all_pairs, pattern_counts, similar_pairs, with_levels, agrees_outside
 from civiclake.operators.linkage.predict import predict
 from civiclake.operators.skew import pairs_within
@@ -113,11 +113,26 @@ def test_components_equal_union_find(spark):
     assert got == {n: find(n) for n in root}
 
 
-def test_random_pairs_respect_their_size(spark):
-    df = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("v"))
-    assert random_pairs(df, "id", ["v"], 1e6).count() == 400 * 399 // 2
-    n = random_pairs(spark.range(20000).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("v")), "id", ["v"], 20000).count()
-    assert 14000 < n < 27000
+def test_levels_are_counted_over_all_pairs(spark):
+    rng = random.Random(4)
+    data = [(f"p{i:03d}", rng.choice([*NAMES, None]), rng.choice(["BELL", "BELLS", "DODD"]), f"19{rng.randint(60, 62)}-0{rng.randint(1, 9)}-11",
+             rng.choice([f"NE{k} 1AB" for k in range(1, 30)])) for i in range(60)]
+    df = spark.createDataFrame(data, "person_id string, forename string, surname string, dob string, postcode string")
+    df = df.withColumn("dob", F.col("dob").cast("date"))
+    left, right = (df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "lr")
+    levels = with_levels(left.join(right, F.col("person_id_l") < F.col("person_id_r")), PEOPLE)
+    want = {(c.column, r["level"]): r["count"] for c in PEOPLE.comparisons
+            for r in levels.groupBy(F.col(f"gamma_{c.column}").alias("level")).count().where("level >= 0").collect()}
+    for source in (df, lk.profiles(df, PEOPLE, "person_id")):
+        got = level_counts(source, PEOPLE).collect()
+        assert {(r["column"], r["level"]): r["pairs"] for r in got} == want
+        assert abs(sum(r["share"] for r in got) - len(PEOPLE.comparisons)) < 1e-9
+
+
+def test_digests_agree_only_when_equal(spark):
+    df = spark.createDataFrame([("a" * 63 + "b", "a" * 63 + "c"), ("x", "x"), (None, "x")], "v_l string, v_r string")
+    c = lk.Comparison("v", "jaro_winkler", (0.95, 0.88), digest=True)
+    assert [r[0] for r in df.select(c.level(F.col("v_l"), F.col("v_r"))).collect()] == [0, 3, -1]
 
 
 def test_training_separates_matches(spark):
@@ -134,7 +149,7 @@ def test_training_separates_matches(spark):
     df = spark.createDataFrame(out, "person_id string, forename string, surname string, dob string, postcode string")
     df = df.withColumn("dob", F.col("dob").cast("date"))
     found = lk.profiles(df, PEOPLE, "person_id")
-    u = lk.estimate_u(df, PEOPLE, "person_id", 1e5)
+    u = lk.estimate_u(df, PEOPLE)
     model = lk.estimate_m(found, PEOPLE, u, [("surname", "dob"), ("forename", "postcode")])
     for c in PEOPLE.comparisons:
         assert model.m[c.column][c.top] > model.u[c.column][c.top]
