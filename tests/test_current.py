@@ -65,6 +65,14 @@ def test_upsert_is_idempotent(spark):
     assert rows(current.upsert(once, new, ["k"])) == rows(once)
 
 
+def test_upsert_refuses_duplicate_source_keys(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="duplicate merge key"):
+        current.upsert(target, spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "k int, v string"), ["k"]).collect()
+    only_keys = spark.createDataFrame([(1,), (2,)], "k int")
+    assert rows(current.upsert(only_keys, spark.createDataFrame([(2,), (3,)], "k int"), ["k"])) == [(1,), (2,), (3,)]
+
+
 def test_latest_keeps_one_row_per_key_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
     newest = current.latest_per_key(df, ["k"], ["t"])

@@ -31,6 +31,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_filters_keep_and_lose_rows(spark):
+    for sf in ("0.001", "0.01"):
+        path = os.path.join(os.path.dirname(SF.rstrip("/")), f"sf{sf}")
+        some = QUERIES["ct_filters"](spark, path).count()
+        assert 0 < some < table(spark, path, "accounts").count()
+
+
 def test_contract(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)

@@ -73,6 +73,13 @@ def test_partition_merge_leaves_other_partitions_alone(spark):
     assert {r[0] for r in spark.read.parquet(path).where("y = 2020").select("_metadata.file_name").collect()} == before
 
 
+def test_a_key_that_changes_its_partition_leaves_the_old_one(spark):
+    path = scratch_path(spark, "moving")
+    spark.createDataFrame([("a", 1, 2020), ("b", 2, 2021), ("c", 3, 2021)], "k string, v int, y int").write.partitionBy("y").parquet(path)
+    lake.merge_partitions(spark, path, spark.createDataFrame([("a", 9, 2021), ("b", 8, 2022)], "k string, v int, y int"), ["k"], "y")
+    assert rows(spark.read.parquet(path).select("k", "v", "y")) == [("a", 9, 2021), ("b", 8, 2022), ("c", 3, 2021)]
+
+
 def test_stage_log_counts_without_extra_jobs(spark):
     log = lake.StageLog()
     df = log.watch("in", spark.range(10).withColumn("at", F.lit("2024-01-01")), "at")
@@ -95,6 +102,25 @@ def test_streamed_state_equals_batch(spark):
     assert rows(state.read()) == want
 
 
+def test_state_is_found_after_a_restart(spark):
+    root = scratch_path(spark, "state")
+    batch = spark.createDataFrame([("a", 1, "x")], "k string, t int, v string")
+    first = feeds.VersionedState(spark, root, ["k"], ["t"])
+    with pytest.raises(ValueError, match="no version"):
+        first.read()
+    first.apply(batch, 0)
+    first.apply(batch.withColumn("t", F.col("t") + 1), 1)
+    assert rows(feeds.VersionedState(spark, root, ["k"], ["t"]).read()) == [("a", 2, "x")]
+
+
+def test_open_windows_are_in_the_log(spark):
+    log = feeds.ChangeLog(spark, scratch_path(spark, "log"), ["k"])
+    log.apply(spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int"), 0)
+    log.apply(spark.createDataFrame([("a", 3)], "k string, n int"), 1)
+    log.apply(spark.createDataFrame([("a", 3)], "k string, n int"), 1)
+    assert rows(log.read()) == [("a", 3), ("b", 1)]
+
+
 def test_stream_resumes_where_it_stopped(spark):
     folder, out, cp = (scratch_path(spark, n) for n in ("in", "out", "cp"))
     spark.range(5).write.parquet(folder)
