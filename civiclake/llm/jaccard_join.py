@@ -21,11 +21,12 @@ it; an id may be null or repeated, classes go by texts. Further columns don't ma
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -356,7 +357,7 @@ def shingle_bytes(size: int):
     return make
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
+def _jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
                     recall: float = 0.9999, coordinates: int = 64, rate: float = 0.5, depth: int = 3, leaf: int = 1024,
                     broadcast_rows: int = 1_000_000) -> DataFrame:
     """A row for each row of ``docs``: ``_id``, ``_key`` (of its shingle set), ``_root`` (a key that names its class), ``_class`` (smallest id), ``_links``, ``_set_links``
@@ -416,11 +417,29 @@ def _wanted_sets(size: int):
     return run
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Batches of at most ``most`` rows for what runs inside: rows here hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bounded(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it is written already and has at most ``most`` rows."""
     return F.broadcast(df) if df.count() <= most else df
 
 
+def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
+    """See ``_jaccard_classes``; whatever handles texts or sets in Python does so a thousand rows at a time."""
+    with arrow_rows(docs.sparkSession, 1000):
+        return _jaccard_classes(docs, **options)
+
+
 def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 5, broadcast_rows: int = 1_000_000,
                       **options) -> DataFrame:
     """``docs`` with one row of each class: one with the class's smallest id. Rows without words all stay.
