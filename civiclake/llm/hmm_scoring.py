@@ -125,6 +125,9 @@ _ENCODED = T.StructType([
     T.StructField("base_log", T.DoubleType()), T.StructField("inner_log", T.DoubleType()),
     T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_at", T.ArrayType(T.IntegerType()))])
 
+_ENCODED_PA = pa.struct([("symbols", pa.binary()), ("n_words", pa.int64()), ("n_frequent", pa.int64()), ("base_log", pa.float64()),
+                         ("inner_log", pa.float64()), ("rare", pa.list_(pa.int64())), ("rare_at", pa.list_(pa.int32()))])
+
 
 def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0.0], np.cumsum(values, dtype=np.longdouble)))
@@ -167,7 +170,7 @@ def symbol_writer(shared):
                 pa.array(np.rint(_row_sums(known, w.first)).astype(np.int64)), pa.array(_row_sums(logs, w.first)), pa.array(_row_sums(inner, w.first)),
                 _ragged(h[rare].view(np.int64), rare_first, pa.int64()),
                 _ragged((rare - w.first[w.doc[rare]]).astype(np.int32), rare_first, pa.int32())], _ENCODED.names))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
+        return pa.concat_arrays(parts) if parts else pa.array([], _ENCODED_PA)
 
     return encode
 
