@@ -110,23 +110,21 @@ def spread(pairs: DataFrame, id_col: str = ID) -> DataFrame:
     return pairs.repartition(n, f"{id_col}_l", f"{id_col}_r")
 
 
-def proposed_pairs(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of the rules' pairs, each pair once, with the set of its rules as bits."""
-    union = None
-    for number, part in enumerate(parts):
-        marked = part.withColumn("_rules", F.lit(1 << number))
-        union = marked if union is None else union.unionByName(marked)
-    names = [c for c in union.columns if c != "_rules"]
-    return spread(union).groupBy(*names).agg(F.bit_or("_rules").alias("_rules"))
-
-
-def by_rule(number: int) -> Column:
-    return F.col("_rules").bitwiseAND(1 << number) != 0
+def proposed_pairs(parts: Sequence[DataFrame], rules: Sequence[Sequence[str]]) -> DataFrame:
+    """Union of the rules' pairs, each pair once, with ``_rule``, the first rule that blocks it.
 
-
-def first_rule(conditions: Sequence[Column]) -> Column:
-    """Number of the first rule whose condition holds, else NULL."""
-    return F.coalesce(*[F.when(c, F.lit(number)) for number, c in enumerate(conditions)])
+    Whether an earlier rule blocks a pair as well is seen on the pair itself, so nothing is grouped. That rule has formed the pair
+    too: it agrees on the later rule's columns, which is more than blocks ask for.
+    """
+    union, earlier = None, F.lit(False)
+    for number, (part, rule) in enumerate(zip(parts, rules)):
+        marked = part.where(~earlier).withColumn("_rule", F.lit(number))
+        union = marked if union is None else union.unionByName(marked)
+        agree = F.lit(True)
+        for c in rule:
+            agree = agree & F.coalesce(F.col(f"{c}_l") == F.col(f"{c}_r"), F.lit(False))
+        earlier = earlier | agree
+    return spread(union)
 
 
 def block_pairs(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) -> DataFrame:
@@ -134,10 +132,10 @@ def block_pairs(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) ->
 
     ``match_key`` is the first such rule.
     """
-    proposed = proposed_pairs([similar_pairs(found, linkage, rule, small) for rule in linkage.rules])
-    key = first_rule([by_rule(i) & agrees_outside(linkage, rule) for i, rule in enumerate(linkage.rules)])
+    proposed = proposed_pairs([similar_pairs(found, linkage, rule, small) for rule in linkage.rules], linkage.rules)
+    key = F.coalesce(*[F.when((F.col("_rule") == i) & agrees_outside(linkage, rule), F.lit(i)) for i, rule in enumerate(linkage.rules)])
     levelled = with_levels(proposed, linkage).withColumn("match_key", key)
-    return levelled.where(F.col("match_key").isNotNull()).drop("_rules")
+    return levelled.where(F.col("match_key").isNotNull()).drop("_rule")
 
 
 def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civiclake.operators.components import connected_components
 from civiclake.operators.linkage.compare import ID, KINDS, Linkage
 from civiclake.operators.linkage.model import Model, probability, threshold_bits
-from civiclake.operators.linkage.pairs import SMALL_BLOCK, by_rule, first_rule, proposed_pairs, similar_pairs, with_levels
+from civiclake.operators.linkage.pairs import SMALL_BLOCK, proposed_pairs, similar_pairs, with_levels
 
 
 def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
@@ -25,12 +25,11 @@ def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
         alone = model.most_bits(linkage, [c.column for c in linkage.outside(rule)]) >= enough
         demands = demanded(linkage, model, rule, enough)
         parts.append(similar_pairs(found, linkage, rule, small, whole=alone, demands=demands))
-    cheap = with_levels(proposed_pairs(parts), linkage, [k for k in KINDS if k != "jaro_winkler"])
+    cheap = with_levels(proposed_pairs(parts, linkage.rules), linkage, [k for k in KINDS if k != "jaro_winkler"])
     hopeful = cheap.where(model.pair_bound(linkage) >= enough)
     scored = with_levels(hopeful, linkage, ["jaro_winkler"]).withColumn("match_weight", model.weight(linkage))
     scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
-    key = first_rule([by_rule(i) for i in range(len(linkage.rules))])
-    return scored.where(F.col("match_probability") >= threshold).withColumn("match_key", key).drop("_rules")
+    return scored.where(F.col("match_probability") >= threshold).withColumnRenamed("_rule", "match_key")
 
 
 def demanded(linkage: Linkage, model: Model, rule: tuple[str, ...], enough: float) -> dict[tuple[str, int], Column]:
