@@ -189,11 +189,25 @@ def _peel_group(coordinates: int, least: int, near: int):
             for k in range(coordinates):
                 same += s[rest, k][:, None] == s[lead, k][None, :]
             a, b = [], []
-            # Every pivot that looks similar is a link; they are few. Who is nearly a pivot itself leaves the bucket.
-            for i, j in zip(*np.nonzero(same >= least)):
-                if keys[rest[i]] != keys[lead[j]]:
-                    a.append(keys[rest[i]])
-                    b.append(keys[lead[j]])
+            # A row is linked to one pivot that looks similar, and to others only where that joins pivots not joined so far.
+            joined = list(range(len(lead)))
+
+            def root(j: int) -> int:
+                while joined[j] != j:
+                    j = joined[j]
+                return j
+
+            for i, row in enumerate(same >= least):
+                own = keys[rest[i]]
+                base = None
+                for j in sorted(np.flatnonzero(row), key=lambda j: keys[lead[j]] != own):
+                    if base is None or root(j) != root(base):
+                        if keys[lead[j]] != own:
+                            a.append(own)
+                            b.append(keys[lead[j]])
+                        if base is not None:
+                            joined[root(j)] = root(base)
+                    base = j if base is None else base
             stay = np.flatnonzero(same.max(1, initial=0) < near) if len(lead) else np.arange(len(rest))
             a += [keys[rest[i]] for i in stay]
             b += [None] * len(stay)
