@@ -10,10 +10,11 @@ The language with the lowest cross-entropy per symbol wins, equal ones by name.
 fitted that turns cross-entropies into probabilities (``score``), and each language's usual cross-entropy: a text far above it,
 for its length, is not ``accepted``.
 
-Bounds: a classifier is fitted here, on at most about ``max_train_docs`` labelled texts (a share of all by the hash of their ids); of all n-grams
-at most ``max_ngrams`` a language, by a count threshold, reach the driver and the tasks. Scoring reads whole texts. Defined results: a
-null text or one without a letter is ``und`` with score 0 and not accepted, as is every text if no language was learned; rows with a
-null label or id aren't learned from; repeated rows get the same answer.
+Bounds: a classifier is fitted here, on at most about ``max_train_docs`` labelled texts (of each language a share by the hash of their ids,
+all of a rare one, and at least one text of every language, so their number is a bound too); of all n-grams at most ``max_ngrams`` a
+language, by a count threshold, reach the driver and the tasks. Scoring reads whole texts. Defined results: a null text or one without
+a letter is ``und`` with score 0 and not accepted, as is every text if no language was learned; rows with a null label or id and texts
+without a letter aren't learned from; repeated rows get the same answer.
 """
 
 from __future__ import annotations
@@ -341,6 +342,31 @@ def calibrate(own: Identifier, labelled: DataFrame) -> Identifier:
     return Identifier(own.languages, own.models, own.order, sharpness, np.array(usual))
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's texts to learn from: the same number of all, ``most`` together, and all texts of languages with fewer."""
+    out, left = {}, float(most)
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        taken = min(n, left / (len(counts) - k))
+        out[lang], left = taken / n, left - taken
+    return out
+
+
+def drawn(known: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of ``lang, text, place, aside`` by their ``place`` (a hash), as in ``shares``. The first text of a language by its
+    place is always among them, and not aside: no language is lost, however rare it is."""
+    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()  # a row a language
+    if not found:
+        return known.select("lang", "text", "aside")
+    share = shares({r["lang"]: r["n"] for r in found}, most)
+    last = {x: (1 << 63) - 1 if s >= 1 else -(1 << 63) + int(s * (1 << 64)) for x, s in share.items()}
+
+    def by_lang(values: dict[str, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+    first = F.col("place") == by_lang({r["lang"]: r["first"] for r in found})
+    return known.where(first | (F.col("place") <= by_lang(last))).select("lang", "text", (F.col("aside") & ~first).alias("aside"))
+
+
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, order: int = 4,
              max_train_docs: int = 50_000, max_ngrams: int = 300_000) -> DataFrame:
     """``_id``, ``_lang``, ``_score``, ``_entropy`` (bits a symbol) and ``_accepted`` for each document.
@@ -350,12 +376,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lan
     spark = docs.sparkSession
     number = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(2)).cast("long")
     learn = (number % 4 != 2) if learn is None else learn
-    known = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
-    spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    if n > max_train_docs:
-        known = known.where(spread < int(max_train_docs / n * 1_000_000))
-    rows = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(8)) == 0).alias("aside"))
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    number = F.col(id_col).cast("string")
+    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(number).alias("place"),
+                         (F.pmod(F.xxhash64(number, F.lit(8)), F.lit(8)) == 0).alias("aside"))
+    rows = drawn(known, max_train_docs)
     own = calibrate(train(rows.where("not aside"), order=order, max_ngrams=max_ngrams), rows.where("aside"))
     shared = spark.sparkContext.broadcast(own)
     return docs.select(F.col(id_col).alias("_id"), predictor(shared)(F.col(text)).alias("p")).select(

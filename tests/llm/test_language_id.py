@@ -95,3 +95,26 @@ def test_odd_rows_and_nothing_to_learn(odd, none):
 def test_a_bound_on_ngrams_keeps_single_symbols(labelled):
     small = L.train(labelled, max_ngrams=60)
     assert all(len(m.ids) < 200 for m in small.models) and small.languages == sorted(PARTS)
+
+
+def test_a_rare_language_is_learned_above_the_bound(spark):
+    rows = [(f"{x}{i}", line(x, i), x, True) for x in ("aa", "bb") for i in range(400)]
+    rows += [(f"cc{i}", line("cc", i), "cc", i < 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, known boolean")
+    got = L.identify(df, learn=F.col("known"), max_train_docs=60).where("_id like 'cc%'").collect()
+    assert len(got) == 30 and {r["_lang"] for r in got} == {"cc"}
+
+
+def test_a_language_with_only_texts_set_aside_is_learned(spark):
+    rows = [(f"{x}{i}", line(x, i), x, True) for x in ("aa", "bb") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, known boolean")
+    aside = spark.range(200).select(F.concat(F.lit("cc"), "id").alias("id")).where("pmod(xxhash64(id, 8), 8) = 0").limit(2).collect()
+    rare = [(r["id"], line("cc", k), "cc", True) for k, r in enumerate(aside)] + [("new", line("cc", 99), "cc", False)]
+    got = L.identify(df.union(spark.createDataFrame(rare, df.schema)), learn=F.col("known")).where("_id = 'new'").collect()
+    assert [r["_lang"] for r in got] == ["cc"]
+
+
+def test_shares_are_even_and_leave_nothing_over():
+    got = L.shares({"a": 5, "b": 1000, "c": 4000}, 105)
+    assert {x: round(s * n) for (x, s), n in zip(got.items(), (5, 1000, 4000))} == {"a": 5, "b": 50, "c": 50}
+    assert set(L.shares({"a": 5, "b": 6}, 11).values()) == {1.0}
