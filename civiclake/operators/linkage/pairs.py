@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,3 +196,22 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
         .groupBy("_mask").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
     union = seen.unionByName(own).unionByName(rest)
     return union.groupBy(*names).agg(F.sum("n").cast("decimal(38,0)").alias("n")).where("n > 0")
+
+
+def proposed_counts(found: DataFrame, linkage: Linkage) -> DataFrame:
+    """How many of all record pairs that some rule proposes show each pattern of levels, dissimilar ones included.
+
+    Each pair counts once, under ``match_key``, the first rule that proposes it: a pattern shows whether an earlier rule
+    does too, since only equal values reach the top level.
+    """
+    parts, earlier = [], F.lit(False)
+    for number, rule in enumerate(linkage.rules):
+        counts = pattern_counts(found, linkage, rule)
+        levels = [F.lit(c.top).alias(f"gamma_{c.column}") if c.column in rule else F.col(f"gamma_{c.column}") for c in linkage.comparisons]
+        parts.append(counts.select(F.lit(number).alias("match_key"), *levels, "n").where(~earlier))
+        agree = F.lit(True)
+        for c in linkage.comparisons:
+            if c.column in rule:
+                agree = agree & (F.col(f"gamma_{c.column}") == c.top)
+        earlier = earlier | agree
+    return reduce(DataFrame.unionByName, parts)

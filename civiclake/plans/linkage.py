@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civiclake.operators import linkage as lk
 from civiclake.operators.linkage.model import level_counts
-from civiclake.operators.linkage.pairs import pattern_counts
+from civiclake.operators.linkage.pairs import pattern_counts, proposed_counts
 from civiclake.operators.linkage.predict import review_queue, summary
 from civiclake.plans import social_care
 from civiclake.plans.registry import query
@@ -207,11 +207,32 @@ GAMMAS = "gamma_forename, gamma_surname, gamma_dob, gamma_postcode"
            case when coalesce(r0, false) then 0 when r1 then 1 else 2 end as match_key
     from hit where coalesce(r0, false) or r1 or r2""")
 def link_pairs(spark, sf_dir):
+    """Proposed profile pairs that agree on something outside their rule; ``link_pair_patterns`` counts all proposed ones."""
     _, found = _people(spark, sf_dir)
     return lk.block_pairs(found, PEOPLE).select(
         "profile_id_l", "profile_id_r", "copies_l", "copies_r", *GAMMAS.split(", "), "match_key")
 
 
+def _blocked_sql(number: int, rule) -> str:
+    same = " and ".join(f"a.{c} = b.{c}" for c in rule)
+    return f"select {number} as match_key, a.profile_id as l, b.profile_id as r from prof a join prof b on {same} and a.profile_id <= b.profile_id"
+
+
+@query("link_pair_patterns", f"""
+    with {RECORDS_SQL}, blocked as ({" union all ".join(_blocked_sql(i, rule) for i, rule in enumerate(PEOPLE.rules))}),
+    proposed as (select l, r, min(match_key) as match_key from blocked group by 1, 2),
+    cand as (select p.match_key, a.forename as forename_l, b.forename as forename_r, a.surname as surname_l, b.surname as surname_r,
+        a.dob as dob_l, b.dob as dob_r, a.postcode as postcode_l, b.postcode as postcode_r,
+        case when p.l = p.r then a.copies * (a.copies - 1) / 2 else a.copies * b.copies end as n
+      from proposed p join prof a on a.profile_id = p.l join prof b on b.profile_id = p.r),
+    lev as ({_levels_sql('cand')})
+    select match_key, {GAMMAS}, cast(sum(n) as bigint) as n from lev group by all having sum(n) > 0""")
+def link_pair_patterns(spark, sf_dir):
+    """Exact pattern counts of all record pairs the rules propose, those that agree on nothing else included."""
+    _, found = _people(spark, sf_dir)
+    return proposed_counts(found, PEOPLE).withColumn("n", F.col("n").cast("long"))
+
+
 @query("link_gamma_hist", f"""
     with {RECORDS_SQL}, cand as (select a.forename as forename_l, b.forename as forename_r, a.surname as surname_l,
         b.surname as surname_r, a.dob as dob_l, b.dob as dob_r, a.postcode as postcode_l, b.postcode as postcode_r,

@@ -80,6 +80,20 @@ def test_pattern_counts_cover_every_record_pair(spark, people):
     assert got == {tuple(r)[:2]: r["count"] for r in want.collect()}
 
 
+def test_proposed_counts_cover_dissimilar_pairs_once(spark, people):
+    from civiclake.operators.linkage.pairs import proposed_counts
+
+    odd = [("q0", "ZED", "WAKE", "1950-01-01", "NE9 9AA"), ("q1", "ANNE", "WAKE", "1990-01-01", "NE9 9AA"), ("q2", "ANNE", "WAKE", "1990-01-01", "NE9 9AA")]
+    every = people.union(spark.createDataFrame(odd, "a string, b string, c string, d string, e string").withColumn("d", F.col("d").cast("date")))
+    names = [f"gamma_{c}" for c in PEOPLE.columns]
+    got = proposed_counts(lk.profiles(every, PEOPLE, "person_id"), PEOPLE).select("match_key", *names, F.col("n").cast("long"))
+    left, right = (every.select(*[F.col(c).alias(f"{c}_{s}") for c in every.columns]) for s in "lr")
+    key = F.coalesce(*[F.when(F.expr(" and ".join(f"{c}_l = {c}_r" for c in rule)), F.lit(i)) for i, rule in enumerate(PEOPLE.rules)])
+    pairs = with_levels(left.join(right, F.col("person_id_l") < F.col("person_id_r")), PEOPLE).withColumn("match_key", key)
+    assert rows(got) == rows(pairs.where("match_key is not null").groupBy("match_key", *names).count())
+    assert (0, 0, 3, 0, 3) in {tuple(r)[:5] for r in got.collect()}
+
+
 def test_predictions_equal_scoring_all_pairs(spark, people):
     found = lk.profiles(people, PEOPLE, "person_id").cache()
     for threshold in (0.2, 0.88):
