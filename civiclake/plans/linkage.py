@@ -165,12 +165,27 @@ def link_tf(spark, sf_dir):
                 else 1 end as level
     from v a join v b on a.x < b.x where jaro_winkler_similarity(a.x, b.x) >= 0.70""")
 def link_jw_levels(spark, sf_dir):
-    """Similar spellings among the distinct forenames of a system, found through shared tokens."""
+    """Similar spellings among the distinct forenames of one system; ``link_jw_levels_all`` takes all three."""
+    return _similar_forenames(table(spark, sf_dir, "housing_persons"))
+
+
+@query("link_jw_levels_all", f"""
+    with {RECORDS_SQL}, v as (select distinct forename as x from people where forename is not null)
+    select a.x as value_l, b.x as value_r, round(jaro_winkler_similarity(a.x, b.x), 6) as similarity,
+           case when jaro_winkler_similarity(a.x, b.x) >= 0.92 then 3 when jaro_winkler_similarity(a.x, b.x) >= 0.85 then 2
+                else 1 end as level
+    from v a join v b on a.x < b.x where jaro_winkler_similarity(a.x, b.x) >= 0.70""")
+def link_jw_levels_all(spark, sf_dir):
+    return _similar_forenames(persons(spark, sf_dir))
+
+
+def _similar_forenames(people: DataFrame) -> DataFrame:
+    """Similar spellings among distinct forenames, found through shared tokens."""
     from civiclake.functions.similarity import jaro_winkler, jaro_winkler_tokens
     from civiclake.operators.linkage.pairs import value_lengths
     from civiclake.operators.skew import pairs_within
 
-    names = table(spark, sf_dir, "housing_persons").where("forename is not null").select("forename").distinct()
+    names = people.where("forename is not null").select("forename").distinct()
     lengths = value_lengths(names, PEOPLE.comparisons[:1])
     marked = names.withColumn("_token", F.explode(jaro_winkler_tokens("forename", 0.70, lengths)))
     near = pairs_within(marked, ["_token"], "forename", []).drop("_token").distinct()
@@ -188,8 +203,22 @@ def link_jw_levels(spark, sf_dir):
                 when abs(date_diff('day', try_cast(dob as date), DATE '1970-06-15')) <= 365 then 1 else 0 end as level
     from housing_persons""")
 def link_dob(spark, sf_dir):
+    """Birth dates of one system against a given one; ``link_dob_all`` takes all three systems."""
+    return _near_birth_dates(table(spark, sf_dir, "housing_persons"))
+
+
+@query("link_dob_all", f"""
+    with {RECORDS_SQL} select person_id, dob, dob is null as dob_missing,
+           case when dob is null then -1 when abs(date_diff('day', dob, DATE '1970-06-15')) <= 30 then 2
+                when abs(date_diff('day', dob, DATE '1970-06-15')) <= 365 then 1 else 0 end as level
+    from people""")
+def link_dob_all(spark, sf_dir):
+    return _near_birth_dates(persons(spark, sf_dir))
+
+
+def _near_birth_dates(people: DataFrame) -> DataFrame:
     """Birth dates against a given one: impossible dates are NULL, nearness is by month and year."""
-    found = compared(table(spark, sf_dir, "housing_persons"))
+    found = compared(people)
     against = F.lit("1970-06-15").cast("date")
     return found.select("person_id", "dob", F.col("dob").isNull().alias("dob_missing"),
                         PEOPLE.comparisons[2].level(F.col("dob"), against).alias("level"))

@@ -173,3 +173,14 @@ def test_training_separates_matches(spark):
     assert len(named) == 600
     together = sum(named[f"p{i:04d}0"] == named[f"p{i:04d}1"] for i in range(300))
     assert together > 230
+
+
+def test_spellings_and_birth_dates_of_all_systems_are_compared(spark):
+    from civiclake.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    dated = QUERIES["link_dob_all"](spark, sf)
+    assert rows(dated.select("person_id")) == rows(QUERIES["persons_union"](spark, sf).select("person_id"))
+    names = {r[0] for r in QUERIES["persons_union"](spark, sf).select("forename").distinct().collect() if r[0]}
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(names), 2) if jaro_winkler_pair(a, b) >= 0.70)
+    assert rows(QUERIES["link_jw_levels_all"](spark, sf).select("value_l", "value_r")) == want
