@@ -14,8 +14,3 @@ def spark():
     session = local_session("8", shuffle_partitions=8)
     yield session
     session.stop()
-
-
-def rows(df):
-    """All rows of a small result as plain tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from small import rows
 from pyspark.sql import functions as F
 
 from civiclake.operators import current

@@ -5,7 +5,7 @@ import random
 
 import duckdb
 import pytest
-from conftest import rows
+from small import rows
 from pyspark.sql import functions as F
 
 from civiclake.functions.similarity import jaro_winkler_pair, letter_tokens

@@ -2,7 +2,7 @@
 
 
 import pytest
-from conftest import rows
+from small import rows
 from pyspark.sql import functions as F
 
 from civiclake.functions import text
