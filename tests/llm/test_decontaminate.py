@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from civiclake.llm import decontaminate as D
-from tests.llm.conftest import prose
+from llm.odd import prose
 
 
 def distance(item, words):

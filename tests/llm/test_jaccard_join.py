@@ -4,7 +4,7 @@ import random
 import pytest
 
 from civiclake.llm import jaccard_join as J
-from tests.llm.conftest import edited, prose
+from llm.odd import edited, prose
 
 
 def brute(rows, threshold=0.8):

@@ -4,7 +4,7 @@ import math
 import pytest
 
 from civiclake.llm import mixing as M
-from tests.llm.conftest import prose
+from llm.odd import prose
 
 SIZES = {"a": 60, "b": 20, "c": 6, None: 3}
 

@@ -2,7 +2,7 @@ import collections
 
 import corpus_pipeline as C
 from civiclake.session import materialise
-from tests.llm.conftest import edited, prose
+from llm.odd import edited, prose
 
 
 def test_stages_do_their_part(spark, tmp_path):
