@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import chat_format, decontaminate, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
+from civiclake.llm import chat_format, decontaminate, fill_middle, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 from civiclake.session import materialise
 
@@ -107,3 +107,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = chat_format.repair_turns(table(spark, sf_dir, "conversations"))
     return repaired.select(F.col("conv").alias("conv_id"), "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "cost", "piece")
+
+
+@query("op13_fill_middle", """
+with texts as (
+    select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+tokens as (
+    select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as u, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+        ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4
+    from texts),
+cuts as (
+    select *, len(u)::bigint as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as high,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+             when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from tokens),
+parts as (
+    select *, coalesce(array_to_string(u[1:low], ''), '') as p, coalesce(array_to_string(u[low + 1:high], ''), '') as m,
+        coalesce(array_to_string(u[high + 1:], ''), '') as s
+    from cuts)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from parts
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``restored_sha256`` is that of the text rebuilt from output and form, not of the text given."""
+    done = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return done.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"),
+                       F.col("_middle_chars").alias("middle_chars"), F.sha2("_output", 256).alias("output_sha256"), F.sha2("_restored", 256).alias("restored_sha256"))
