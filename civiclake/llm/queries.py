@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import chat_format, decontaminate, fill_middle, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, url_filters, warc_fixity
+from civiclake.llm import chat_format, decontaminate, fill_middle, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, structure_repair, url_filters, warc_fixity
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 from civiclake.session import materialise
 
@@ -109,6 +109,87 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.select(F.col("conv").alias("conv_id"), "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "cost", "piece")
 
 
+def _structure_sql() -> str:
+    """The repair as a recursion over rows from the last to the first. A state's best repair is one string: cost, edits, repaired turns."""
+    def put(v: str, cost: str, edit: str, line: str) -> str:
+        at = f"instr({v}, chr(1))"
+        return (f"lpad((substr({v}, 1, 8)::int + {cost})::varchar, 8, '0') || '{edit}' || substr({v}, 9, {at} - 9) || chr(1) || {line} || substr({v}, {at} + 1)")
+
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    insertion = {"e": ("u", user), "s": ("u", user), "u": ("a", assistant), "a": ("u", user)}
+    inserted = ", ".join(f"least({x}, {put(to, '2', 'I', line)}) as {x}" for x, (to, line) in insertion.items())
+    given, kept = "role || ':' || text || chr(10)", []
+    for x, (to, _) in insertion.items():
+        options = [put(x, "3", "D", "''")]
+        name = "user" if to == "u" else "assistant"
+        options.append(f"case when kind <> '-' then {put(to, '2 + truncated', 'R', f"'{name}:' || text || chr(10)")} end")
+        options.append(f"case when kind = '{to}' then {put(to, 'truncated', 'K', given)} end")
+        if x == "e":
+            options.append(f"case when kind = 's' then {put('s', 'truncated', 'K', given)} end")
+        kept.append(f"least({', '.join(options)}) as {x}")
+    step = f"select conv_id, i, {', '.join(kept)} from (select best.conv_id, best.i - 1 as i, e, s, u, a, kind, truncated, role, text from best join faults on faults.conv_id is not distinct from best.conv_id and faults.i = best.i - 1)"
+    for _ in range(3):
+        step = f"select conv_id, i, {inserted} from ({step})"
+    return f"""
+with recursive numbered as (
+    select *, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) as crc
+    from conversations),
+given as (
+    select conv_id, turn, xor(crc, 4294967295) % 20 as draw, coalesce(role, ' ') as role, coalesce(text, ' ') as text from numbered),
+damaged as (
+    select conv_id, turn, case draw when 4 then 'user' else role end as role,
+        case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case draw when 3 then [1, 2] else [1] end) as copy
+    from given where draw <> 0),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+ordered as (
+    select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as shown
+    from placed),
+faults as (
+    select conv_id, turn, i, role, text, case when shown = '' then 'blank' when again then 'duplicate' when right(shown, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+        case when shown = '' or again then '-' else left(role, 1) end as kind, case when right(shown, 1) not in ('.', '!', '?') then 1 else 0 end as truncated,
+        lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair
+    from ordered),
+sums as (
+    select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+        count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+        count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+    from faults group by conv_id),
+best as (
+    select conv_id, n + 1 as i, '00000000' || chr(1) as e, '00000004II' || chr(1) || {user} || {assistant} as s,
+        '00000002I' || chr(1) || {assistant} as u, '00000000' || chr(1) as a
+    from sums
+    union all
+    {step}),
+repaired as (
+    select conv_id, substr(e, 1, 8)::bigint as cost, substr(e, 9, instr(e, chr(1)) - 9) as audit, substr(e, instr(e, chr(1)) + 1) as body
+    from best where i = 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+    sha256(coalesce(case when length(body) > 0 then left(body, length(body) - 1) else '' end, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join sums on sums.conv_id is not distinct from c.conv_id left join repaired on repaired.conv_id is not distinct from c.conv_id
+"""
+
+
+@query("op12_structure_repair", _structure_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_summaries(table(spark, sf_dir, "conversations"))
+
+
+def repaired_summaries(given: DataFrame) -> DataFrame:
+    """Every conversation of ``given`` after damage and repair, those of which no row is left included."""
+    edits = structure_repair.repair_structure(structure_repair.damaged(given), conv="conv", turn="turn", role="role", text="text")
+    found = structure_repair.summaries(edits)
+    zeros = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {
+        "audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    ids = given.select("conv_id").distinct()
+    return ids.join(found, ids["conv_id"].eqNullSafe(found["conv"]), "left").select("conv_id", *[F.coalesce(c, z).alias(c) for c, z in zeros.items()])
+
+
 @query("op13_fill_middle", """
 with texts as (
     select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
