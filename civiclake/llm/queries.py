@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclake.llm import chat_format, decontaminate, fill_middle, hmm_scoring, jaccard_join, language_id, mixing, packing, quality_rules, structure_repair, url_filters, warc_fixity
+from civiclake.llm import chat_format, decontaminate, fill_middle, hmm_scoring, html_extraction, jaccard_join, language_id, mixing, packing, quality_rules, structure_repair, url_filters, warc_fixity
 from civiclake.llm.registry import ORACLES, QUERIES, query, table
 from civiclake.session import materialise
 
@@ -216,3 +216,19 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
     return done.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"),
                        F.col("_middle_chars").alias("middle_chars"), F.sha2("_output", 256).alias("output_sha256"), F.sha2("_restored", 256).alias("restored_sha256"))
+
+
+@query("op11_html_extraction", """
+with articles as (
+    select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1|br)>', ' ', 'g') as body from pages),
+plain as (
+    select page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') as body from articles),
+texts as (
+    select page_id, url, trim(regexp_replace(body, '[\\x20\\x09-\\x0D]+', ' ', 'g')) as text from plain)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights are learned from the pages with one article mark; the check SQL reads that mark, which all pages supplied have."""
+    pages = table(spark, sf_dir, "pages")
+    texts = html_extraction.extract(pages, html_extraction.learn(pages))
+    return texts.select("_row.page_id", "_row.url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
