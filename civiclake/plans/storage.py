@@ -78,8 +78,8 @@ def io_schema_evolution(spark, sf_dir):
 def io_create_or_merge(spark, sf_dir):
     """A layer table created from the first feed and merged with the second."""
     name, root = f"states_{uuid.uuid4().hex}", scratch_path(spark, "silver")
-    lake.create_or_merge(spark, name, order_states(spark, sf_dir, EARLIER), ["account_key"], root)
-    lake.create_or_merge(spark, name, order_states(spark, sf_dir, LATER), ["account_key"], root)
+    lake.create_or_merge(spark, name, order_states(spark, sf_dir, EARLIER), ["account_key"], root, buckets=8)
+    lake.create_or_merge(spark, name, order_states(spark, sf_dir, LATER), ["account_key"], root, buckets=8)
     return spark.table(name)
 
 

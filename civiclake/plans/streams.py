@@ -47,7 +47,7 @@ def stream_upsert(spark, sf_dir):
     landed = scratch_path(spark, "arrivals")
     read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(landed)
     stream = feeds.file_stream(spark, landed, spark.read.parquet(landed).schema, files_per_batch=1)
-    state = feeds.VersionedState(spark, scratch_path(spark, "state"), ["user_id"], ["ts"], [F.col("event_id").desc()])
+    state = feeds.VersionedState(spark, scratch_path(spark, "state"), ["user_id"], ["ts"], [F.col("event_id").desc()], buckets=8)
     feeds.each_batch(stream, scratch_path(spark, "progress"), state.apply)
     return state.read().select("user_id", "event_id", "event_type", "value")
 

@@ -1,8 +1,7 @@
-"""Layer tables on parquet: append, evolving schema, versioned merge, views and stage logs."""
+"""Layer tables on parquet: append, evolving schema, bucketed merge, views and stage logs."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civiclake.operators.current import upsert
 from civiclake.session import materialise
+from civiclake.sources.buckets import BUCKETS, BucketedTable
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -27,21 +27,16 @@ def ensure_layers(spark: SparkSession, root: str, layers: Sequence[str] = ("bron
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{root}/{layer}'")
 
 
-def create_or_merge(spark: SparkSession, table: str, source: DataFrame, keys: Sequence[str], root: str) -> str:
-    """Create ``table`` from ``source``, or merge ``source`` into it by key.
+def create_or_merge(spark: SparkSession, table: str, source: DataFrame, keys: Sequence[str], root: str, buckets: int = BUCKETS) -> list[int]:
+    """Create ``table`` from ``source``, or merge ``source`` into it by key; returns the buckets written.
 
-    A merge writes a complete new version beside the old one and then repoints the
-    table, so readers see one version or the other and a failed run changes nothing.
-    Returns the path of the version now in use.
+    The rows lie in hash buckets under ``root`` and a merge rewrites only those its keys fall in. ``table`` is a view over
+    the files in use, replaced in one step once they are complete, so readers see the state before or after.
     """
-    path = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    if not spark.catalog.tableExists(table):
-        source.write.option("path", path).format("parquet").saveAsTable(table)
-        return path
-    upsert(spark.table(table), source, keys).write.parquet(path)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-    spark.catalog.refreshTable(table)
-    return path
+    store = BucketedTable(spark, root, keys, buckets)
+    written = store.merge(source)
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS {store.as_sql()}")
+    return written
 
 
 def merge_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from civiclake.operators.current import latest_per_key
 from civiclake.operators.quality import Suite
 from civiclake.session import materialise
+from civiclake.sources.buckets import BUCKETS, BucketedTable
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None,
@@ -69,39 +70,27 @@ class ChangeLog:
 
 
 class VersionedState:
-    """A keyed table kept as one directory per micro-batch under ``root``.
+    """The newest row of each key, in hash buckets under ``root``: a micro-batch rewrites only the buckets its keys fall in.
 
-    Batch ``n`` is always derived from the version before it and written to ``v=<n>``, so
-    a replayed batch rewrites the same version and the state stays the same.
+    Batch ``n`` is commit ``n`` and always starts from the commit before it, so a replayed batch gives the same state.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], newest_by: Sequence[str],
-                 ties: Sequence[str | Column] = ()) -> None:
-        self.spark, self.root, self.keys, self.newest_by, self.ties = spark, root, list(keys), list(newest_by), list(ties)
+                 ties: Sequence[str | Column] = (), buckets: int = BUCKETS) -> None:
+        self.table = BucketedTable(spark, root, keys, buckets)
+        self.keys, self.newest_by, self.ties = list(keys), list(newest_by), list(ties)
         self.last: int | None = None
 
     def newest(self) -> int | None:
-        """The newest complete version in storage: its write committed. What a restarted process goes on from."""
-        folders = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        done = folders.Path(f"{self.root}/v=*/_SUCCESS")
-        found = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
-        return max((int(f.getPath().getParent().getName()[2:]) for f in found or []), default=None)
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
+        """The newest complete commit in storage: what a restarted process goes on from."""
+        return max(self.table.commits(), default=None)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            batch = self.spark.read.parquet(self.path(batch_id - 1)).unionByName(batch)
-        state = latest_per_key(batch, self.keys, self.newest_by, self.ties)
-        state.write.mode("overwrite").parquet(self.path(batch_id))
+        self.table.merge(batch, lambda old, new: latest_per_key(old.unionByName(new), self.keys, self.newest_by, self.ties), batch_id)
         self.last = batch_id
 
     def read(self) -> DataFrame:
-        version = self.newest() if self.last is None else self.last
-        if version is None:
-            raise ValueError(f"no version in {self.root}")
-        return self.spark.read.parquet(self.path(version))
+        return self.table.read(None if self.last is None else self.table.commit(self.last + 1))
 
 
 def quarantine_sink(suite: Suite, clean: str, held: str) -> Callable[[DataFrame, int], None]:

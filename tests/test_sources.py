@@ -1,6 +1,7 @@
 """Files, layer tables, database options, streams and governance."""
 
 import datetime as dt
+import os
 
 import pytest
 from small import rows
@@ -10,6 +11,7 @@ from civiclake.operators import governance
 from civiclake.plans.properties import at_event_time
 from civiclake.session import scratch_path
 from civiclake.sources import files, jdbc, lake
+from civiclake.sources.buckets import BucketedTable
 from civiclake.streaming import feeds
 
 
@@ -64,6 +66,49 @@ def test_layer_table_is_created_then_merged(spark):
     assert rows(spark.table("silver.t")) == [("x", 1), ("y", 20), ("z", 30)]
 
 
+def files_under(root):
+    """Content of every data file by its path."""
+    return {os.path.join(d, f): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_a_merge_rewrites_only_the_buckets_of_its_keys(spark):
+    root = scratch_path(spark, "buckets")
+    store = BucketedTable(spark, root, ["k"], 16)
+    everything = spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    assert store.merge(everything) == list(range(16))
+    before, first = files_under(root), store.commit()
+    source = spark.createDataFrame([(3, "new"), (5000, "new")], "k int, v string")  # keys of another width
+    touched = store.merge(source)
+    assert 1 <= len(touched) <= 2 and touched == sorted({r[0] for r in source.select(store.bucket(first.schema, 16)).collect()})
+    after, second = files_under(root), store.commit()
+    assert {p: after[p] for p in before} == before
+    assert {b: v[:2] for b, (v, _) in second.at.items()} == {b: f"v{int(b in touched)}" for b in range(16)}
+    untouched = [b for b in range(16) if b not in touched]
+    assert set(store.paths(second, untouched)) == set(store.paths(first, untouched))
+    assert rows(store.read()) == sorted([(k, "new" if k in (3, 5000) else "old") for k in [*range(1000), 5000]], key=repr)
+    assert rows(store.read(first)) == rows(everything)  # the commit before can still be read
+    assert store.merge(source.limit(0)) == [] and store.read().count() == 1001
+    with pytest.raises(Exception, match="duplicate merge key"):
+        store.merge(source.union(source))
+    assert store.commits() == [0, 1, 2] and store.read().count() == 1001
+    gone = store.vacuum()
+    assert {p.rpartition("/")[2] for p in gone if "data/v0" in p} == {f"bucket={b}" for b in touched}
+    assert store.commits() == [2] and store.read().count() == 1001
+    store.merge(source)
+    assert store.commits() == [2, 3] and store.read().count() == 1001
+
+
+def test_merged_columns_may_be_added(spark):
+    root = scratch_path(spark, "buckets")
+    lake.create_or_merge(spark, "widening", spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), ["k"], root, 4)
+    lake.create_or_merge(spark, "widening", spark.createDataFrame([(2, "c", 7)], "k long, v string, w int"), ["k"], root, 4)
+    assert rows(spark.table("widening")) == [(1, "a", None), (2, "c", 7)]
+    lake.create_or_merge(spark, "widening", spark.createDataFrame([(1, "d")], "k long, v string"), ["k"], root, 4)
+    assert rows(spark.table("widening")) == [(1, "d", None), (2, "c", 7)]
+    lake.create_or_merge(spark, "nothing", spark.createDataFrame([], "k long, v string"), ["k"], scratch_path(spark, "buckets"))
+    assert spark.table("nothing").count() == 0
+
+
 def test_partition_merge_leaves_other_partitions_alone(spark):
     path = scratch_path(spark, "parts")
     lake.append(spark.createDataFrame([("a", 1, 2020), ("b", 1, 2021), ("c", 1, 2021)], "k string, v int, y int"), path, ["y"])
@@ -102,6 +147,18 @@ def test_streamed_state_equals_batch(spark):
     assert rows(state.read()) == want
 
 
+def test_streamed_state_leaves_other_buckets_alone(spark):
+    state = feeds.VersionedState(spark, scratch_path(spark, "state"), ["k"], ["t"], buckets=8)
+    state.apply(spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("t")), 0)
+    before = files_under(state.table.root)
+    state.apply(spark.createDataFrame([(7, 2), (8, 0)], "k long, t int"), 1)
+    after = files_under(state.table.root)
+    assert {p: after[p] for p in before} == before and len(after) - len(before) <= 3
+    assert {r["k"]: r["t"] for r in state.read().collect() if r["k"] in (7, 8, 9)} == {7: 2, 8: 1, 9: 1}
+    state.apply(spark.createDataFrame([(7, 9)], "k long, t int"), 1)  # the batch again, now with other rows
+    assert {r["k"]: r["t"] for r in state.read().collect() if r["k"] in (7, 8)} == {7: 9, 8: 1}
+
+
 def test_state_is_found_after_a_restart(spark):
     root = scratch_path(spark, "state")
     batch = spark.createDataFrame([("a", 1, "x")], "k string, t int, v string")
