@@ -11,6 +11,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -67,14 +68,77 @@ def remember(memo: dict, key, compute):
     return found
 
 
+WORD = 64  # characters that fit the bits of one number
+#: For each reach and position, the bits of the positions within reach.
+_WITHIN = np.array([[sum(1 << j for j in range(max(0, i - reach), min(WORD, i + reach + 1))) for i in range(WORD)] for reach in range(WORD // 2)], np.uint64)
+_BIT = np.left_shift(np.uint64(1), np.arange(WORD, dtype=np.uint64))
+
+
+def _lowest(bits: np.ndarray) -> np.ndarray:
+    return bits & (~bits + np.uint64(1))
+
+
+def jaro_winkler_many(left: list[str], right: list[str]) -> np.ndarray:
+    """``jaro_winkler_pair`` of many pairs at once; a string's positions are the bits of one number, so it takes up to 64 characters.
+
+    For each position of the left strings, the free positions of the right ones that hold the same character within reach are one AND;
+    the first of them is its lowest bit. Longer strings are taken one pair at a time.
+    """
+    lengths = np.array([[len(a), len(b)] for a, b in zip(left, right)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(lengths))
+    fits = (lengths > 0).all(1) & (lengths <= WORD).all(1)
+    for k in np.flatnonzero(~fits):
+        out[k] = jaro_winkler_pair(left[k], right[k])
+    rows = np.flatnonzero(fits)
+    if not len(rows):
+        return out
+    la, lb = lengths[rows].T
+    width = int(max(la.max(), lb.max()))
+    a, b = (np.array([side[k] for k in rows], f"U{width}").view(np.uint32).reshape(-1, width) for side in (left, right))
+    inside_a, inside_b = np.arange(width) < la[:, None], np.arange(width) < lb[:, None]
+    letters, codes = np.unique(np.concatenate([a[inside_a], b[inside_b]]), return_inverse=True)
+    a, b = np.zeros(a.shape, np.int64), np.zeros(b.shape, np.int64)
+    a[inside_a], b[inside_b] = codes[:inside_a.sum()], codes[inside_a.sum():]
+    each = np.arange(len(rows))
+    few = len(letters) <= WORD
+    if few:
+        at = np.zeros((len(rows), len(letters)), np.uint64)
+        for j in range(width):
+            at[each, b[:, j]] |= np.where(inside_b[:, j], _BIT[j], np.uint64(0))
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    used, matched = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+    for i in range(width):
+        same = at[each, a[:, i]] if few else ((b == a[:, i:i + 1]) & inside_b) @ _BIT[:width]
+        found = _lowest(np.where(inside_a[:, i], same & _WITHIN[reach, i] & ~used, np.uint64(0)))
+        used |= found
+        matched |= np.where(found != 0, _BIT[i], np.uint64(0))
+    m = np.bitwise_count(used).astype(np.int64)
+    moved = np.zeros(len(rows), np.int64)
+    for _ in range(int(m.max(initial=0))):
+        x, y = _lowest(matched), _lowest(used)
+        i, j = (np.bitwise_count(v - np.uint64(1)).astype(np.int64) % WORD for v in (x, y))
+        moved += (x != 0) & (a[each, np.minimum(i, width - 1)] != b[each, np.minimum(j, width - 1)])
+        matched ^= x
+        used ^= y
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la + m / lb + (m - moved // 2) / some) / 3, 0.0)
+    ahead = min(width, PREFIX_LENGTH)
+    alike = (a[:, :ahead] == b[:, :ahead]) & inside_a[:, :ahead] & inside_b[:, :ahead]
+    prefix = np.cumprod(alike, axis=1).sum(1)
+    score = np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1 - jaro), jaro)
+    whole = (la == lb) & ((a == b) | ~inside_a).all(1)
+    out[rows] = np.where(whole, 1.0, score)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
-def _jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    memo: dict = {}
-    for left, right in batches:
-        yield pd.Series([
-            None if a is None or b is None else remember(memo, (a, b), lambda: jaro_winkler_pair(a, b))
-            for a, b in zip(left, right)
-        ], dtype="float64")
+def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
+    out = np.full(len(left), np.nan)
+    present = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+    for k in range(0, len(present), 2048):
+        some = present[k:k + 2048]
+        out[some] = jaro_winkler_many(left.iloc[some].tolist(), right.iloc[some].tolist())
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
 
 def jaro_winkler(left: str | Column, right: str | Column) -> Column:

@@ -9,9 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from civiclake.operators.linkage.compare import COPIES, Comparison, Linkage
 from civiclake.operators.linkage.pairs import pattern_counts, value_lengths
+from civiclake.operators.linkage.values import EXACT, date_distances, edit_distances
 from civiclake.operators.skew import pairs_within
 from civiclake.session import materialise
 
@@ -102,35 +104,47 @@ def threshold_bits(p: float) -> float:
 def level_counts(records: DataFrame, linkage: Linkage) -> DataFrame:
     """``(column, level, pairs, share)`` over all pairs of records with both values present, counted exactly.
 
-    Columns are counted on their own, by value: equal pairs from the number of records per value, similar ones by joining
-    distinct values on tokens that similar values share, and the rest by subtraction. ``records`` may be profiles with
-    their number of copies.
+    Columns are counted on their own, by value: equal pairs from the number of records per value, near dates and short edit
+    distances by ``values``, similar spellings by joining distinct values on tokens that similar values share, and the rest by
+    subtraction. ``records`` may be profiles with their number of copies.
     """
     copies = F.sum(COPIES) if COPIES in records.columns else F.count(F.lit(1))
-    exact = "decimal(38,0)"  # numbers of pairs outgrow a long
+    cells = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c.column).cast("string").alias("value")) for i, c in enumerate(linkage.comparisons)])
+    kept = [COPIES] if COPIES in records.columns else []
+    counted = records.select(*kept, F.inline(cells)).where("value is not null").groupBy("which", "value").agg(copies.cast("decimal(19,0)").alias("n"))
+    everything = materialise(counted, "values")
+    types = dict(records.dtypes)
     parts = []
-    for c in linkage.comparisons:
-        present = records.where(F.col(c.column).isNotNull())
-        values = materialise(present.groupBy(c.column).agg(copies.cast("decimal(19,0)").alias("n")), "values")
+    for i, c in enumerate(linkage.comparisons):
+        values = everything.where(F.col("which") == i).select(F.col("value").cast(types[c.column]).alias(c.column), "n")
         n, all_ = F.col("n"), F.sum("n").cast("decimal(19,0)")
-        whole = values.agg((all_ * (all_ - 1) / 2).cast(exact).alias("all_pairs"), F.sum((n * (n - 1) / 2).cast(exact)).alias("same"))
-        near = None
-        if c.thresholds and not c.digest:
-            marked = values.withColumn("_token", F.explode(c.tokens(value_lengths(values.withColumnRenamed("n", COPIES), [c]), 1)))
-            pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()
-            level = c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
-            near = pairs.withColumn("level", level).where(F.col("level").between(1, c.top - 1)).groupBy("level").agg(
-                F.sum((F.col("n_l") * F.col("n_r")).cast(exact)).cast(exact).alias("pairs"))
-        else:
-            near = values.sparkSession.createDataFrame([], f"level int, pairs {exact}")
-        top = whole.select(F.lit(c.top).alias("level"), F.col("same").cast(exact).alias("pairs"))
-        some = materialise(near.unionByName(top), "levels")
-        rest = whole.crossJoin(some.agg(F.sum("pairs").alias("some")))  # one row each
-        rest = rest.select(F.lit(0).alias("level"), (F.col("all_pairs") - F.col("some")).cast(exact).alias("pairs"))
-        levels = some.unionByName(rest).crossJoin(whole.select("all_pairs")).where("pairs > 0")
-        parts.append(levels.select(F.lit(c.column).alias("column"), "level", F.col("pairs").cast("long").alias("pairs"),
-                                   (F.col("pairs").cast("double") / F.col("all_pairs").cast("double")).alias("share")))
-    return reduce(DataFrame.unionByName, parts)
+        whole = values.agg((all_ * (all_ - 1) / 2).cast(EXACT).alias("all_pairs"), F.sum((n * (n - 1) / 2).cast(EXACT)).cast(EXACT).alias("same"))
+        top = whole.select(F.lit(c.top).alias("level"), F.col("same").alias("pairs"))
+        near = _near_levels(values, c)
+        some = top if near is None else top.unionByName(near)
+        # Every pair on another level is one less on level 0.
+        less = some.select(F.inline(F.array(F.struct("level", "pairs"), F.struct(F.lit(0).alias("level"), (-F.col("pairs")).cast(EXACT).alias("pairs")))))
+        levels = less.unionByName(whole.select(F.lit(0).alias("level"), F.col("all_pairs").alias("pairs")))
+        parts.append(levels.select(F.lit(c.column).alias("column"), "level", "pairs"))
+    summed = reduce(DataFrame.unionByName, parts).groupBy("column", "level").agg(F.sum("pairs").cast(EXACT).alias("pairs")).where("pairs > 0")
+    share = F.col("pairs").cast("double") / F.sum("pairs").over(Window.partitionBy("column")).cast("double")
+    return summed.select("column", "level", F.col("pairs").cast("long").alias("pairs"), share.alias("share"))
+
+
+def _near_levels(values: DataFrame, c: Comparison) -> DataFrame | None:
+    """``(level, pairs)`` for pairs of different values that agree a little."""
+    if not c.thresholds or c.digest:
+        return None
+    if c.kind == "date":
+        return date_distances(values, c.column, [int(t) for t in c.thresholds]).select((c.top - 1 - F.col("step")).alias("level"), "pairs")
+    if c.kind == "levenshtein" and c.thresholds[-1] <= 2:
+        step = F.coalesce(*[F.when(F.col("distance") <= int(t), F.lit(i)) for i, t in enumerate(c.thresholds)])
+        return edit_distances(values, c.column, int(c.thresholds[-1])).select((c.top - 1 - step).alias("level"), "pairs")
+    marked = values.withColumn("_token", F.explode(c.tokens(value_lengths(values, [c]), 1)))
+    pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()
+    level = c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
+    return pairs.withColumn("level", level).where(F.col("level").between(1, c.top - 1)).groupBy("level").agg(
+        F.sum((F.col("n_l") * F.col("n_r")).cast(EXACT)).cast(EXACT).alias("pairs"))
 
 
 def estimate_u(records: DataFrame, linkage: Linkage) -> dict[str, list[float]]:

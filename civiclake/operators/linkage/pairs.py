@@ -13,6 +13,8 @@ from civiclake.operators.skew import pairs_within
 
 
 SMALL_BLOCK = 256  # profiles
+#: Texts longer than this, such as digests, have nearly all letters in common by chance, so the letter filter keeps nearly all pairs.
+LONG = 16
 
 
 def in_block(found: DataFrame, rule: Sequence[str]) -> DataFrame:
@@ -45,6 +47,8 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
 
     ``demands`` narrows the tokens: a row shows those of a (column, level) only where the
     condition holds for it. A pair needed on a level must meet it on both sides.
+
+    Similar spellings of long texts share no token that others lack: rows that need such a level are paired in cells instead.
     """
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
@@ -68,10 +72,18 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
         marks = F.transform(by_name[column].tokens(lengths, level), lambda t: F.concat(label, t))
         return F.coalesce(F.when(condition, marks), F.array().cast("array<string>"))
 
-    marks = F.flatten(F.array(*[shown(*key, condition) for key, condition in demands.items()]))
-    marked = many.withColumn("_token", F.explode(marks))
-    similar = pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule)
-    return pairs.unionByName(similar.drop("_token").distinct())
+    long = {c.column for c in free if c.kind == "jaro_winkler" and not c.digest} if max(lengths, default=0) > LONG else set()
+    dense = [key for key in demands if key[0] in long and key[1] < by_name[key[0]].top]
+    parts = []
+    if dense:
+        parts.append(all_pairs(many.where(reduce(lambda a, b: a | b, [demands[key] & F.col(key[0]).isNotNull() for key in dense])), rule))
+    if len(dense) < len(demands):
+        marks = F.flatten(F.array(*[shown(*key, condition) for key, condition in demands.items() if key not in dense]))
+        marked = many.withColumn("_token", F.explode(marks))
+        parts.append(pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule).drop("_token"))
+    if parts == parts[:1] and dense:
+        return pairs.unionByName(parts[0])
+    return pairs.unionByName(reduce(DataFrame.unionByName, parts).distinct()) if parts else pairs
 
 
 def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame) -> DataFrame:
@@ -139,36 +151,77 @@ def block_pairs(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) ->
     return levelled.where(F.col("match_key").isNotNull()).drop("_rule")
 
 
-def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> DataFrame:
+def is_exact(c: Comparison) -> bool:
+    """Whether unequal values are all on level 0."""
+    return c.kind == "exact" or c.digest
+
+
+def fuzzy_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK) -> DataFrame | None:
+    """Pairs of a block, complete for those that agree a little on a column with degrees; None where no such column is open."""
+    fuzzy = [c for c in linkage.outside(rule) if not is_exact(c)]
+    return similar_pairs(found, linkage, rule, small, demands={(c.column, 1): F.lit(True) for c in fuzzy}) if fuzzy else None
+
+
+def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK) -> DataFrame:
     """How many record pairs of the block show each pattern of levels outside the rule.
 
-    Covers all pairs without forming them: similar pairs are counted directly, copies of
-    one profile by formula, and the rest, which agree on nothing, is the block's total
-    less the similar ones. Totals are kept per pattern of missing values.
+    Covers all pairs without forming them. Pairs that agree a little on a column with degrees are counted directly and copies of
+    one profile by formula. Of the others only equality matters: the pairs that agree on at least a set of exact columns
+    follow from the sizes of the groups with equal values, those that agree on just that set by inclusion and exclusion
+    over the sets that hold it, less the pairs counted directly. Totals are kept per set of missing values.
     """
     free = linkage.outside(rule)
     names = [f"gamma_{c.column}" for c in free]
+    fuzzy, equal = [c for c in free if not is_exact(c)], [c for c in free if is_exact(c)]
     rows = in_block(found, rule)
-
-    similar = with_levels(spread(similar_pairs(found, linkage, rule)), linkage).where(agrees_outside(linkage, rule))
     exact = "decimal(38,0)"  # pair counts of a hot block outgrow a long
-    both = F.col(f"{COPIES}_l").cast("decimal(19,0)") * F.col(f"{COPIES}_r").cast("decimal(19,0)")
-    seen = similar.groupBy(*names).agg(F.sum(both.cast(exact)).alias("n"))
-
     n = F.col(COPIES).cast("decimal(19,0)")
     own = rows.where(n > 1).select(
         *[F.when(F.col(c.column).isNull(), -1).otherwise(c.top).alias(f"gamma_{c.column}") for c in free],
         (n * (n - 1) / 2).cast(exact).alias("n"),
-    ).groupBy(*names).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    ).groupBy(*names).agg(F.sum("n").cast(exact).alias("n"))
 
+    bit = {c.column: 1 << i for i, c in enumerate(free)}
     mask = F.lit(0)
-    for i, c in enumerate(free):
-        mask = mask + F.when(F.col(c.column).isNull(), 1 << i).otherwise(0)
-    masks = range(1 << len(free))
-    wide = rows.withColumn("_mask", mask).groupBy(*rule).agg(*[
+    for c in free:
+        mask = mask + F.when(F.col(c.column).isNull(), bit[c.column]).otherwise(0)
+    marked = rows.withColumn("_mask", mask)
+    top = {f"gamma_{c.column}": c.top for c in free}
+
+    def levels(agreeing: Sequence[str]) -> list[Column]:
+        """The pattern of a pair that is known by its missing values and the exact columns it agrees on."""
+        return [F.when(F.col("_mask").bitwiseAND(bit[c.column]) != 0, -1).otherwise(top[f"gamma_{c.column}"] if c.column in agreeing else 0).alias(f"gamma_{c.column}")
+                for c in free]
+
+    parts = [_pairs_in_groups(marked, rule, together, [m for m in range(1 << len(free)) if not any(m & bit[c] for c in together)], n).select(
+        F.explode(F.array(*[F.struct(*levels(just), (F.col("n") * (-1) ** (len(together) - len(just))).cast(exact).alias("n")) for just in _subsets(together)])).alias("p")).select("p.*")
+        for together in _subsets([c.column for c in equal])]
+    union = reduce(DataFrame.unionByName, parts)
+
+    proposed = fuzzy_pairs(found, linkage, rule, small)
+    if proposed is not None:
+        agree = reduce(lambda a, b: a | b, [F.col(f"gamma_{c.column}") > 0 for c in fuzzy])
+        both = F.col(f"{COPIES}_l").cast("decimal(19,0)") * F.col(f"{COPIES}_r").cast("decimal(19,0)")
+        similar = with_levels(spread(proposed), linkage).where(agree).groupBy(*names).agg(F.sum(both.cast(exact)).cast(exact).alias("n"))
+        # Each of them is one less among the pairs that only equality was known of.
+        dull = [F.least(F.col(f"gamma_{c.column}"), F.lit(0)).alias(f"gamma_{c.column}") if c in fuzzy else F.col(f"gamma_{c.column}") for c in free]
+        both_rows = F.array(F.struct(*names, "n"), F.struct(*dull, (-F.col("n")).cast(exact).alias("n")))
+        union = union.unionByName(similar.select(F.inline(both_rows)))
+    return union.unionByName(own).groupBy(*names).agg(F.sum("n").cast(exact).alias("n")).where("n > 0")
+
+
+def _subsets(columns: Sequence[str]) -> list[tuple[str, ...]]:
+    return [tuple(c for i, c in enumerate(columns) if k >> i & 1) for k in range(1 << len(columns))]
+
+
+def _pairs_in_groups(marked: DataFrame, rule: Sequence[str], together: Sequence[str], masks: Sequence[int], n: Column) -> DataFrame:
+    """``(_mask, n)``: record pairs of different profiles that agree on ``together`` and lack, on either side, the columns of the mask."""
+    exact = "decimal(38,0)"
+    wide = marked.dropna(subset=list(together)) if together else marked
+    wide = wide.groupBy(*rule, *together).agg(*[
         agg for m in masks for agg in (
             F.sum(F.when(F.col("_mask") == m, n).otherwise(0)).cast("decimal(19,0)").alias(f"c{m}"),
-            F.sum(F.when(F.col("_mask") == m, (n * n).cast(exact)).otherwise(0)).alias(f"s{m}"),
+            F.sum(F.when(F.col("_mask") == m, (n * n).cast(exact)).otherwise(0)).cast(exact).alias(f"s{m}"),
         )
     ])
 
@@ -177,25 +230,9 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str]) -> D
             return ((F.col(f"c{a}") * F.col(f"c{a}") - F.col(f"s{a}")) / 2).cast(exact)
         return (F.col(f"c{a}") * F.col(f"c{b}")).cast(exact)
 
-    missing = wide.select(F.inline(F.array(*[
+    return wide.select(F.inline(F.array(*[
         F.struct(F.lit(a | b).alias("_mask"), cross(a, b).alias("n")) for a in masks for b in masks if a <= b
-    ]))).groupBy("_mask").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-    bit = {c.column: i for i, c in enumerate(free)}
-
-    def blank(source: DataFrame) -> DataFrame:
-        return source.select(*[
-            F.when(F.col("_mask").bitwiseAND(1 << bit[c.column]) != 0, -1).otherwise(0).alias(f"gamma_{c.column}")
-            for c in free
-        ], "n")
-
-    seen_mask = F.lit(0)
-    for i, name in enumerate(names):
-        seen_mask = seen_mask + F.when(F.col(name) < 0, 1 << i).otherwise(0)
-    rest = blank(
-        missing.unionByName(seen.select(seen_mask.alias("_mask"), (-F.col("n")).alias("n")))
-        .groupBy("_mask").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
-    union = seen.unionByName(own).unionByName(rest)
-    return union.groupBy(*names).agg(F.sum("n").cast("decimal(38,0)").alias("n")).where("n > 0")
+    ]))).groupBy("_mask").agg(F.sum("n").cast(exact).alias("n"))
 
 
 def proposed_counts(found: DataFrame, linkage: Linkage) -> DataFrame:

@@ -11,7 +11,7 @@ from civiclake.operators import linkage as lk
 from civiclake.operators.linkage.model import level_counts
 from civiclake.operators.linkage.pairs import pattern_counts, proposed_counts
 from civiclake.operators.linkage.predict import review_queue, summary
-from civiclake.plans import social_care
+from civiclake.plans import linkage_sql, social_care
 from civiclake.plans.registry import query
 from civiclake.session import materialise
 from civiclake.sources.domain import table
@@ -32,7 +32,7 @@ PREDICT_AT, CLUSTER_AT = 0.88, 0.92
 # The referral model.
 REFERRALS = lk.Linkage(
     comparisons=(
-        lk.Comparison("nhs_number_hash", "jaro_winkler", (0.95, 0.88), digest=True),
+        lk.Comparison("nhs_number_hash", "jaro_winkler", (0.95, 0.88)),
         lk.Comparison("postcode_area", "levenshtein", (1, 2)),
         lk.Comparison("age_band", "exact"),
         lk.Comparison("gender", "exact"),
@@ -293,7 +293,15 @@ def link_u(spark, sf_dir):
     return level_counts(compared(persons(spark, sf_dir)), PEOPLE).withColumn("share", F.round("share", 9))
 
 
-@query("link_train")
+TRAINED_SQL = f"""
+    people as (select person_id, forename, surname, try_cast(dob as date) as dob, postcode from (
+        select * from revenues_persons union all select * from housing_persons union all select * from social_persons)),
+    {linkage_sql.profiles(PEOPLE, 'person_id')}, {linkage_sql.trained(PEOPLE, PEOPLE_TRAINING, 20, 1e-4)}"""
+
+
+@query("link_train", f"with recursive {TRAINED_SQL} " + " union all ".join(
+    f"""select '{c.column}' as "column", {k} as level, round(m_{c.column}_{k}, 6) as m, round(u_{c.column}_{k}, 6) as u,
+      round(log2(m_{c.column}_{k} / u_{c.column}_{k}), 4) as bits from model""" for c in PEOPLE.comparisons for k in range(c.top + 1)))
 def link_train(spark, sf_dir):
     """m, u and weight per level after training on two blocks."""
     model = _trained(spark, sf_dir)[2]
@@ -301,7 +309,8 @@ def link_train(spark, sf_dir):
         (c.column, level, float(model.m[c.column][level]), float(model.u[c.column][level]), model.bits(c.column, level))
         for c in PEOPLE.comparisons for level in range(c.top + 1)
     ]
-    return spark.createDataFrame(level_rows, "column string, level int, m double, u double, bits double")
+    found = spark.createDataFrame(level_rows, "column string, level int, m double, u double, bits double")
+    return found.withColumns({"m": F.round("m", 6), "u": F.round("u", 6), "bits": F.round("bits", 4)})
 
 
 def _trained(spark, sf_dir):
@@ -310,7 +319,9 @@ def _trained(spark, sf_dir):
     return records, found, lk.estimate_m(found, PEOPLE, u, PEOPLE_TRAINING)
 
 
-@query("link_predict")
+@query("link_predict", f"""
+    with recursive {TRAINED_SQL}, {linkage_sql.scored(PEOPLE)}
+    select profile_id_l, profile_id_r, round(match_probability, 6) as match_probability, match_key from scored where match_probability >= {PREDICT_AT}""")
 def link_predict(spark, sf_dir):
     """Pairs under the trained model."""
     _, found, model = _trained(spark, sf_dir)
@@ -394,7 +405,18 @@ def referral_clusters(spark, sf_dir) -> DataFrame:
     return named.withColumnRenamed("cluster_id", "person_cluster_id")
 
 
-@query("link_attach_cluster")
+@query("link_attach_cluster", rf"""
+    with recursive clean as (select *, upper(regexp_replace(postcode, '\s+', '', 'g')) as k from referrals where contact_date >= DATE '2021-02-28'),
+    people as (select referral_id, sha256(nhs_number) as nhs_number_hash, rtrim(left(concat(left(k, length(k) - 3), ' ', right(k, 3)), 4)) as postcode_area,
+      age_band, gender from clean),
+    {linkage_sql.profiles(REFERRALS, 'referral_id')}, {linkage_sql.trained(REFERRALS, REFERRAL_TRAINING, 10, 1e-3)},
+    {linkage_sql.scored(REFERRALS)}, {linkage_sql.clusters(REFERRALS, 'referral_id', REFERRAL_CLUSTER_AT)}
+    select cast(date_trunc('month', contact_date) as date) as month, w.ward_name, primary_support_reason,
+           count(distinct cluster_id) as unique_people, count(*) as total_referrals,
+           round(count(*) * 1.0 / count(distinct cluster_id), 2) as avg_referrals_per_person,
+           round(avg(date_diff('day', contact_date, coalesce(assessment_date, DATE '2024-02-29'))), 4) as avg_days_to_assessment,
+           round(count(*) filter (where outcome = 'Service Provided') * 100.0 / count(*), 4) as conversion_rate_pct
+    from referrals r join assigned using (referral_id) left join wards w on w.ward_code = r.ward_code group by 1, 2, 3""")
 def link_attach_cluster(spark, sf_dir):
     """Social-care demand counted by linked person."""
     wards = table(spark, sf_dir, "wards").select("ward_code", "ward_name")

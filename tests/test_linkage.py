@@ -1,5 +1,7 @@
 """Linkage against brute force on small fixtures."""
 
+import collections
+import hashlib
 import itertools
 import random
 
@@ -8,12 +10,13 @@ import pytest
 from small import rows
 from pyspark.sql import functions as F
 
-from civiclake.functions.similarity import jaro_winkler_pair, letter_tokens
+from civiclake.functions.similarity import jaro_winkler_many, jaro_winkler_pair, letter_tokens
 from civiclake.operators import linkage as lk
 from civiclake.operators.components import connected_components
 from civiclake.operators.linkage.model import level_counts
-from civiclake.operators.linkage.pairs import all_pairs, pattern_counts, similar_pairs, with_levels, agrees_outside
+from civiclake.operators.linkage.pairs import all_pairs, fuzzy_pairs, pattern_counts, similar_pairs, with_levels, agrees_outside
 from civiclake.operators.linkage.predict import predict
+from civiclake.operators.linkage.values import date_distances, edit_distances
 from civiclake.operators.skew import pairs_within
 from civiclake.plans.linkage import GIVEN, PEOPLE
 
@@ -143,6 +146,124 @@ def test_levels_are_counted_over_all_pairs(spark):
         assert abs(sum(r["share"] for r in got) - len(PEOPLE.comparisons)) < 1e-9
 
 
+CARE = lk.Linkage(comparisons=(
+    lk.Comparison("hash", "jaro_winkler", (0.95, 0.88)), lk.Comparison("area", "levenshtein", (1, 2)), lk.Comparison("band", "exact"), lk.Comparison("sex", "exact")),
+    rules=(("area",), ("band", "sex")))
+
+
+def near_digest(rng, digest, changes):
+    out = list(digest)
+    for _ in range(changes):
+        out[rng.randrange(6, 64)] = rng.choice("0123456789abcdef")
+    return "".join(out)
+
+
+@pytest.fixture(scope="module")
+def referred(spark):
+    """Digests, some near each other, in two areas, with missing values everywhere and copies."""
+    rng = random.Random(8)
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)]
+    digests += [near_digest(rng, d, k) for k in (1, 2, 4, 9, 14) for d in digests[:8]]
+    digests += [d[:3] + hashlib.sha256(d.encode()).hexdigest()[3:] for d in digests[:30]]
+    rows = [(f"r{i:04d}", rng.choice([*digests, None]), rng.choice(["NE1", "NE2", None]), rng.choice(["18-25", "26-40", None]), rng.choice(["F", "M", None]))
+            for i in range(200)]
+    return spark.createDataFrame(rows + rows[:20], "id string, hash string, area string, band string, sex string")
+
+
+def all_levelled(found, linkage):
+    """Every pair of profiles with its levels, worked out one by one."""
+    data = [r.asDict() for r in found.collect()]
+    for a, b in itertools.combinations(sorted(data, key=lambda r: r["profile_id"]), 2):
+        levels = []
+        for c in linkage.comparisons:
+            x, y = a[c.column], b[c.column]
+            if x is None or y is None:
+                levels.append(-1)
+            elif x == y:
+                levels.append(c.top)
+            elif c.kind == "jaro_winkler":
+                levels.append(sum(jaro_winkler_pair(x, y) >= t for t in c.thresholds))
+            elif c.kind == "levenshtein":
+                d = sum(p != q for p, q in zip(x, y))  # the areas here have one length
+                levels.append(sum(d <= t for t in c.thresholds))
+            else:
+                levels.append(0)
+        yield a, b, tuple(levels)
+
+
+@pytest.mark.parametrize("small", [0, 256])
+def test_referral_patterns_equal_all_pairs(spark, referred, small):
+    found = lk.profiles(referred, CARE, "id").cache()
+    near = 0
+    for rule in CARE.rules:
+        free = [c.column for c in CARE.outside(rule)]
+        where = [i for i, c in enumerate(CARE.comparisons) if c.column in free]
+        want = collections.Counter()
+        for a, b, levels in all_levelled(found, CARE):
+            if all(a[c] is not None and a[c] == b[c] for c in rule):
+                want[tuple(levels[i] for i in where)] += a["copies"] * b["copies"]
+                near += 0 < levels[0] < 3
+        for r in found.collect():
+            if r["copies"] > 1 and all(r[c] is not None for c in rule):
+                want[tuple(-1 if r[CARE.comparisons[i].column] is None else CARE.comparisons[i].top for i in where)] += r["copies"] * (r["copies"] - 1) // 2
+        got = {tuple(r[f"gamma_{c}"] for c in free): int(r["n"]) for r in pattern_counts(found, CARE, rule, small).collect()}
+        assert got == dict(want)
+    assert near > 10  # digests that are alike but not equal
+
+
+def test_exact_columns_form_no_pairs(spark):
+    """Two sexes and four bands in one area: half of all pairs agree on the sex, hardly any on the name."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(9)) for _ in range(600)]
+    df = spark.createDataFrame([(str(i), names[i // 2], "NE1", str(i % 4), str(i % 2)) for i in range(1200)], "id string, hash string, area string, band string, sex string")
+    found = lk.profiles(df, CARE, "id").cache()
+    formed = fuzzy_pairs(found, CARE, ("area",)).count()
+    assert 600 <= formed < 0.2 * 1200 * 1199 / 2  # the name's own tokens; the sex alone would be half of all
+    got = {(r["gamma_hash"], r["gamma_band"], r["gamma_sex"]): int(r["n"]) for r in pattern_counts(found, CARE, ("area",)).collect()}
+    assert sum(got.values()) == 1200 * 1199 // 2 and sum(n for k, n in got.items() if k[0] == 3) == 600
+    assert sum(n for k, n in got.items() if k[1] == 1) == 4 * (300 * 299 // 2) and sum(n for k, n in got.items() if k[2] == 1) == 2 * (600 * 599 // 2)
+
+
+def test_many_similarities_at_once_equal_each_alone():
+    rng = random.Random(2)
+    for alphabet, most in (("AB", 8), ("ABCDEFGHIJ", 14), ("0123456789abcdef", 64), ("aé日\0", 70)):
+        left, right = ([""] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for _ in range(300)] for _ in "lr")
+        right[:40] = left[:40]
+        assert jaro_winkler_many(left, right).tolist() == [jaro_winkler_pair(a, b) for a, b in zip(left, right)]
+    assert len(jaro_winkler_many([], [])) == 0
+
+
+def test_edit_distances_are_counted_as_by_all_pairs(spark):
+    rng = random.Random(9)
+    words = {"", "a", "ab", "ba", "abc", "bca", "aab", "aba"} | {"".join(rng.choice("ab1 ") for _ in range(rng.randrange(1, 8))) for _ in range(250)}
+    words |= {f"NE{a}{b} {c}AB" for a in "123" for b in ("", "4", "5") for c in "01"}
+    n = {w: rng.randrange(1, 4) for w in words}
+    df = spark.createDataFrame(list(n.items()), "word string, n long").withColumn("n", F.col("n").cast("decimal(19,0)"))
+    con = duckdb.connect()
+    want = {1: 0, 2: 0}
+    for a, b in itertools.combinations(sorted(words), 2):
+        d = con.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0] if abs(len(a) - len(b)) <= 2 else 9
+        if d <= 2:
+            want[d] += n[a] * n[b]
+    assert {r["distance"]: int(r["pairs"]) for r in edit_distances(df, "word", 2).collect()} == want
+    assert {r["distance"]: int(r["pairs"]) for r in edit_distances(df, "word", 1).collect()} == {1: want[1]}
+    assert {r["pairs"] for r in edit_distances(df.limit(0), "word", 2).collect()} == {0}
+
+
+def test_near_dates_are_counted_as_by_all_pairs(spark):
+    rng = random.Random(4)
+    n = {rng.randrange(-3000, 3000): rng.randrange(1, 5) for _ in range(300)}
+    df = spark.createDataFrame(list(n.items()), "day int, n long").select(F.date_from_unix_date("day").alias("d"), F.col("n").cast("decimal(19,0)").alias("n"))
+    want = {0: 0, 1: 0}
+    for a, b in itertools.combinations(n, 2):
+        if abs(a - b) <= 365:
+            want[int(abs(a - b) > 30)] += n[a] * n[b]
+    near = date_distances(df, "d", [30, 365])
+    assert {r["step"]: int(r["pairs"]) for r in near.collect()} == want
+    windows = [line for line in near._jdf.queryExecution().executedPlan().toString().splitlines() if "Window " in line]
+    assert windows and all("windowspecdefinition(_w0" in line for line in windows)  # never the whole histogram in one task
+
+
 def test_digests_agree_only_when_equal(spark):
     df = spark.createDataFrame([("a" * 63 + "b", "a" * 63 + "c"), ("x", "x"), (None, "x")], "v_l string, v_r string")
     c = lk.Comparison("v", "jaro_winkler", (0.95, 0.88), digest=True)
