@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiclake.llm.words import ALNUM_GAPS, Words, mix, pieces
+from civiclake.llm.words import ALNUM_GAPS, Words, mix, pieces, release_memory
 
 _MATCH = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("first_word", T.IntegerType()),
                                    T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType())]))
@@ -226,6 +226,7 @@ def matcher(index: Index):
                 for d, i, s, e, n in sorted(index.verify(w, index.candidates(w.hash))):
                     rows[d].append({"item": i, "first_word": s, "edits": e, "item_words": n})
             out.append(pa.array(rows, _MATCH_PA))
+        release_memory()
         return pa.concat_arrays(out) if out else pa.array([], _MATCH_PA)
 
     return find

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiclake.llm.words import Words, mix, pieces
+from civiclake.llm.words import Words, mix, pieces, release_memory
 from civiclake.operators.components import connected_components
 from civiclake.session import materialise
 
+#: Bytes of text whose words and shingles are held at once; a longer text alone.
+PIECE = 250_000
 _SKETCH = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
 _SKETCH_PA = pa.struct([("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 
@@ -94,7 +96,7 @@ def sketcher(size: int, coordinates: int):
     @F.arrow_udf(_SKETCH)
     def sketch(text: pa.Array) -> pa.Array:
         parts = []
-        for lo, hi in pieces(text):
+        for lo, hi in pieces(text, PIECE):
             w = Words(text.slice(lo, hi - lo))
             sets = _sets(w, size)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -108,6 +110,7 @@ def sketcher(size: int, coordinates: int):
             keys = [k if n else None for k, n in zip(_keys(sets), sizes)]
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in out], pa.binary())], ["key", "n", "sketch"]))
+        release_memory()
         return pa.concat_arrays(parts) if parts else pa.array([], _SKETCH_PA)
 
     return sketch
@@ -362,7 +365,7 @@ def shingle_bytes(size: int):
     @F.arrow_udf(kind)
     def make(text: pa.Array) -> pa.Array:
         parts = []
-        for lo, hi in pieces(text):
+        for lo, hi in pieces(text, PIECE):
             sets = _sets(Words(text.slice(lo, hi - lo)), size)
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(_keys(sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"]))
@@ -378,21 +381,24 @@ def _jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "te
     (other documents, other sets with a Jaccard similarity of ``threshold`` or more), ``_copies`` (documents with its set) and
     ``_first`` (smallest id with its set).
 
-    Up to ``broadcast_rows`` keys are broadcast (24 bytes each) to fetch the texts to compare; more are joined by a shuffle.
+    Up to ``broadcast_rows`` keys are broadcast (32 bytes each) to fetch the texts to compare; more are joined by a shuffle.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    sketched = source.select("_id", sketcher(size, coordinates)(F.col("_text")).alias("s")).select("_id", "s.key", "s.n", "s.sketch")
+    hashed = F.xxhash64("_text").alias("text_hash")
+    sketched = source.select("_id", hashed, sketcher(size, coordinates)(F.col("_text")).alias("s")).select("_id", "text_hash", "s.key", "s.n", "s.sketch")
     rows = materialise(sketched, "sketches")
     records = materialise(rows.where("key is not null").groupBy("key").agg(
-        F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "records")
+        F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"),
+        F.max("sketch").alias("sketch")).select("key", F.col("least._id").alias("first"), F.col("least.text_hash").alias("text_hash"), "copies", "n", "sketch"), "records")
     edges = candidate_edges(records, coordinates=coordinates, threshold=threshold, rate=rate, depth=depth, leaf=leaf, recall=recall)
     groups = materialise(connected_components(edges, "a", "b"), "groups")
 
-    # Exact comparison inside the groups. Their texts are found by the first id with the set; the set itself decides.
-    wanted = materialise(groups.withColumnRenamed("node", "key").join(records.select("key", "first", "copies", "n"), "key"), "wanted")
-    lookup = wanted.select("first", F.col("key").alias("_wanted"))
-    found = source.join(_bounded(lookup, broadcast_rows), F.col("_id").eqNullSafe(F.col("first")))
+    # Exact comparison inside the groups. Their texts are found by the first id with the set and a hash of that row's text, so an id that
+    # stands on many rows meets few of them; the set itself decides.
+    wanted = materialise(groups.withColumnRenamed("node", "key").join(records.select("key", "first", "text_hash", "copies", "n"), "key"), "wanted")
+    lookup = wanted.select("first", "text_hash", F.col("key").alias("_wanted"))
+    found = source.join(_bounded(lookup, broadcast_rows), F.col("_id").eqNullSafe(F.col("first")) & (F.xxhash64("_text") == F.col("text_hash")))
     sets = found.select("_wanted", "_text").mapInArrow(_wanted_sets(size), "key binary, shingles binary").dropDuplicates(["key"])
     cells = in_cells(wanted.select("key", "component", "copies", "n"), "component", leaf // 2, "n", 500_000).join(sets, "key")
     dealt = cells.select("component", "_i", "_j", "_own", "_parts", "key", "copies", "shingles") \
@@ -422,11 +428,12 @@ def _wanted_sets(size: int):
     def run(batches):
         for batch in batches:
             wanted, text = batch.column(0), batch.column(1)
-            for lo, hi in pieces(text):
+            for lo, hi in pieces(text, PIECE):
                 sets = _sets(Words(text.slice(lo, hi - lo)), size)
                 same = [(k, s.tobytes()) for k, s, w in zip(_keys(sets), sets, wanted.slice(lo, hi - lo).to_pylist()) if k == w]
                 keys, values = zip(*same) if same else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["key", "shingles"])
+            release_memory()
 
     return run
 
@@ -466,12 +473,14 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
     leaves = classes.where("_key is not null and not (_id <=> _class)").select(F.col("_id").alias("_gone")).unionByName(
         repeated.withColumnRenamed("_again", "_gone")).distinct()
     leaves = materialise(leaves, "leaving")
-    plain = docs.join(_bounded(leaves, broadcast_rows), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))  # no column of the documents meets a name used here
+    own_id, own_text = F.col("_row").getField(id_col), F.col("_row").getField(text)
+    plain = rows.join(_bounded(leaves, broadcast_rows), own_id.eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
     if repeated.isEmpty():
         return plain
-    again = docs.join(_bounded(repeated, broadcast_rows), F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
-    again = again.withColumn("_set", shingle_bytes(size)(F.col(text))).withColumn("_own", F.col("_set.key"))
+    again = rows.join(_bounded(repeated, broadcast_rows), own_id.eqNullSafe(F.col("_again")), "left_semi")
+    again = again.withColumn("_set", shingle_bytes(size)(own_text)).withColumn("_own", F.col("_set.key"))
     keep = classes.where("_key is not null and (_id <=> _class)").groupBy("_root").agg(F.min("_key").alias("_key")).select("_key")
     held = again.join(keep, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])
     wordless = again.where(F.length("_set.shingles") == 0)
-    return plain.unionByName(held.select(*docs.columns)).unionByName(wordless.select(*docs.columns))
+    return plain.unionByName(held.select("_row.*")).unionByName(wordless.select("_row.*"))

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from civiclake.llm.words import release_memory
+
 # Fixed value: how the vocabulary's training split text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = T.StructType([
@@ -201,7 +203,9 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str
                 row += batch.num_rows
                 yield batch
             held = _Shard(row_length, code)
+            release_memory()
 
+        release_memory()
         for batch in batches:
             for doc_id, t in zip(batch.column(0), batch.column(1)):
                 held.add(doc_id.as_py(), code.ids(t.as_py()))

@@ -6,10 +6,18 @@ give the same words as characters do. A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Separators for words of letters and digits only: all of ASCII that is neither.
@@ -114,6 +122,13 @@ class Words:
         return ok, mix(total[ok])
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system. Workers live through many stages and would else keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(column: pa.Array, target: int = 1_000_000):
     """Slices of a column of about ``target`` bytes each, a longer text alone: bounds the memory of vectorised work."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))

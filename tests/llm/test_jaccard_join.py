@@ -68,3 +68,13 @@ def test_one_of_each_class_stays(odd, none):
 def test_runs_grow_with_the_recall():
     few, many = J.runs_needed(0.9, 0.8, 0.5, 3), J.runs_needed(0.9999, 0.8, 0.5, 3)
     assert 1 <= few < many
+
+
+def test_clashing_names_and_one_id_on_many_rows(spark):
+    """A third of the rows share one id with different texts; columns bear the names that the operator uses itself."""
+    rows = [(7, prose(1000 + i, 40), "g", 1, "k", 2.0, "n") for i in range(60)] + [(7, prose(1000, 40), "g", 1, "k", 2.0, "n")]
+    rows += [(None, prose(1000 + i, 40), "g", 1, "k", 2.0, "n") for i in range(20, 50)] + [(100 + i, prose(2000 + i // 2, 40), "g", 1, "k", 2.0, "n") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _again int, _key string, _set double, _row string")
+    kept = J.one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows})
