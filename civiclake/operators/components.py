@@ -46,3 +46,24 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def extend_components(known: DataFrame, edges: DataFrame, left: str, right: str) -> DataFrame:
+    """``(node, component)`` after a batch of edges joins ``known`` components; earlier edges are not needed again.
+
+    Each end of a new edge stands for its component, or for itself if it is new: components of that much smaller graph say which of the
+    known ones merge. As a component is named by its smallest node, the result equals one run over all edges ever given. A component
+    no new edge touches keeps its rows as they are.
+    """
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").distinct()
+    for end in ("a", "b"):
+        at = known.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        ends = ends.join(at, F.col(end) == F.col("_node"), "left").withColumn(f"_{end}", F.coalesce("_component", end)).drop("_node", "_component")
+    ends = materialise(ends, "ends")
+    merged = materialise(connected_components(ends, "_a", "_b"), "merged")
+    moves = merged.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+    kept = known.join(moves, known["component"] == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    # A new node stands for itself; one whose ends were known under one component already adds nothing.
+    new = ends.select("a").unionAll(ends.select("b")).distinct().join(known.select(F.col("node").alias("a")), "a", "left_anti")
+    added = new.join(moves, F.col("a") == F.col("_from"), "left").select(F.col("a").alias("node"), F.coalesce("_to", "a").alias("component"))
+    return kept.unionByName(added)

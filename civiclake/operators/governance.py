@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from civiclake.functions.text import contains_folded, pseudonym
 
@@ -58,6 +59,51 @@ def lineage_edges(df: DataFrame, path: str | Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(edge).alias("position", "_edge")).select(*keep, "position", "_edge.*")
 
 
+#: Sketches of 2**12 registers: the relative standard error of a distinct count is about 1.6 %.
+SKETCH_BITS = 12
+
+
+def partial_profiles(df: DataFrame, by: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """Profiles of parts of a table that can be merged: ``part, column_name`` with counts, bounds, a sketch of the distinct values and, for
+    numbers, one of their quantiles.
+
+    Keep them beside the parts (a load, a day): the profile of any set of parts then needs no scan of their rows. Values are sketched
+    and compared as text.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    chosen = [f.name for f in fields]
+    numeric = {f.name for f in fields if isinstance(f.dataType, NumericType)}
+    text = {c: F.col(c).cast("string") for c in chosen}
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(chosen):
+        aggs += [F.count(c).alias(f"n{i}"), F.min(text[c]).alias(f"a{i}"), F.max(text[c]).alias(f"b{i}"), F.hll_sketch_agg(text[c], F.lit(SKETCH_BITS)).alias(f"s{i}"),
+                 (F.kll_sketch_agg_double(F.col(c).cast("double")) if c in numeric else F.lit(None).cast("binary")).alias(f"q{i}")]
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"), F.col(f"n{i}").alias("n_values"), F.col(f"a{i}").alias("least"),
+                      F.col(f"b{i}").alias("greatest"), F.col(f"s{i}").alias("sketch"), F.when(F.col(f"n{i}") > 0, F.col(f"q{i}")).alias("quantiles")) for i, c in enumerate(chosen)]
+    return df.groupBy(by.alias("part")).agg(*aggs).select("part", F.inline(F.array(*cells)))
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """One row a column for all parts together: rows, NULLs, bounds, the estimated number of distinct values and quartiles (rank error about 1 %)."""
+    quantiles = F.kll_merge_agg_double("quantiles").alias("_quantiles")
+    merged = parts.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), (F.sum("n_rows") - F.sum("n_values")).alias("n_null"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"), F.count("quantiles").alias("_sketched"), quantiles)
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = F.when(F.col("_sketched") > 0, F.kll_sketch_get_quantile_double("_quantiles", at))
+    return merged.withColumn("quartiles", quartiles).drop("_sketched", "_quantiles")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column_name, n_distinct``, exact: values are made distinct where they lie before any of them is sent, long ones as digests."""
+    chosen = [f.name for f in df.schema.fields if columns is None or f.name in columns]
+    digest = lambda c: F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), digest(F.col(c).cast("string")).alias("value")) for c in chosen])
+    distinct = df.select(F.inline(cells)).where("value is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in chosen], "column_name string")
+    return names.join(distinct, "column_name", "left").na.fill(0, ["n_distinct"])
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "none") -> DataFrame:
     """Type, rows, NULL count, least and greatest value per column, from one pass.
 

@@ -9,6 +9,7 @@ from civiclake.functions import text
 from civiclake.functions.measures import MONEY, arrears_band, day, days_between, divide, money, rows, rows_where
 from civiclake.operators import current, timeline
 from civiclake.operators.skew import counted_copies, join_in_cells, unfold_copies
+from civiclake.operators.ranking import numbered
 from civiclake.plans.registry import query
 from civiclake.sources.domain import AS_OF, read, table
 
@@ -261,15 +262,17 @@ def cts_cross_match_soundex(spark, sf_dir):
 
 
 @query("cts_ranked", f"""
-    with {CROSS_MATCH_SQL}
-    select account_ref, balance_outstanding, claim_type as hb_claim_type,
+    with {CROSS_MATCH_SQL}, w as (select *, list_last(string_split(liable_name, ' ')) as last_name from matched),
+    graded as (select *, case when {_soundex_sql('last_name')} = {_soundex_sql('hb_surname')} then 'High' else 'Medium' end as match_confidence from w)
+    select row_number() over (order by balance_outstanding desc, match_confidence, account_ref, claim_type, weekly_amount) as rank,
+           account_ref, balance_outstanding, match_confidence, claim_type as hb_claim_type,
            cast(round(cast(annual_charge as decimal(18,2)) * 0.75, 2) as double) as estimated_cts_award
-    from matched order by balance_outstanding desc""")
+    from graded""")
 def cts_ranked(spark, sf_dir):
-    found = support_matches(*_cross_match_inputs(spark, sf_dir))
-    ranked = found.where(F.col("match_confidence").isin("High", "Medium")).orderBy(
-        F.col("balance_outstanding").desc(), "match_confidence", "account_ref")
-    return ranked.select("account_ref", "balance_outstanding", "hb_claim_type", "estimated_cts_award")
+    """The matches in order of what is owed and how sure the match is, with their rank."""
+    found = support_matches(*_cross_match_inputs(spark, sf_dir)).where(F.col("match_confidence").isin("High", "Medium"))
+    order = [F.col("balance_outstanding").desc(), F.col("match_confidence"), F.col("account_ref"), F.col("hb_claim_type"), F.col("hb_weekly_amount")]
+    return numbered(found, order).select("rank", "account_ref", "balance_outstanding", "match_confidence", "hb_claim_type", "estimated_cts_award")
 
 
 @query("cts_award_summary", f"""

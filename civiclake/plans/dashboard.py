@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from civiclake.functions.measures import (
     KPI_TARGETS, Measures, arrears_band, divide, money, rows, rows_where, score_band,
@@ -81,17 +82,18 @@ def dash_kpis(spark, sf_dir):
 
 
 @query("dash_top_wards", """
-    select ward_name, imd_score, case when imd_score > 35 then 'high' when imd_score > 20 then 'medium' else 'low' end
-      as band, requests from (
+    select row_number() over (order by imd_score desc, ward_name) as rank, ward_name, imd_score,
+      case when imd_score > 35 then 'high' when imd_score > 20 then 'medium' else 'low' end as band, requests from (
       select w.ward_name, w.imd_score, count(r.request_id) as requests from wards w
       left join requests r on r.ward_code = w.ward_code group by 1, 2)
-    order by imd_score desc, ward_name limit 12""")
+    qualify rank <= 12""")
 def dash_top_wards(spark, sf_dir):
-    """The twelve most deprived wards with their demand; counts are formed before the join."""
+    """The twelve most deprived wards in order, with their demand; counts are formed before the join."""
     per_ward = table(spark, sf_dir, "requests").groupBy("ward_code").agg(rows().alias("requests"))
     wards = table(spark, sf_dir, "wards").join(per_ward, "ward_code", "left").na.fill(0, ["requests"])
     top = wards.orderBy(F.col("imd_score").desc(), "ward_name").limit(12)
-    return top.select("ward_name", "imd_score", score_band("imd_score", 35, 20, inclusive=False).alias("band"), "requests")
+    place = F.row_number().over(Window.orderBy(F.col("imd_score").desc(), "ward_name"))  # over twelve rows
+    return top.select(place.alias("rank"), "ward_name", "imd_score", score_band("imd_score", 35, 20, inclusive=False).alias("band"), "requests")
 
 
 @query("dash_score_bands", """

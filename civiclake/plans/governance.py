@@ -136,6 +136,30 @@ def gov_profile(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: All columns in the types they have; vectors by their text.
+COLUMNS = {name: [c for c, _ in columns] for name, columns in PROFILED.items()} | {"embeddings": ["vec_id", "embedding", "label"]}
+
+
+def _in_sql(column: str) -> str:
+    return {"embedding": "array_to_string(embedding, ',')"}.get(column, column)
+
+
+@query("gov_distinct", " union all ".join(
+    f"""select '{name}' as dataset, '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {_in_sql(c)}) as n_distinct,
+        true as sketch_within_5_pct from {name}""" for name, columns in COLUMNS.items() for c in columns))
+def gov_distinct(spark, sf_dir):
+    """Distinct values of every column of every table, exactly, and whether sketches merged from eight parts agree to 5 % or two."""
+    parts = []
+    for name, columns in COLUMNS.items():
+        df = read(spark, sf_dir, name).select(*columns)
+        pieces = governance.partial_profiles(df, F.pmod(F.xxhash64(columns[0]), F.lit(8)))
+        merged = governance.merged_profile(pieces).withColumnRenamed("n_distinct", "_estimate")
+        both = merged.join(governance.distinct_counts(df), "column_name")
+        close = F.abs(F.col("_estimate") - F.col("n_distinct")) <= F.greatest(F.lit(2.0), F.col("n_distinct") * 0.05)
+        parts.append(both.select(F.lit(name).alias("dataset"), "column_name", "n_rows", "n_null", "n_distinct", close.alias("sketch_within_5_pct")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: The domain tables with the column that dates them, if any.
 DATASETS = {
     "wards": None, "accounts": "liable_start", "properties": "last_modified_date", "repairs": "last_modified", "requests": "request_date",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.operators import linkage as lk
+from civiclake.operators.components import connected_components, extend_components
 from civiclake.operators.linkage.model import level_counts
 from civiclake.operators.linkage.pairs import pattern_counts, proposed_counts
 from civiclake.operators.linkage.predict import review_queue, summary
@@ -385,6 +386,15 @@ def link_clusters(spark, sf_dir):
     return assigned_people(spark, sf_dir)
 
 
+@query("link_clusters_increment", f"with recursive {CLUSTERS_SQL} select node as profile_id, cluster_id from named")
+def link_clusters_increment(spark, sf_dir):
+    """Clusters of the matched profiles in two batches: two thirds of the matches first, then the others joined to what is there."""
+    edges = _given_pairs(spark, sf_dir)[2].where(F.col("match_probability") >= CLUSTER_AT)
+    later = F.crc32(F.concat("profile_id_l", "profile_id_r").cast("binary")) % 3 == 0
+    first = materialise(connected_components(edges.where(~later), "profile_id_l", "profile_id_r").toDF("node", "component"), "clusters")
+    return extend_components(first, edges.where(later), "profile_id_l", "profile_id_r").toDF("profile_id", "cluster_id")
+
+
 @query("link_summary", f"""
     with recursive {CLUSTERS_SQL} select count(*) as records, count(distinct cluster_id) as clusters,
       round(count(*) * 1.0 / count(distinct cluster_id), 1) as dedupe_ratio from assigned""")

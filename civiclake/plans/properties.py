@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civiclake.functions import text
 from civiclake.functions.measures import divide, money, percent, rows, rows_where
 from civiclake.operators import current
+from civiclake.operators.point_in_time import at_event_time
 from civiclake.plans.council_tax import EARLIER, LATER, ORDER_STATES_SQL, order_states
 from civiclake.plans.registry import query
 from civiclake.plans.repairs import ENRICHED_SQL, _enriched
@@ -150,16 +151,6 @@ def mart_star_flat(spark, sf_dir):
                        "tenure_type", "contractor", "contractor_name")
 
 
-def at_event_time(facts: DataFrame, dimension: DataFrame, key: str, event_date: str) -> DataFrame:
-    """Each fact with the dimension version valid on its date (start inclusive, end exclusive)."""
-    versions = dimension.withColumnRenamed(key, "_key")
-    valid = (
-        (F.col(key) == F.col("_key")) & (F.col(event_date) >= F.col("start_date"))
-        & (F.col("end_date").isNull() | (F.col(event_date) < F.col("end_date")))
-    )
-    return facts.join(versions, valid, "left").drop("_key")
-
-
 @query("mart_star_point_in_time", f"""
     with {SCD_SQL}
     select o.o_orderkey, o.o_custkey, n.state, n.band, n.start_date
@@ -171,7 +162,7 @@ def mart_star_point_in_time(spark, sf_dir):
     facts = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("on"))
     found = at_event_time(facts, dimension.withColumnRenamed("account_key", "o_custkey"), "o_custkey", "on")
-    return found.select("o_orderkey", facts["o_custkey"], "state", "band", "start_date")
+    return found.select("o_orderkey", "o_custkey", "state", "band", "start_date")
 
 
 @query("mart_ward_context", """

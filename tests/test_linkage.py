@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civiclake.functions.similarity import jaro_winkler_many, jaro_winkler_pair, letter_tokens
 from civiclake.operators import linkage as lk
-from civiclake.operators.components import connected_components
+from civiclake.operators.components import connected_components, extend_components
 from civiclake.operators.linkage.model import level_counts
 from civiclake.operators.linkage.pairs import all_pairs, fuzzy_pairs, pattern_counts, similar_pairs, with_levels, agrees_outside
 from civiclake.operators.linkage.predict import predict
@@ -130,6 +130,19 @@ def test_components_equal_union_find(spark):
     assert got == {n: find(n) for n in root}
 
 
+def test_batches_of_edges_give_the_components_of_all(spark):
+    rng = random.Random(21)
+    edges = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(190)] + [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200, 230)]
+    rng.shuffle(edges)
+    schema = "a string, b string"
+    whole = rows(connected_components(spark.createDataFrame(edges, schema), "a", "b"))
+    known = connected_components(spark.createDataFrame(edges[:80], schema), "a", "b").cache()
+    for batch in (edges[80:81] * 3, edges[81:160], edges[:10], edges[160:]):
+        known = extend_components(known, spark.createDataFrame(batch, schema), "a", "b").cache()
+    assert rows(known) == whole
+    assert rows(extend_components(known, spark.createDataFrame([], schema), "a", "b")) == whole
+
+
 def test_levels_are_counted_over_all_pairs(spark):
     rng = random.Random(4)
     data = [(f"p{i:03d}", rng.choice([*NAMES, None]), rng.choice(["BELL", "BELLS", "DODD"]), f"19{rng.randint(60, 62)}-0{rng.randint(1, 9)}-11",

@@ -8,7 +8,7 @@ from small import rows
 from pyspark.sql import functions as F
 
 from civiclake.operators import governance
-from civiclake.plans.properties import at_event_time
+from civiclake.operators.point_in_time import at_event_time
 from civiclake.session import scratch_path
 from civiclake.sources import files, jdbc, lake
 from civiclake.sources.buckets import BucketedTable
@@ -225,6 +225,21 @@ def test_masking_profile_and_access(spark):
     assert governance.secure_view(df, rights, "west", "ward", ["n"]).count() == 0
 
 
+def test_profiles_of_parts_merge(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.when(F.col("id") % 4 != 0, F.repeat(F.lit("x"), F.col("id").cast("int") % 90)).alias("t"), F.lit(None).cast("int").alias("none"))
+    parts = governance.partial_profiles(df, F.pmod(F.col("k"), F.lit(7))).cache()
+    assert parts.count() == 21
+    whole = {r["column_name"]: r for r in governance.merged_profile(parts).collect()}
+    exact = {r["column_name"]: r["n_distinct"] for r in governance.distinct_counts(df).collect()}
+    assert exact == {"k": 5000, "t": len({i % 90 for i in range(20_000) if i % 4}), "none": 0}
+    assert all(abs(whole[c]["n_distinct"] - n) <= max(2, 0.05 * n) for c, n in exact.items())
+    assert (whole["t"]["n_rows"], whole["t"]["n_null"], whole["none"]["n_null"]) == (20_000, 5000, 20_000)
+    assert whole["t"]["quartiles"] is None and whole["none"]["quartiles"] is None
+    assert all(abs(q - 5000 * share) < 150 for q, share in zip(whole["k"]["quartiles"], (0.25, 0.5, 0.75)))
+    some = governance.merged_profile(parts.where("part < 3")).where("column_name = 'k'").first()
+    assert abs(some["n_distinct"] - 5000 * 3 / 7) < 150
+
+
 def test_open_data_can_withhold_small_groups(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "w string, done boolean")
     assert rows(governance.open_data(df, ["w"], F.col("done"))) == [("a", 2, 50.0), ("b", 1, 100.0)]
@@ -238,3 +253,24 @@ def test_point_in_time_join(spark):
     facts = spark.createDataFrame([("k", d(2020, 6, 1)), ("k", d(2021, 1, 1)), ("k", d(2019, 1, 1))], "key string, on date")
     assert rows(at_event_time(facts, dim, "key", "on").select("on", "v")) == [
         (d(2019, 1, 1), None), (d(2020, 6, 1), "old"), (d(2021, 1, 1), "new")]
+
+
+def test_point_in_time_join_of_hot_keys(spark):
+    """Hot keys are cut by time: versions reach every slice they are valid in, whatever the slices are."""
+    start = dt.date(2020, 1, 1)
+    days = lambda n: start + dt.timedelta(days=n)
+    versions = [("hot", i, days(10 * i), days(10 * i + (10 if i % 7 else 6))) for i in range(1, 60)] + [("hot", 60, days(600), None), ("few", 1, days(5), None), (None, 9, days(0), None)]
+    facts = [(i, "hot" if i % 3 else ["few", "none", None][i % 9 // 3], days(i % 900) if i % 50 else None) for i in range(2000)]
+    dim = spark.createDataFrame(versions, "key string, v int, start_date date, end_date date")
+    df = spark.createDataFrame(facts, "n int, key string, on date")
+
+    def valid(key, on):
+        return next((v for k, v, a, b in versions if key is not None and on is not None and k == key and a <= on and (b is None or on < b)), None)
+
+    want = {n: valid(key, on) for n, key, on in facts}
+    for hot_rows, slice_days in ((1_000_000, 30), (100, 30), (100, 1)):
+        got = at_event_time(df, dim, "key", "on", hot_rows=hot_rows, slice_days=slice_days)
+        assert got.columns == ["n", "key", "on", "v", "start_date", "end_date"]
+        assert {r["n"]: r["v"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

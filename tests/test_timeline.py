@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civiclake.functions.measures import score_band
 from civiclake.operators import timeline
+from civiclake.operators.ranking import numbered
 
 # Monthly requests of six departments, deprivation scores, budgets in thousands.
 SERVICE = {
@@ -102,9 +103,28 @@ def test_backlog(spark):
 
 def test_top_wards_and_bands(spark):
     # Deprivation scores.
-    scores = {"Felling": 44.1, "Deckham": 42.8, "Saltwell": 41.7, "Dunston & Teams": 39.5, "Bridges": 38.2, "High Fell": 36.9,
-              "Lobley Hill & Bensham": 34.6, "Pelaw & Heworth": 31.2, "Birtley": 24.3, "Low Fell": 14.8}
+    scores = {
+        "Birtley": 24.3, "Blaydon": 18.7, "Bridges": 38.2,
+        "Chopwell & Rowlands Gill": 26.1, "Chowdene": 15.4,
+        "Deckham": 42.8, "Dunston & Teams": 39.5, "Felling": 44.1,
+        "High Fell": 36.9, "Lamesley": 12.3,
+        "Lobley Hill & Bensham": 34.6, "Low Fell": 14.8,
+        "Pelaw & Heworth": 31.2, "Saltwell": 41.7,
+        "Whickham North": 9.8, "Whickham South": 8.2,
+        "Windy Nook & Whitehills": 28.4, "Winlaton & High Spen": 22.9,
+        "Ryton": 13.5, "Crawcrook & Greenside": 11.1,
+    }
     df = spark.createDataFrame(list(scores.items()), "ward string, s double")
-    top = df.orderBy(F.col("s").desc(), "ward").limit(8)
+    top = df.orderBy(F.col("s").desc(), "ward").limit(12)
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
-    assert [r[0] for r in top.select(score_band("s", 35, 20, inclusive=False)).collect()] == ["high"] * 6 + ["medium"] * 2
+    assert [r[0] for r in top.select(score_band("s", 35, 20, inclusive=False)).collect()] == ["high"] * 6 + ["medium"] * 6
+
+
+def test_ranks_over_many_ranges(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 613).alias("v")).repartition(6)
+    order = [F.col("v").desc(), F.col("id")]
+    ranked = numbered(df, order)
+    want = sorted(((k * 7919 % 613, k) for k in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert [(r["v"], r["id"]) for r in ranked.orderBy("rank").collect()] == want
+    assert [r["rank"] for r in ranked.orderBy("rank").collect()] == list(range(1, 5001))
+    assert numbered(df.limit(0), order).count() == 0
