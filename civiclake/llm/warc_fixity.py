@@ -1,6 +1,6 @@
 """WARC: records with their byte ranges in archive files, and a Merkle fixity audit between two replicas.
 
-``archive`` writes each page as a WARC response record and gives it a file and an offset: files of about ``file_bytes``, records in the
+``archive`` makes each page a WARC response record and gives it a file and an offset: files of about ``file_bytes``, records in the
 order of their ids. ``merkle_tree`` hashes records; the records that begin in one range of ``range_bytes`` of a file make a node,
 ``fan`` neighbouring ranges the next, and so on to one hash a file and one for all files. ``audit`` compares the roots and then, level by
 level, only the children of nodes that differ, down to the records.
@@ -8,7 +8,7 @@ level, only the children of nodes that differ, down to the records.
 Everything is DataFrame functions: a node's group is bounded by its range or by ``fan``, a file's running offsets by ``file_bytes``.
 
 Defined results: a null url or markup is written as empty; a null id is written as empty and ordered by its record's hash; equal rows are
-records of their own, next to each other in one file; equal replicas, empty ones included, give no rows; further columns don't matter.
+records of their own, next to each other in one file as far as they fit; equal replicas, empty ones included, give no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,16 +29,30 @@ def warc_record(id_: Column, url: Column, body: Column) -> Column:
 
 
 def archive(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", body: str = "html", file_bytes: int = 64_000_000) -> DataFrame:
-    """``file, offset, length, id, record`` of all pages, written to the shared folder: the replica itself."""
+    """``file, offset, length, id, record`` of all pages: what a replica holds.
+
+    Equal records are placed in runs of at most ``file_bytes``, the first by the record's hash, further ones by that and their number, so
+    no file grows with the copies of one page. Only ids, lengths and hashes are ordered for the offsets; the bytes join them afterwards.
+    """
     records = pages.select(F.col(id_col).alias("id"), warc_record(F.col(id_col), F.col(url), F.col(body)).alias("record"))
-    records = records.select("id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "record")
-    total = records.agg(F.sum("length")).first()[0] or 0
+    records = records.withColumn("digest", F.sha2("record", 256))
+    key = F.concat("digest", F.when(F.col("id").isNull(), "-").otherwise("+")).alias("key")
+    light = records.select(key, "id", "digest", F.octet_length("record").cast("long").alias("length"))
+    total = light.agg(F.sum("length")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    # A page's file follows from its record's hash; only ids, lengths and hashes are ordered for the offsets.
-    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % files
-    order = "partition by file order by id, digest rows between unbounded preceding and 1 preceding"
-    placed = records.withColumn("file", place)
-    return placed.withColumn("offset", F.expr(f"coalesce(sum(length) over ({order}), 0L)")).select("file", "offset", "length", "id", "record")
+    copies = light.groupBy("key").agg(F.min("id").alias("id"), F.min("digest").alias("digest"), F.min("length").alias("length"), F.count(F.lit(1)).alias("copies"))
+    most = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(file_bytes) / F.col("length")))
+    runs = copies.withColumn("most", most).withColumn("run", F.explode(F.expr("sequence(0L, (copies - 1) div most)")))
+    runs = runs.withColumn("copies", F.least("most", F.col("copies") - F.col("run") * F.col("most")))
+    placed_by = F.when(F.col("run") == 0, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "digest", "run"), 256))
+    runs = runs.withColumn("file", F.conv(F.substring(placed_by, 1, 8), 16, 10).cast("long") % files)
+    order = "partition by file order by id, digest, run rows between unbounded preceding and 1 preceding"
+    runs = runs.withColumn("start", F.expr(f"coalesce(sum(length * copies) over ({order}), 0L)"))
+    # One set of bytes for each record, however often it occurs.
+    bytes_ = records.select(key, "record").dropDuplicates(["key"])
+    found = runs.select("key", "file", "start", "length", "id", "copies").join(bytes_, "key")
+    each = found.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    return each.select("file", (F.col("start") + F.col("copy") * F.col("length")).alias("offset"), "length", "id", "record")
 
 
 def merkle_tree(replica: DataFrame, *, range_bytes: int = 65_536, fan: int = 16) -> list[DataFrame]:
@@ -122,7 +136,7 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("nth", F.expr("row_number() over (partition by file, offset order by length, hash)"))
 
 
-def damaged(replica: DataFrame, one_in: int = 200) -> DataFrame:
+def damaged(replica: DataFrame, one_in: int = 10) -> DataFrame:
     """A copy with faults in about one of ``one_in`` records, by a hash of the id: a flipped byte, a cut end or the record gone."""
     number = F.conv(F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256), 1, 8), 16, 10).cast("long") % (3 * one_in)
     half = F.floor(F.col("length") / 2).cast("int")

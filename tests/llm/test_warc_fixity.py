@@ -55,6 +55,27 @@ def test_empty_replicas(replica):
     assert W.audit(replica, none, range_bytes=2000).count() == len(PAGES)
 
 
+def test_many_equal_rows_fill_several_files(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 500)] * 900 + [(None, "u", "y" * 500)] * 5 + [(2, "v", "z")], "page_id long, url string, html string")
+    rows = W.archive(df, file_bytes=40_000).collect()
+    assert len(rows) == 906 and sum(r["id"] is None for r in rows) == 5
+    files: dict = {}
+    for r in rows:
+        files.setdefault(r["file"], []).append((r["offset"], r["length"], bytes(r["record"])))
+    assert len(files) > 5 and max(sum(n for _, n, _ in held) for held in files.values()) < 8 * 40_000
+    for held in files.values():
+        at = 0
+        for offset, length, record in sorted(held):
+            assert offset == at and length == len(record)
+            at += length
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_finds_faults_of_each_kind_at_every_scale(spark, sf):
+    found = queries.QUERIES["op10_warc_fixity"](spark, f"/root/testdata/{sf}").collect()
+    assert {r["kind"] for r in found} == {"changed", "resized", "missing"}
+
+
 def test_query_equals_its_sql(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
     assert compare(spark, check_engine(sf), queries.QUERIES["op10_warc_fixity"], queries.ORACLES["op10_warc_fixity"], sf) is None
