@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -243,3 +243,27 @@ def conforms(c: str, declared: str) -> Column:
     else:
         fits = value.try_cast({"INT": "int", "BOOLEAN": "boolean"}.get(kind, declared.lower())).isNotNull()
     return value.isNull() | F.coalesce(fits, F.lit(False))
+
+
+def record_drift(feed: DataFrame, body: str, expected: Mapping[str, str]) -> DataFrame:
+    """``feed`` with how each JSON record departs from ``expected`` (field -> type): ``drift`` is ``unreadable``, ``drifted`` or ``ok``, beside
+    ``dropped``, ``unknown`` and ``mistyped`` field names. A field that is there with a JSON null counts as there.
+
+    Columns of a table show a missing field as NULL; the record itself tells whether its source stopped sending it.
+    """
+    names = F.array(*[F.lit(n) for n in expected])
+    keys = F.json_object_keys(body)
+    wrong = [F.when(F.get_json_object(body, f"$['{n}']").isNotNull() & F.get_json_object(body, f"$['{n}']").try_cast(t).isNull(), F.lit(n))
+             for n, t in expected.items() if t != "string"]
+    mistyped = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+    marked = feed.withColumns({
+        "dropped": F.array_except(names, keys), "unknown": F.array_sort(F.array_except(keys, names)),
+        "mistyped": F.when(keys.isNotNull(), mistyped)})
+    departs = F.size("dropped") + F.size("unknown") + F.size("mistyped") > 0
+    return marked.withColumn("drift", F.when(keys.isNull(), "unreadable").when(departs, "drifted").otherwise("ok"))
+
+
+def accepted(marked: DataFrame, body: str, expected: Mapping[str, str]) -> DataFrame:
+    """The typed fields of the records without drift; the others are for quarantine."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in expected.items())
+    return marked.where("drift = 'ok'").select(F.from_json(body, schema).alias("_r")).select("_r.*")

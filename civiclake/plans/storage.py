@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from civiclake.functions import text
 from civiclake.operators import current
+from civiclake.operators.quality import record_drift
+from civiclake.operators.text_index import indexed_search, write_postings
 from civiclake.plans.council_tax import LINE_TIES, EARLIER, LATER, ORDER_STATES_SQL, collection_summary, order_states
 from civiclake.plans.registry import ORACLES, query
 from civiclake.session import scratch_path
 from civiclake.sources import files, lake
 from civiclake.sources.domain import read, table
+from civiclake.sources.history import History
 
 
 @query("io_csv_typed", """
@@ -134,3 +138,52 @@ def bronze_rebuild_silver(spark, sf_dir):
     moment = F.lit("2100-01-01").cast("timestamp_ntz")
     return current.as_of(bronze, ["o_custkey"], moment, "o_orderdate", ["o_orderkey"]).select(
         "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+FEED = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double"}
+
+
+@query("io_record_drift", """
+    with f as (select event_id, event_id % 10 = 3 or event_type is null as no_type, event_id % 25 = 0 as extra, event_id % 40 = 7 as bad_user,
+        event_id % 200 = 11 as broken, value is null as no_value, user_id is null as no_user from events)
+    select case when broken then null else event_id end as event_id,
+      case when broken then 'unreadable' when no_type or extra or bad_user or no_value or no_user then 'drifted' else 'ok' end as drift,
+      case when not broken then concat_ws(',', case when no_user and not bad_user then 'user_id' end, case when no_type then 'event_type' end, case when no_value then 'value' end) end as dropped,
+      case when not broken then case when extra then 'channel' else '' end end as unknown,
+      case when not broken then case when bad_user then 'user_id' else '' end end as mistyped
+    from f""")
+def io_record_drift(spark, sf_dir):
+    """A JSON feed whose source drops, adds and changes fields and cuts lines off: what is wrong with each record."""
+    path = scratch_path(spark, "feed")
+    n = F.col("event_id")
+    record = F.to_json(F.struct(
+        n, F.when(n % 40 == 7, F.concat(F.lit("u"), F.coalesce(F.col("user_id").cast("string"), F.lit("")))).otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(n % 10 != 3, F.col("event_type")).alias("event_type"), "value", F.when(n % 25 == 0, "web").alias("channel")))
+    read(spark, sf_dir, "events").select(F.when(n % 200 == 11, F.substring(record, 1, 12)).otherwise(record).alias("value")).write.text(path)
+    marked = record_drift(spark.read.text(path), "value", FEED)
+    return marked.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), "drift",
+                         *[F.array_join(c, ",").alias(c) for c in ("dropped", "unknown", "mistyped")])
+
+
+@query("bronze_as_of_snapshot", """
+    select user_id, event_id, event_type, value from (
+      select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn
+      from events where ts <= TIMESTAMP '2024-01-15 06:00:00') where rn = 1""")
+def bronze_as_of_snapshot(spark, sf_dir):
+    """The state on 15 January from the snapshot of the 10th, itself made from that of the 5th, and five days of bronze."""
+    history = History(spark, scratch_path(spark, "history"), ["user_id"], "ts", [F.col("event_id").desc()])
+    history.append(read(spark, sf_dir, "events"))
+    for day in (5, 10):
+        history.snapshot(date(2024, 1, day))
+    return history.as_of(datetime(2024, 1, 15, 6)).select("user_id", "event_id", "event_type", "value")
+
+
+@query("gov_search_indexed", """
+    select doc_id, source, lang from documents
+    where contains(lower(text), 'licen') or contains(lower(source), 'licen') or contains(lower(lang), 'licen')""")
+def gov_search_indexed(spark, sf_dir):
+    """Documents that mention a licence, found by trigram postings."""
+    path, docs = scratch_path(spark, "postings"), read(spark, sf_dir, "documents")
+    fields = ["text", "source", "lang"]
+    write_postings(docs, "doc_id", fields, path, buckets=16)
+    return indexed_search(docs, path, " Licen ", "doc_id", fields, buckets=16).select("doc_id", "source", "lang")

@@ -8,10 +8,13 @@ from small import rows
 from pyspark.sql import functions as F
 
 from civiclake.operators import governance
+from civiclake.operators.quality import accepted, record_drift
+from civiclake.operators.text_index import candidates, indexed_search, write_postings
 from civiclake.operators.point_in_time import at_event_time
 from civiclake.session import scratch_path
 from civiclake.sources import files, jdbc, lake
 from civiclake.sources.buckets import BucketedTable
+from civiclake.sources.history import History
 from civiclake.streaming import feeds
 
 
@@ -274,3 +277,52 @@ def test_point_in_time_join_of_hot_keys(spark):
         assert {r["n"]: r["v"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_as_of_opens_only_the_days_since_the_snapshot(spark):
+    history = History(spark, scratch_path(spark, "history"), ["k"], "at", ["v"])
+    rows_ = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * k + 5 * i), i) for k in range(6) for i in range(100)]
+    df = spark.createDataFrame(rows_, "k int, at timestamp_ntz, v int")
+    history.append(df)
+    moments = [dt.datetime(2024, 1, 3, 5), dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 12, 23, 59), dt.datetime(2023, 1, 1)]
+
+    def want(m):
+        newest = {}
+        for k, at, v in sorted((r for r in rows_ if r[1] <= m), key=lambda r: r[1]):
+            newest[k] = (k, at, v)
+        return sorted(newest.values(), key=repr)
+
+    without = [rows(history.as_of(m).select("k", "at", "v")) for m in moments]
+    for day in (4, 9, 12):
+        history.snapshot(dt.date(2024, 1, day))
+    assert history.snapshots() == [dt.date(2024, 1, d) for d in (4, 9, 12)]
+    assert without == [rows(history.as_of(m).select("k", "at", "v")) for m in moments] == [want(m) for m in moments]
+    plan = history.as_of(moments[1])._jdf.queryExecution().executedPlan().toString()
+    assert "landed" in plan and "2024-01-12" in plan and "2024-01-09" in plan and "PartitionFilters: [isnotnull(landed" in plan
+    later, snapshot = history._since(dt.date(2024, 1, 12), inclusive=False)
+    assert {str(r[0]) for r in later.select("landed").distinct().collect()} == {"2024-01-10", "2024-01-11", "2024-01-12"}
+    assert all("on=2024-01-09" in f for f in snapshot.inputFiles())
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark):
+    texts = ["The Licence", "licen", "no such word", None, "li", "LICENSE\nline", "ce lien", "éàü licences", "x" * 30_000 + " liCEn", "li cen"] + [f"entry {i}" for i in range(300)]
+    df = spark.createDataFrame([(i, t, "a" if i % 2 else None) for i, t in enumerate(texts)], "id int, text string, owner string")
+    path = scratch_path(spark, "postings")
+    write_postings(df, "id", ["text", "owner"], path, buckets=8)
+    for needle in ("licen", " LICEN ", "li", "", "éàü", "entry 29", "nothing at all", "e\nl"):
+        folded = needle.strip().lower()
+        want = [i for i, t in enumerate(texts) if not folded or folded in (t or "").lower() or (i % 2 and folded in "a")]
+        assert [r[0] for r in rows(indexed_search(df, path, needle, "id", ["text", "owner"], 8).select("id"))] == sorted(want, key=lambda i: repr((i,)))
+    found = candidates(spark, path, "licen", 8)
+    assert found.count() == 5  # entries read and verified, of 310
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drift_of_single_records(spark):
+    lines = ['{"a": 1, "b": "x"}', '{"a": null, "b": "x"}', '{"b": "x"}', '{"a": "q", "b": 2, "z": [1], "c": {}}', "{broken", "", '{"a": 1.5, "b": null}']
+    expected = {"a": "int", "b": "string"}
+    got = record_drift(spark.createDataFrame([(t,) for t in lines], "line string"), "line", expected).cache()
+    assert [(r["drift"], r["dropped"], r["unknown"], r["mistyped"]) for r in got.collect()] == [
+        ("ok", [], [], []), ("ok", [], [], []), ("drifted", ["a"], [], []), ("drifted", [], ["c", "z"], ["a"]),
+        ("unreadable", None, None, None), ("unreadable", None, None, None), ("drifted", [], [], ["a"])]
+    assert rows(accepted(got, "line", expected)) == sorted([(1, "x"), (None, "x")], key=repr)
