@@ -6,7 +6,8 @@ pointer at each step and moves the pointer on by a random bit of (step, word); t
 fall into step again, so edit distance turns into Hamming distance. A repetition samples three of the steps; the words
 written there are the key. Each item gives keys at several block starts; each position of a document starts a window. A
 window is walked only as far as its key so far is the beginning of some item's key, which gives the same
-candidates as walking all of it. How many repetitions reach the recall asked for is measured on edited copies of the items.
+candidates as walking all of it. How many repetitions reach the recall asked for is measured on fully edited copies of the items, for each
+length of walk on its own and there for its shortest items apart from the others; if none suffices, a warning gives the recall reached.
 
 A candidate puts the item-sized window in place; Sellers' dynamic programme then finds the exact word edit distance between
 the item and the best stretch there. A match has at most ``max_edits`` edits per item word.
@@ -18,6 +19,7 @@ other columns pass through untouched.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,9 @@ from civiclake.llm.words import ALNUM_GAPS, Words, mix, pieces, release_memory
 _MATCH = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("first_word", T.IntegerType()),
                                    T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType())]))
 _MATCH_PA = pa.list_(pa.struct([("item", pa.int32()), ("first_word", pa.int32()), ("edits", pa.int32()), ("item_words", pa.int32())]))
-#: Steps of a walk for items of at least so many words; the pointer moves on every other step on average.
-_WALKS = ((12, 24), (6, 12), (3, 6), (1, 2))
+#: Steps of a walk for items of at least so many words; the pointer moves on every other step on average, so each item has room for
+#: walks from several starts and edits near one of them leave others whole.
+_WALKS = ((18, 24), (9, 12), (4, 6), (1, 2))
 
 
 def item_words(column: pa.Array) -> Words:
@@ -76,80 +79,81 @@ def _starts(n: int, walk: int) -> list[int]:
 
 
 class Index:
-    """Keys of all items for ``repetitions`` repetitions per walk length."""
+    """Keys of all items; ``repetitions`` by walk, or one number for all."""
 
     def __init__(self, texts: list[str], max_edits: float = 0.2, repetitions: int | None = None, recall: float = 0.999, seed: int = 11):
         w = item_words(pa.array(texts, pa.string()))
         self.words = [w.hash[w.first[i]:w.first[i + 1]] for i in range(w.n_docs)]
         self.edits = [int(len(x) * max_edits) for x in self.words]
         self.seed = seed
-        self.repetitions = repetitions or self._needed(recall)
-        self.tables = self._build(self.repetitions)
+        self.reached: dict[int, float] = {}
+        self.repetitions, self.tables = {}, []
+        for k, (least, _) in enumerate(_WALKS):
+            most = _WALKS[k - 1][0] if k else 1 << 60
+            items = [i for i, x in enumerate(self.words) if least <= len(x) < most]
+            if items:
+                self.repetitions[k] = repetitions or self._needed(k, items, recall)
+                self.tables += [t for t in self._build(k, items, self.repetitions[k]) if t is not None]
 
-    def _build(self, repetitions: int):
+    def _build(self, k: int, items: list[int], repetitions: int) -> list:
+        """A table for each repetition of one walk; None where no walk stays inside its item."""
         h = np.concatenate([*self.words, np.zeros(1, np.uint64)])
         first = np.concatenate(([0], np.cumsum([len(x) for x in self.words])))
-        out = []
-        for k, (least, walk) in enumerate(_WALKS):
-            most = _WALKS[k - 1][0] if k else 1 << 60
-            items = [i for i, x in enumerate(self.words) if least <= len(x) < most]
-            if not items:
-                continue
-            place = [(i, o) for i in items for o in _starts(len(self.words[i]), walk)]
-            item, offset = np.array([p[0] for p in place]), np.array([p[1] for p in place])
-            end = first[item + 1]
-            for r in range(repetitions):
-                rep = _repetition(walk, self.seed + 1000 * k + r)
-                levels = []
-                for _, _, pointer, key in rep.follow(h, first[item] + offset):
-                    levels.append(key)
-                inside = pointer < end  # a walk that left its item says nothing about it
-                full, who, where = levels[-1][inside], item[inside], offset[inside]
-                order = np.argsort(full, kind="stable")
-                prune = []
-                for key in levels:
-                    keys = np.unique(key[inside])
-                    bits = np.zeros(1 << 16, np.bool_)
-                    bits[keys >> np.uint64(48)] = True
-                    prune.append((bits, keys))
-                if len(full):
-                    out.append((rep, prune, full[order], who[order], where[order]))
+        walk = _WALKS[k][1]
+        place = [(i, o) for i in items for o in _starts(len(self.words[i]), walk)]
+        item, offset = np.array([p[0] for p in place]), np.array([p[1] for p in place])
+        end = first[item + 1]
+        out: list = []
+        for r in range(repetitions):
+            rep = _repetition(walk, self.seed + 1000 * k + r)
+            levels = []
+            for _, _, pointer, key in rep.follow(h, first[item] + offset):
+                levels.append(key)
+            inside = pointer < end  # a walk that left its item says nothing about it
+            full, who, where = levels[-1][inside], item[inside], offset[inside]
+            order = np.argsort(full, kind="stable")
+            prune = []
+            for key in levels:
+                keys = np.unique(key[inside])
+                bits = np.zeros(1 << 16, np.bool_)
+                bits[keys >> np.uint64(48)] = True
+                prune.append((bits, keys))
+            out.append((rep, prune, full[order], who[order], where[order]) if len(full) else None)
         return out
 
-    def _needed(self, recall: float, copies: int = 2000, most: int = 24) -> int:
-        """The fewest repetitions that find ``recall`` of copies of items edited as much as a match may be, by trial."""
-        items = [i for i, x in enumerate(self.words) if len(x)]
-        if not items:
-            return 1
-        rng = np.random.default_rng(self.seed)
-        edited, truth = [], []
-        for _ in range(copies):
-            i = int(rng.choice(items))
-            x = list(self.words[i])
-            for _ in range(self.edits[i]):
-                at, kind = int(rng.integers(len(x) + 1)), rng.integers(3)
-                fresh = mix(rng.integers(0, 1 << 63, 1, dtype=np.uint64))[0]
-                if kind == 0 or not x:
-                    x.insert(at, fresh)
-                elif kind == 1:
-                    x[min(at, len(x) - 1)] = fresh
-                else:
-                    x.pop(min(at, len(x) - 1))
-            edited.append(np.array([*mix(rng.integers(0, 1 << 63, 3, dtype=np.uint64)), *x, *mix(rng.integers(0, 1 << 63, 30, dtype=np.uint64))], np.uint64))
-            truth.append(i)
+    def _edited(self, i: int, rng: np.random.Generator) -> np.ndarray:
+        """A copy of an item with as many edits as a match may have, between other words."""
+        x = list(self.words[i])
+        for _ in range(self.edits[i]):
+            at, kind = int(rng.integers(len(x) + 1)), rng.integers(3)
+            fresh = mix(rng.integers(0, 1 << 63, 1, dtype=np.uint64))[0]
+            if kind == 0 or not x:
+                x.insert(at, fresh)
+            elif kind == 1:
+                x[min(at, len(x) - 1)] = fresh
+            else:
+                x.pop(min(at, len(x) - 1))
+        return np.array([*mix(rng.integers(0, 1 << 63, 3, dtype=np.uint64)), *x, *mix(rng.integers(0, 1 << 63, 30, dtype=np.uint64))], np.uint64)
+
+    def _needed(self, k: int, items: list[int], recall: float, copies: int = 1000, most: int = 40) -> int:
+        """The fewest repetitions of a walk that find ``recall`` of fully edited copies, of its shortest items and of the others."""
+        rng = np.random.default_rng(self.seed + k)
+        short = [i for i in items if len(self.words[i]) < 1.5 * _WALKS[k][0]]
+        groups = [g for g in (short, sorted(set(items) - set(short))) if g]
+        truth = [int(rng.choice(g)) for g in groups for _ in range(copies)]
+        edited = [self._edited(i, rng) for i in truth]
         h, first = np.concatenate(edited), np.concatenate(([0], np.cumsum([len(x) for x in edited])))
-        owner = np.repeat(np.arange(copies), np.diff(first))
-        tables = self._build(most)
-        per = {}
-        for number, table in enumerate(tables):
-            rep = number % most
-            position, item, _ = self._lookup(table, h)
-            per.setdefault(rep, set()).update(owner[p] for p, i in zip(position, item) if truth[owner[p]] == i)
-        found: set[int] = set()
-        for n in range(most):
-            found |= per.get(n, set())
-            if len(found) >= recall * copies:
-                return n + 1
+        owner = np.repeat(np.arange(len(truth)), np.diff(first))
+        wanted = np.array(truth)
+        found = np.zeros(len(truth), np.bool_)
+        for n, table in enumerate(self._build(k, items, most), 1):
+            if table is not None:
+                position, item, _ = self._lookup(table, h)
+                found[owner[position[wanted[owner[position]] == item]]] = True
+            self.reached[k] = float(found.reshape(len(groups), copies).mean(1).min())
+            if self.reached[k] >= recall:
+                return n
+        warnings.warn(f"decontamination: {most} repetitions find {self.reached[k]:.4f} of edited copies of items of {_WALKS[k][0]} words and more, {recall} were asked for", stacklevel=3)
         return most
 
     @staticmethod

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -70,3 +71,15 @@ def test_an_item_at_the_very_end_and_start():
     for text in (prose(1, 30), prose(7, 40) + " " + prose(1, 30), prose(1, 30) + " " + prose(8, 40)):
         w = D.item_words(pa.array(["other words", text, None]))
         assert [m[:2] + m[3:] for m in index.verify(w, index.candidates(w.hash))] == [(1, 0, 0, 30)]
+
+
+@pytest.mark.parametrize("short", [5, 6, 7, 9, 10, 12, 13, 18, 20])
+def test_fully_edited_short_items_among_long_ones(short):
+    """Few short items beside many long ones: their copies must not be lost in the average."""
+    index = D.Index([prose(10_000 + i, short) for i in range(5)] + [prose(i, 60) for i in range(100)])
+    rng = np.random.default_rng(short)
+    hit = 0
+    for n in range(400):
+        copy = index._edited(n % 5, rng)
+        hit += n % 5 in index.candidates(copy)[:, 0]
+    assert hit >= 0.99 * 400 and min(index.reached.values()) >= 0.999
