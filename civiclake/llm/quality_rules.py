@@ -6,8 +6,7 @@ from its end on the other part, kept if it is precise enough there, and the rows
 rule is grown. ``DecisionList.verdict`` gives the ordered rules as ``CASE WHEN ... THEN rule ... END``.
 
 Defined results: a null text has no words and all counts 0. Rows are judged one by one, so ties and repeated rows keep
-their own verdicts; further columns pass through, and a column of the input named like a statistic is not touched because
-statistics live in one struct column. With no labels, or labels of one kind only, the list is empty and rejects nothing.
+their own verdicts; the whole row passes through as one struct, so no column of the input meets a name used here. With no labels, or labels of one kind only, the list is empty and rejects nothing.
 """
 
 from __future__ import annotations
@@ -246,7 +245,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     """Feature rows and the low-quality flag (label 0) of labelled documents that pass the base rules.
 
     ``max_labelled`` bounds the rows a classifier is fitted on: of more labels, those with the smallest hashes of their
-    ids are taken. The bound also bounds what is broadcast and what reaches the driver.
+    ids are taken. It bounds what is broadcast and, once more after the join, what reaches the driver: an id may stand on many documents.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(id_col, F.col(label).alias("_label"))
     n = known.count()
@@ -254,7 +253,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
         share = int(max_labelled / n * 1_000_000)
         known = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share)
     known = known.orderBy(F.xxhash64(id_col), id_col, "_label").limit(max_labelled)
-    rows = with_statistics(docs.select(id_col, text).join(F.broadcast(known), id_col), text)
+    joined = docs.select(id_col, text).join(F.broadcast(known), id_col)
+    m = joined.count()
+    if m > max_labelled:
+        share = int(max_labelled / m * 1_000_000)
+        joined = joined.where(F.pmod(F.xxhash64(id_col, text, "_label"), F.lit(1_000_000)) < share).limit(max_labelled)
+    rows = with_statistics(joined, text)
     rows = rows.where(~base_failed()).select(F.col("_label").alias("label"), *[feature(f).alias(f) for f in FEATURES])
     got = rows.toPandas()
     # The same rows in another order must give the same list.
@@ -263,9 +267,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DecisionList]:
-    """``docs`` with ``_stats``, ``_base_failed``, ``_rule`` (the learned rule that rejects, or null) and ``_kept``; and the list."""
+    """``_row`` (the document), ``_stats``, ``_base_failed``, ``_rule`` (the learned rule that rejects, or null) and ``_kept``; and the list."""
     x, bad = labelled_features(docs, labels, id_col=id_col, text=text, **options)
     rules = learn_decision_list(x, bad, list(FEATURES))
-    failed = base_failed()
-    out = with_statistics(docs, text).withColumn("_base_failed", failed).withColumn("_rule", rules.fired())
-    return out.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull()), rules
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs[text].alias("_text"))
+    out = with_statistics(rows, "_text").withColumn("_base_failed", base_failed()).withColumn("_rule", rules.fired())
+    return out.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull()).drop("_text"), rules

@@ -19,7 +19,7 @@ __all__ = ["ORACLES", "QUERIES"]
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"),
+    return judged.select("_row.doc_id", *[F.col(f"_stats.{c}").alias(c) for c in counts], F.col("_base_failed").alias("base_failed"),
                          F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
 
 

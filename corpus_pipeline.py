@@ -9,7 +9,6 @@ An empty input stays empty through all stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from civiclake.llm import decontaminate, jaccard_join, mixing, packing, quality_rules
 from civiclake.llm.queries import VOCABULARY
@@ -19,8 +18,7 @@ from civiclake.session import materialise
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("text"))
-    judged, _ = quality_rules.judge(row, table(spark, sf_dir, "labels"))
+    judged, _ = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return judged.where("_kept").select("_row.*")
 
 

@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from civiclake.llm import quality_rules as Q
 
@@ -49,12 +50,13 @@ def test_nothing_to_learn():
 
 def test_judges_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(10)] + [(None, 0, 0), (101, None, 1)], "doc_id long, quality int, toxic int")
-    judged, rules = Q.judge(odd.drop("_stats"), labels)
+    judged, rules = Q.judge(odd.withColumn("_rule", F.lit(1)).withColumn("_kept", F.lit("k")), labels)
     assert not rules.rules and judged.count() == odd.count()
-    kept = {r["doc_id"] for r in judged.where("_kept").collect()}
+    kept = {r["_row"]["doc_id"] for r in judged.where("_kept").collect()}
+    assert judged.select("_row.*").columns == [*odd.columns, "_rule", "_kept"]
     assert {1, 2, 3, 4, 8, 100} <= kept and not {5, 6, 7, 10, 11} & kept
     assert Q.judge(none, labels)[0].count() == 0
-    assert Q.judge(odd.drop("_stats"), labels.limit(0))[0].count() == odd.count()
+    assert Q.judge(odd.withColumn("_rule", F.lit(1)).withColumn("_kept", F.lit("k")), labels.limit(0))[0].count() == odd.count()
 
 
 def test_learned_rules_reject_and_a_bound_holds(spark):
@@ -63,4 +65,12 @@ def test_learned_rules_reject_and_a_bound_holds(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
     judged, rules = Q.judge(docs, labels, max_labelled=150)
     assert rules.rules
-    assert {r["doc_id"] % 2 for r in judged.where("_rule is not null").collect()} == {1}
+    assert {r["_row"]["doc_id"] % 2 for r in judged.where("_rule is not null").collect()} == {1}
+
+
+def test_one_labelled_id_on_many_documents(spark):
+    rows = [(1, f"word{i} " * 60) for i in range(500)] + [(i, f"other{i} " * 60) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    x, bad = Q.labelled_features(docs, labels, max_labelled=100)
+    assert len(x) == len(bad) <= 100
