@@ -1,11 +1,13 @@
 """URL filters: rules by host and path, and for all other pages a verdict per host from trust and distrust on the host graph.
 
-Hosts are linked by the absolute addresses in their pages' markup and, more weakly, with their parent domains. Trust is
-personalised PageRank from the hosts of allowed pages along the links; distrust is the same from the hosts of blocked pages
-against them, since who links to bad hosts is suspect. Seeds weigh as their share of pages. A host is blocked where distrust makes up
-more than ``threshold`` of the two; a host that neither reaches is allowed.
-
-Both walks are one table of ranks and one of edges, so an iteration is one join and one aggregation; links are counted per
+Hosts are linked by the absolute addresses in their pages' markup (relative ones stay on their host) and, more weakly, with their parent
+domains, the less the more children a parent has. Trust is personalised PageRank from the hosts of allowed pages along the links; distrust is
+the same from the hosts of blocked pages against them, since who links to bad hosts is suspect. Seeds weigh as their share of
+pages. A third walk, against the links from all hosts alike, says how much of any walk a host gets by its place alone: a portal that
+links to everything has some distrust and much of that. A host is blocked where distrust is more than ``mass`` times this
+share and makes up more than ``threshold`` of trust and distrust; a host that neither reaches is allowed.
+
+All walks are one table of ranks and one of edges, so an iteration is one join and one aggregation; links are counted per
 pair of hosts before anything is joined, so a host with very many pages is one row. Ranks are written every few iterations.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null markup has no links; of
@@ -14,6 +16,7 @@ equally long rules the first fits; repeated rows are judged each; without rules
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -70,25 +73,28 @@ def link_edges(pages: DataFrame, host: str, markup: str) -> DataFrame:
 
 
 def family_edges(hosts: DataFrame, weight: float) -> DataFrame:
-    """Edges both ways between each host and its parent domains of two labels or more."""
+    """Edges both ways between each host and its parent domains of two labels or more, the weight shared by a parent's children."""
     up = hosts.select(F.col("host").alias("child"), F.split("host", r"\.").alias("labels")).where(F.size("labels") > 2)
     chain = up.select(F.explode(F.expr(
         "transform(sequence(1, size(labels) - 2), i -> struct(array_join(slice(labels, i, size(labels)), '.') as a, "
         "array_join(slice(labels, i + 1, size(labels)), '.') as b))")).alias("e")).select("e.a", "e.b").distinct()
-    w = F.lit(weight)
+    children = chain.groupBy("b").agg(F.count(F.lit(1)).alias("children"))
+    chain = chain.join(children, "b")
+    w = F.lit(weight) / F.col("children")
     return chain.select(F.col("a").alias("src"), F.col("b").alias("dst"), w.alias("weight")).unionByName(
         chain.select(F.col("b").alias("src"), F.col("a").alias("dst"), w.alias("weight")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 40, tolerance: float = 1e-3,
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 64, tolerance: float = 1e-3,
               every: int = 8) -> DataFrame:
     """``kind, host, rank`` of personalised PageRank over ``kind, src, dst, weight`` from ``kind, host, seed`` (summing to 1 a kind).
 
     What reaches hosts without outgoing edges would return to the seeds, which only scales all ranks: so ranks are summed up
-    without it and scaled to 1 a kind at the end.
+    without it and scaled to 1 a kind at the end. Edges of a host that weigh under 1 together carry that part of its rank, the rest returns
+    too. A walk not settled after ``iterations`` gives a warning.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
-    steps = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all") * damping).alias("share"))
+    steps = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.greatest("all", F.lit(1.0)) * damping).alias("share"))
     steps, seeds = materialise(steps, "steps"), materialise(seeds, "seeds")
     ranks = seeds.withColumnRenamed("seed", "rank")
     for done in range(every, iterations + every, every):
@@ -102,27 +108,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iter
         ranks = new
         if change - before <= tolerance * change:  # ranks only grow, so their sum tells how far they are from settled
             break
+    else:
+        warnings.warn(f"host ranks still grow by {(change - before) / max(change, 1e-300):.2g} of themselves after {iterations} steps", stacklevel=2)
     total = ranks.groupBy("kind").agg(F.sum("rank").alias("all"))
     return ranks.join(total, "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
-def host_verdicts(judged: DataFrame, edges: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
-    """``host, trust, distrust, verdict`` from pages with ``host`` and ``ruled`` (allow, block or null) and link edges."""
+def host_verdicts(judged: DataFrame, edges: DataFrame, *, threshold: float = 0.5, mass: float = 1.0, **options) -> DataFrame:
+    """``host, trust, distrust, expected, verdict`` from pages with ``host`` and ``ruled`` (allow, block or null) and link edges."""
     counts = judged.where("host <> '' and ruled is not null").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
+    everyone = judged.where("host <> ''").select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(
+        edges.select(F.col("dst").alias("host"))).distinct().select(F.lit("any").alias("kind"), "host", F.lit(1).cast("long").alias("n"))
+    counts = counts.unionByName(everyone)
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = counts.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("seed"))
-    both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").unionByName(
-        edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    ranks = propagate(both, seeds, **options)
-    per_host = ranks.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "allow", F.col("rank")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "block", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    against = edges.select(F.explode(F.array(F.lit("block"), F.lit("any"))).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    walks = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").unionByName(against)
+    ranks = propagate(walks, seeds, **options)
+
+    def of(kind: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+
+    per_host = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"), of("any").alias("expected"))
+    bad = (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") > mass * F.col("expected"))
     return per_host.withColumn("verdict", F.when(bad, "block").otherwise("allow"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url: str = "url", markup: str = "html",
-                family_weight: float = 0.5, threshold: float = 0.5, **options) -> DataFrame:
+                family_weight: float = 0.5, threshold: float = 0.5, mass: float = 1.0, **options) -> DataFrame:
     """``_id, _host, _path, _rule, _verdict, _trust, _distrust`` for each page."""
     parts = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(markup).alias("markup"))
     judged = parts.select("*", first_rule(F.col("host"), F.col("path"), rules, lambda r: r.text).alias("rule"),
@@ -130,7 +143,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_
     links = materialise(link_edges(parts, "host", "markup"), "links")
     hosts = judged.where("host <> ''").select("host").distinct().unionByName(links.select(F.col("dst").alias("host"))).distinct()
     edges = links.unionByName(family_edges(hosts, family_weight)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    verdicts = materialise(host_verdicts(judged, edges, threshold=threshold, **options), "verdicts")
+    verdicts = materialise(host_verdicts(judged, edges, threshold=threshold, mass=mass, **options), "verdicts")
     named = verdicts.select(F.col("host").alias("_of"), "trust", "distrust", "verdict")
     out = judged.select("_id", "host", "path", "rule", "ruled").join(named, F.col("host") == F.col("_of"), "left")
     return out.select("_id", F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("rule").alias("_rule"),

@@ -35,6 +35,22 @@ def test_trust_follows_links_and_distrust_goes_against_them(spark):
     assert rows[2]["_trust"] > rows[3]["_trust"] > 0 and rows[4]["_distrust"] > rows[6]["_distrust"] > 0 and rows[7]["_trust"] == 0
 
 
+def test_distrust_counts_beyond_what_a_host_gets_by_its_place(spark):
+    """A farm and a portal link to the same bad host alike; the portal links to everything else as well."""
+    link = '<a href="http://{}/x">l</a>'.format
+    others = [f"h{i}.org" for i in range(30)]
+    pages = [(0, "http://bad.net/es/", ""), (1, "http://farm.org/", link("bad.net")), (2, "http://portal.org/", "".join(map(link, ["bad.net", *others])))]
+    pages += [(10 + i, f"http://{h}/", link("portal.org")) for i, h in enumerate(others)]
+    rows = {r["_id"]: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert rows[1]["_distrust"] > 0 and rows[2]["_distrust"] > 0
+    assert (rows[0]["_verdict"], rows[1]["_verdict"], rows[2]["_verdict"], rows[10]["_verdict"]) == ("block", "block", "allow", "allow")
+
+
+def test_hosts_of_one_parent_differ(spark):
+    rows = U.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), URL_RULES).where("_rule is null and _host like '%example.net'").collect()
+    assert {r["_verdict"] for r in rows} == {"allow", "block"}
+
+
 def test_ranks_equal_power_iteration(spark):
     edges = [("t", "a", "b", 2.0), ("t", "b", "c", 1.0), ("t", "c", "a", 1.0), ("t", "a", "d", 1.0), ("t", "d", "a", 3.0), ("t", "c", "z", 1.0)]
     seeds = {"a": 0.75, "d": 0.25}
