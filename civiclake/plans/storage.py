@@ -34,6 +34,18 @@ def io_csv_typed(spark, sf_dir):
     return files.read_csv(spark, path, ["annual_charge", "balance_outstanding"])
 
 
+@query("io_csv_sniffed", """
+    select account_ref, nullif(title, '') as title, cast(c_custkey as double) as customer_number, cast(1000 + 10 * (c_custkey % 100) as double) as charge_in_pounds,
+           case when c_custkey % 3 = 0 then cast(-c_custkey as string) else cast(c_custkey as string) end as movement from accounts""")
+def io_csv_sniffed(spark, sf_dir):
+    """Accounts as CSV whose numeric columns are found by reading their cells: one with negative cells stays text, as unsigned numbers only count."""
+    path, n = scratch_path(spark, "csv"), F.col("c_custkey")
+    table(spark, sf_dir, "accounts").select(
+        F.col("account_ref").alias(" Account Ref"), "title", n.alias("Customer Number"), (1000 + 10 * (n % 100)).alias("Charge  in Pounds"),
+        F.when(n % 3 == 0, -n).otherwise(n).alias("Movement")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return files.read_csv(spark, path, None)
+
+
 @query("io_json_geo", """
     select account_ref, ward_code, 'Point' as geometry_type, cast(c_custkey % 180 as double) as lon,
            cast(c_custkey % 90 as double) as lat from accounts""")
