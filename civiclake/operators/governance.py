@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ArrayType, FractionalType, MapType, NumericType, StructType
 
 from civiclake.functions.text import contains_folded, pseudonym
 
@@ -105,7 +105,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "none") -> DataFrame:
-    """Type, rows, NULL count, least and greatest value per column, from one pass.
+    """Type, rows, NULL count, least and greatest value per column (none of nested ones), from one pass.
 
     ``distinct`` adds ``approx`` (sketch, still one pass) or ``exact`` value counts.
     """
@@ -113,8 +113,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(fields):
-        aggs += [F.count(f.name).alias(f"n{i}"), F.min(f.name).cast("string").alias(f"a{i}"),
-                 F.max(f.name).cast("string").alias(f"b{i}")]
+        nested = isinstance(f.dataType, (ArrayType, MapType, StructType))
+        value = F.col(f.name) + F.lit(0).cast(f.dataType) if isinstance(f.dataType, FractionalType) else F.col(f.name)  # a negative zero is zero
+        bounds = [F.lit(None).cast("string")] * 2 if nested else [F.min(value).cast("string"), F.max(value).cast("string")]
+        aggs += [F.count(f.name).alias(f"n{i}"), bounds[0].alias(f"a{i}"), bounds[1].alias(f"b{i}")]
         cells = [
             F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
             F.col("_rows").alias("n_rows"), (F.col("_rows") - F.col(f"n{i}")).alias("n_null"),

@@ -106,38 +106,40 @@ def gov_rls(spark, sf_dir):
                                   ["account_ref", "ward_code", "band"])
 
 
-#: Every column of the supplied tables; money and rates are profiled as decimals, so that their text is exact.
+#: Every column of the supplied tables with the type it has.
 PROFILED = {
     "region": "r_regionkey:int r_name:string", "nation": "n_nationkey:int n_name:string n_regionkey:int",
-    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:decimal(18,2) c_mktsegment:string",
-    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:decimal(18,2)",
-    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:decimal(18,2)",
-    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:decimal(18,2) o_orderdate:date o_orderpriority:string",
-    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:decimal(18,2) l_extendedprice:decimal(18,2) "
-                "l_discount:decimal(18,2) l_tax:decimal(18,2) l_returnflag:string l_linestatus:string l_shipdate:date",
-    "events": "event_id:bigint ts:date user_id:bigint event_type:string value:decimal(18,2) props:string",
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:double",
+    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:double",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:double l_extendedprice:double "
+                "l_discount:double l_tax:double l_returnflag:string l_linestatus:string l_shipdate:timestamp_ntz",
+    "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
     "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint", "labels": "doc_id:bigint quality:int toxic:int",
     "conversations": "conv_id:bigint turn:bigint role:string text:string", "benchmark": "item_id:bigint text:string",
-    "pages": "page_id:bigint url:string html:string",
+    "pages": "page_id:bigint url:string html:string", "embeddings": "vec_id:bigint embedding:array<float> label:int",
 }
 PROFILED = {name: [tuple(c.split(":")) for c in columns.split()] for name, columns in PROFILED.items()}
 
 
+def _bound_sql(bound: str, column: str, kind: str) -> str:
+    if kind.startswith("array"):
+        return "cast(null as string)"
+    return f"cast({bound}({column}) + 0::double as string)" if kind == "double" else f"cast({bound}({column}) as string)"
+
+
 @query("gov_profile", " union all ".join(
     f"""select '{name}' as dataset, '{c}' as column_name, '{t}' as data_type, count(*) as n_rows, count(*) - count({c}) as n_null,
-        cast(min(cast({c} as {t})) as string) as least, cast(max(cast({c} as {t})) as string) as greatest from {name}"""
+        {_bound_sql("min", c, t)} as least, {_bound_sql("max", c, t)} as greatest from {name}"""
     for name, columns in PROFILED.items() for c, t in columns))
 def gov_profile(spark, sf_dir):
-    """Every column of every table, one pass a table."""
-    parts = []
-    for name, columns in PROFILED.items():
-        typed = read(spark, sf_dir, name).select(*[F.col(c).cast(t).alias(c) for c, t in columns])
-        parts.append(governance.profile(typed).withColumn("dataset", F.lit(name)))
+    """Every column of every table in its own type, one pass a table."""
+    parts = [governance.profile(read(spark, sf_dir, name), [c for c, _ in columns]).withColumn("dataset", F.lit(name)) for name, columns in PROFILED.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-#: All columns in the types they have; vectors by their text.
-COLUMNS = {name: [c for c, _ in columns] for name, columns in PROFILED.items()} | {"embeddings": ["vec_id", "embedding", "label"]}
+COLUMNS = {name: [c for c, _ in columns] for name, columns in PROFILED.items()}
 
 
 def _in_sql(column: str) -> str:
