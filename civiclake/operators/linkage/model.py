@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from civiclake.operators.linkage.compare import COPIES, Comparison, Linkage
-from civiclake.operators.linkage.pairs import pattern_counts, value_lengths
+from civiclake.operators.linkage.pairs import LONG, pattern_counts, value_lengths
 from civiclake.operators.linkage.values import EXACT, date_distances, edit_distances
 from civiclake.operators.skew import pairs_within
 from civiclake.session import materialise
@@ -140,8 +140,12 @@ def _near_levels(values: DataFrame, c: Comparison) -> DataFrame | None:
     if c.kind == "levenshtein" and c.thresholds[-1] <= 2:
         step = F.coalesce(*[F.when(F.col("distance") <= int(t), F.lit(i)) for i, t in enumerate(c.thresholds)])
         return edit_distances(values, c.column, int(c.thresholds[-1])).select((c.top - 1 - step).alias("level"), "pairs")
-    marked = values.withColumn("_token", F.explode(c.tokens(value_lengths(values, [c]), 1)))
-    pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()
+    lengths = value_lengths(values, [c])
+    if c.kind == "jaro_winkler" and max(lengths, default=0) > LONG:  # no token tells long texts apart: each pair of values once, in cells
+        pairs = pairs_within(values.withColumn("_token", F.lit(0)), ["_token"], c.column, ["n"], drop=["_token"])
+    else:
+        marked = values.withColumn("_token", F.explode(c.tokens(lengths, 1)))
+        pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()
     level = c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
     return pairs.withColumn("level", level).where(F.col("level").between(1, c.top - 1)).groupBy("level").agg(
         F.sum((F.col("n_l") * F.col("n_r")).cast(EXACT)).cast(EXACT).alias("pairs"))
