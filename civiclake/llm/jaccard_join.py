@@ -220,6 +220,12 @@ def _peel_group(coordinates: int, least: int, near: int):
     return run
 
 
+def with_sketches(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``rows`` with the sketches of their keys: a key meets its sketch once, in however many buckets it is."""
+    at = F.collect_list(F.struct(*[c for c in rows.columns if c != "key"])).alias("_at")
+    return rows.groupBy("key").agg(at).join(sketches, "key").select("key", "sketch", F.inline("_at"))
+
+
 def peel(level: DataFrame, large: DataFrame, sketches: DataFrame, coordinates: int, least: int, pivots: int = 16, chunk: int = 4096) -> DataFrame:
     """Compares all rows of large buckets with some ``pivots`` of the same bucket: edges ``a, b``, and with a null ``b`` the rows that stay.
 
@@ -227,7 +233,7 @@ def peel(level: DataFrame, large: DataFrame, sketches: DataFrame, coordinates: i
     is similar to it looks similar to that pivot as well, and is linked to it here. A bucket is dealt to tasks in chunks, its pivots
     to all of them, so the work grows with its size and not with the square.
     """
-    rows = level.join(large.select("bucket", "size"), "bucket").join(sketches, "key")
+    rows = with_sketches(level.join(large.select("bucket", "size"), "bucket"), sketches)
     rows = rows.withColumn("salts", F.ceil(F.col("size") / chunk).cast("int"))
     leads = rows.where(F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / pivots)) == 0)
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).withColumn("pivot", F.lit(False)).unionByName(
@@ -258,16 +264,20 @@ def _leaf_edges(coordinates: int, least: int):
     return run
 
 
-def in_cells(rows: DataFrame, group: str, per_cell: int, weight: str | None = None, weight_per_cell: int = 1) -> DataFrame:
+def in_cells(rows: DataFrame, group: str, per_cell: int, weight: str | None = None, weight_per_cell: int = 1,
+             values: DataFrame | None = None) -> DataFrame:
     """Rows of each group dealt to cells ``(group, _i, _j)``, i <= j, of at most about two chunks; every two rows meet in one cell.
 
-    A group is cut into chunks of ``per_cell`` rows (or ``weight_per_cell`` of weight) by a hash of ``key``.
+    A group is cut into chunks of ``per_cell`` rows (or ``weight_per_cell`` of weight) by a hash of ``key``. ``values`` are joined on
+    ``key`` before a row is repeated for its cells.
     """
     size = F.ceil(F.count(F.lit(1)) / per_cell)
     if weight:
         size = F.greatest(size, F.ceil(F.sum(weight) / weight_per_cell))
     sizes = rows.groupBy(group).agg(size.cast("int").alias("_parts"))
     own = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
+    if values is not None:
+        own = own.join(values, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     return own.withColumn("_other", other).withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
 
@@ -296,10 +306,10 @@ def candidate_edges(records: DataFrame, *, coordinates: int, threshold: float, r
         if step == depth - 1:
             leaves.append(rest.select("bucket", "key"))
         else:
-            level = rest.join(sketches, "key").select("key", F.explode(choose("bucket", "sketch")).alias("bucket"))
+            level = with_sketches(rest, sketches).select("key", F.explode(choose("bucket", "sketch")).alias("bucket"))
     leaves = reduce(DataFrame.unionByName, leaves)
     cells = in_cells(leaves, "bucket", leaf)
-    placed = cells.select("key", F.xxhash64("bucket", "_i", "_j").alias("bucket")).join(sketches, "key")
+    placed = with_sketches(cells.select("key", F.xxhash64("bucket", "_i", "_j").alias("bucket")), sketches)
     dealt = placed.repartition("bucket").sortWithinPartitions("bucket", "key")
     edges = dealt.mapInArrow(_leaf_edges(coordinates, least), _EDGE)
     return reduce(DataFrame.unionByName, [edges, *peeled]).distinct()
@@ -400,7 +410,7 @@ def _jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "te
     lookup = wanted.select("first", "text_hash", F.col("key").alias("_wanted"))
     found = source.join(_bounded(lookup, broadcast_rows), F.col("_id").eqNullSafe(F.col("first")) & (F.xxhash64("_text") == F.col("text_hash")))
     sets = found.select("_wanted", "_text").mapInArrow(_wanted_sets(size), "key binary, shingles binary").dropDuplicates(["key"])
-    cells = in_cells(wanted.select("key", "component", "copies", "n"), "component", leaf // 2, "n", 500_000).join(sets, "key")
+    cells = in_cells(wanted.select("key", "component", "copies", "n"), "component", leaf // 2, "n", 500_000, sets)
     dealt = cells.select("component", "_i", "_j", "_own", "_parts", "key", "copies", "shingles") \
         .repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "key")
     linked = materialise(dealt.mapInArrow(_exact_links(size, threshold), _LINKS), "links")

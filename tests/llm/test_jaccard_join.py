@@ -78,3 +78,27 @@ def test_clashing_names_and_one_id_on_many_rows(spark):
     kept = J.one_of_each_class(docs)
     assert kept.columns == docs.columns
     assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows})
+
+
+def test_a_key_meets_its_sketch_once(spark):
+    at = spark.createDataFrame([(b"a", i) for i in range(50)] + [(b"b", 1), (b"gone", 2)], "key binary, bucket long")
+    sketches = spark.createDataFrame([(b"a", b"1"), (b"b", b"2"), (b"c", b"3")], "key binary, sketch binary")
+    found = J.with_sketches(at, sketches)
+    got = sorted((bytes(r["key"]), bytes(r["sketch"]), r["bucket"]) for r in found.collect())
+    assert got == [(b"a", b"1", i) for i in range(50)] + [(b"b", b"2", 1)]
+    # The rows are repeated above the join, which sees one row a key.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
+
+
+def test_values_join_before_rows_are_repeated_for_their_cells(spark):
+    rows = spark.createDataFrame([(1, f"{i}".encode()) for i in range(40)] + [(2, b"x")], "component int, key binary")
+    values = rows.select("key", rows["key"].alias("shingles"))
+    cells = J.in_cells(rows, "component", 10, values=values)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    got = cells.collect()
+    assert all(r["shingles"] == r["key"] for r in got)
+    met = {(a["key"], b["key"]) for a in got for b in got if (a["component"], a["_i"], a["_j"]) == (b["component"], b["_i"], b["_j"])}
+    ones = [f"{i}".encode() for i in range(40)]
+    assert {(bytes(a), bytes(b)) for a, b in met} == {(a, b) for a in ones for b in ones} | {(b"x", b"x")}
