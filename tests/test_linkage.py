@@ -263,6 +263,15 @@ def test_edit_distances_are_counted_as_by_all_pairs(spark):
     assert {r["pairs"] for r in edit_distances(df.limit(0), "word", 2).collect()} == {0}
 
 
+def test_edits_are_looked_up_without_broadcasting_what_is_repeated_for_its_keys(spark):
+    from civiclake.operators.linkage import values
+
+    rows = spark.range(20).select(F.concat(F.lit("NE1 "), F.col("id").cast("string")).alias("v"), F.lit(1).alias("n"))
+    for step in (values._shifted, values._shortened_and_changed):
+        plan = step(rows)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_dates_are_counted_as_by_all_pairs(spark):
     rng = random.Random(4)
     n = {rng.randrange(-3000, 3000): rng.randrange(1, 5) for _ in range(300)}
