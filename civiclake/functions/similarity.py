@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +141,76 @@ def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
 
+#: Characters are counted in so many classes. Two texts have at most as many characters in common as their counts do.
+CLASSES = 32
+
+
+def _least_common(threshold: float) -> list[float]:
+    """For 0 to 4 equal first characters: the least m / p + m / q of m common ones of p and q with which ``threshold`` can be reached."""
+    credit = [PREFIX_WEIGHT * k for k in range(PREFIX_LENGTH + 1)]
+    return [3 * (max(BOOST_ABOVE, (threshold - c) / (1 - c)) if c and threshold > BOOST_ABOVE else threshold) - 1 for c in credit]
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, characters by class and first characters of each text."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    lengths = np.array([len(c) for c in codes], np.int64)
+    counts = np.array([np.bincount(c % CLASSES, minlength=CLASSES) for c in codes], np.int64).reshape(-1, CLASSES)
+    heads = np.array([[*c[:PREFIX_LENGTH], *[-1] * (PREFIX_LENGTH - len(c))] for c in codes], np.int64).reshape(-1, PREFIX_LENGTH)
+    return lengths, counts.astype(np.uint8 if lengths.max(initial=0) < 256 else np.uint32), heads
+
+
+def similar_among(left: list[str], right: list[str] | None, threshold: float, strip: int = 256) -> list[tuple[int, int]]:
+    """Places ``(i, j)`` of the pairs whose Jaro-Winkler similarity reaches ``threshold``; without ``right``, pairs i < j of ``left``.
+
+    Only pairs with enough characters in common, counted for a strip of ``left`` against all of ``right`` at once, are compared.
+    """
+    needs = _least_common(threshold)
+    la, a, head_a = _counted(left)
+    lb, b, head_b = (la, a, head_a) if right is None else _counted(right)
+    other = left if right is None else right
+    shares = [np.divide(1, n, out=np.zeros(len(n)), where=n > 0).astype(np.float32) for n in (la, lb)]
+    used = np.flatnonzero(a.any(0) & b.any(0))
+    wide = np.promote_types(a.dtype, b.dtype)
+    columns = [np.ascontiguousarray(b[:, k]) for k in used]
+    found = []
+    for at in range(0, len(left), strip):
+        some = slice(at, at + strip)
+        common = np.zeros((len(la[some]), len(other)), wide)
+        for k, column in zip(used, columns):
+            common += np.minimum(a[some, k, None], column)
+        most = common * (shares[0][some, None] + shares[1]) + np.float32(1e-4)
+        i, j = np.nonzero((most >= needs[0]) | ((most >= needs[-1]) & (head_a[some, :1] == head_b[:, 0])))
+        equal = np.cumprod((head_a[some][i] == head_b[j]) & (head_b[j] >= 0), axis=1).sum(1)
+        hopeful = most[i, j] >= np.array(needs)[equal]
+        i, j = i[hopeful] + at, j[hopeful]
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 2048):
+            x, y = i[k:k + 2048].tolist(), j[k:k + 2048].tolist()
+            near = jaro_winkler_many([left[n] for n in x], [other[n] for n in y]) >= threshold
+            found += [(x[n], y[n]) for n in np.flatnonzero(near)]
+    return found
+
+
+def similar_in_cells(cells: DataFrame, keys: list[str], column: str, threshold: float) -> DataFrame:
+    """``keys, <column>_l, <column>_r``: similar pairs between the texts of ``_part`` = ``_i`` and those of ``_part`` = ``_j``, each cell of
+    (keys, ``_i``, ``_j``) on its own; pairs within the part where the two are one."""
+    types = {f.name: f.dataType for f in cells.schema.fields}
+    names = [*keys, f"{column}_l", f"{column}_r"]
+    schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+
+    def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        left = cell.loc[cell["_part"] == i, column].tolist()
+        right = None if i == j else cell.loc[cell["_part"] == j, column].tolist()
+        other = left if right is None else right
+        pairs = [(left[x], other[y]) for x, y in similar_among(left, right, threshold)]
+        return pd.DataFrame([(*key[:-2], *p) for p in pairs], columns=names)
+
+    return cells.groupBy(*keys, "_i", "_j").applyInPandas(compare, schema)
+
+
 def jaro_winkler(left: str | Column, right: str | Column) -> Column:
     """Jaro-Winkler similarity; equal pairs are decided in the JVM and never reach Python."""
     a, b = col(left), col(right)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from civiclake.operators.linkage.compare import COPIES, Comparison, Linkage
-from civiclake.operators.linkage.pairs import LONG, pattern_counts, value_lengths
+from civiclake.operators.linkage.pairs import LONG, near_texts, pattern_counts, value_lengths
 from civiclake.operators.linkage.values import EXACT, date_distances, edit_distances
 from civiclake.operators.skew import pairs_within
 from civiclake.session import materialise
@@ -141,8 +141,10 @@ def _near_levels(values: DataFrame, c: Comparison) -> DataFrame | None:
         step = F.coalesce(*[F.when(F.col("distance") <= int(t), F.lit(i)) for i, t in enumerate(c.thresholds)])
         return edit_distances(values, c.column, int(c.thresholds[-1])).select((c.top - 1 - step).alias("level"), "pairs")
     lengths = value_lengths(values, [c])
-    if c.kind == "jaro_winkler" and max(lengths, default=0) > LONG:  # no token tells long texts apart: each pair of values once, in cells
-        pairs = pairs_within(values.withColumn("_token", F.lit(0)), ["_token"], c.column, ["n"], drop=["_token"])
+    if c.kind == "jaro_winkler" and max(lengths, default=0) > LONG:  # no token tells long texts apart
+        near = near_texts(values, [], c.column, c.thresholds[-1])
+        counts = [values.select(F.col(c.column).alias(f"{c.column}_{side}"), F.col("n").alias(f"n_{side}")) for side in "lr"]
+        pairs = near.join(counts[0], f"{c.column}_l").join(counts[1], f"{c.column}_r")
     else:
         marked = values.withColumn("_token", F.explode(c.tokens(lengths, 1)))
         pairs = pairs_within(marked, ["_token"], c.column, ["n"], drop=["_token"]).distinct()

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiclake.functions.similarity import similar_in_cells
 from civiclake.operators.linkage.compare import COPIES, ID, KINDS, Comparison, Linkage
-from civiclake.operators.skew import pairs_within
+from civiclake.operators.skew import join_in_cells, pairs_within
+from civiclake.session import materialise
 
 
 SMALL_BLOCK = 256  # profiles
@@ -48,7 +50,8 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
     ``demands`` narrows the tokens: a row shows those of a (column, level) only where the
     condition holds for it. A pair needed on a level must meet it on both sides.
 
-    Similar spellings of long texts share no token that others lack: rows that need such a level are paired in cells instead.
+    Similar spellings of long texts share no token that others lack: the few that are similar are found among the texts of a block, see
+    ``near_texts``, and rows are paired by them; equal ones are by their token.
     """
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
@@ -73,19 +76,54 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
         return F.coalesce(F.when(condition, marks), F.array().cast("array<string>"))
 
     long = {c.column for c in free if c.kind == "jaro_winkler" and not c.digest} if max(lengths, default=0) > LONG else set()
-    dense = [key for key in demands if key[0] in long and key[1] < by_name[key[0]].top]
+    dense: dict[str, list[tuple[str, int]]] = {}
+    for key in demands:
+        if key[0] in long and key[1] < by_name[key[0]].top:
+            dense.setdefault(key[0], []).append(key)
+    tokened = {key: condition for key, condition in demands.items() if key not in sum(dense.values(), [])}
     parts = []
-    if dense:
-        parts.append(all_pairs(many.where(reduce(lambda a, b: a | b, [demands[key] & F.col(key[0]).isNotNull() for key in dense])), rule))
-    if len(dense) < len(demands):
-        marks = F.flatten(F.array(*[shown(*key, condition) for key, condition in demands.items() if key not in dense]))
+    for column, keys in dense.items():
+        c, wanted = by_name[column], reduce(lambda a, b: a | b, [demands[key] for key in keys])
+        some = many.where(wanted & F.col(column).isNotNull())
+        near = near_texts(some, rule, column, c.thresholds[c.top - 1 - min(level for _, level in keys)])
+        parts.append(pairs_by_values(some, near, rule, column))
+        tokened[column, c.top] = wanted | tokened[column, c.top] if (column, c.top) in tokened else wanted
+    marks = F.array_distinct(F.flatten(F.array(*[shown(*key, condition) for key, condition in tokened.items()])))
+    if tokened:
         marked = many.withColumn("_token", F.explode(marks))
         parts.append(pairs_within(marked, [*rule, "_token"], ID, carried(found), drop=rule).drop("_token"))
-    if parts == parts[:1] and dense:
-        return pairs.unionByName(parts[0])
     return pairs.unionByName(reduce(DataFrame.unionByName, parts).distinct()) if parts else pairs
 
 
+def near_texts(rows: DataFrame, keys: Sequence[str], column: str, threshold: float, chunk: int = 4000) -> DataFrame:
+    """``keys, <column>_l, <column>_r``: different texts of a group whose Jaro-Winkler similarity reaches ``threshold``, each pair once.
+
+    A group's texts are cut into parts of about ``chunk``, and each pair of parts is compared on its own by the characters they have in
+    common. That is every pair still, at some nanoseconds each.
+    """
+    held = [*keys] or ["_all"]
+    texts = (rows if keys else rows.withColumn("_all", F.lit(0))).select(*held, column).dropna().distinct()
+    sizes = texts.groupBy(*held).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > chunk)
+    cut = texts.join(sizes, held, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_size") / chunk), F.lit(1)).cast("int"))
+    part = F.pmod(F.xxhash64(column), F.col("_parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.struct(F.least("_part", k).alias("_i"), F.greatest("_part", k).alias("_j")))
+    placed = cut.withColumn("_part", part).select(*held, column, "_part", F.inline(cells))
+    return similar_in_cells(placed, held, column, threshold).select(*keys, f"{column}_l", f"{column}_r")
+
+
+def pairs_by_values(rows: DataFrame, near: DataFrame, rule: Sequence[str], column: str) -> DataFrame:
+    """Pairs of a block's rows whose values of ``column`` are a pair of ``near``, as ``<c>_l``/``<c>_r`` with the smaller id on the left."""
+    keys = [F.col(c).alias(f"_{c}") for c in rule]
+    a, b = (near.select(*keys, F.col(f"{column}_l").alias("_a"), F.col(f"{column}_r").alias("_b")), rows)
+    first = b.select(*[F.col(c).alias(f"{c}_a") for c in b.columns]).join(
+        a, reduce(lambda x, y: x & y, [F.col(f"{c}_a") == F.col(f"_{c}") for c in rule] + [F.col(f"{column}_a") == F.col("_a")])).drop("_a")
+    second = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns], *[F.col(c).alias(f"_{c}") for c in rule], F.col(column).alias("_b"))
+    joined = join_in_cells(first, second, [*[f"_{c}" for c in rule], "_b"])
+    swap = F.col(f"{ID}_a") > F.col(f"{ID}_b")
+    return joined.select(*[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{side}")
+                           for c in rows.columns for side, x, y in (("l", "a", "b"), ("r", "b", "a"))])
+
+
 def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame) -> DataFrame:
     """All pairs of each block by one self-join."""
     left = rows.select(*rule, *[F.col(c).alias(f"{c}_l") for c in found.columns])
@@ -162,17 +200,27 @@ def fuzzy_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small:
     return similar_pairs(found, linkage, rule, small, demands={(c.column, 1): F.lit(True) for c in fuzzy}) if fuzzy else None
 
 
+def near_values(rows: DataFrame, rule: Sequence[str], c: Comparison, small: int = SMALL_BLOCK) -> DataFrame:
+    """The rule's columns, ``<c>_l, <c>_r, gamma_<c>``: different values of a block that agree a little, each pair once."""
+    values = rows.dropna(subset=[c.column]).groupBy(*rule, c.column).agg(F.min(ID).alias(ID))
+    alone = Linkage((c,), (tuple(rule),))
+    pairs = similar_pairs(values, alone, rule, small, demands={(c.column, 1): F.lit(True)})
+    levelled = with_levels(spread(pairs) if c.kind == "jaro_winkler" else pairs, alone)
+    return levelled.where(F.col(f"gamma_{c.column}").between(1, c.top - 1)).select(
+        *[F.col(f"{r}_l").alias(r) for r in rule], f"{c.column}_l", f"{c.column}_r", f"gamma_{c.column}")
+
+
 def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK) -> DataFrame:
     """How many record pairs of the block show each pattern of levels outside the rule.
 
-    Covers all pairs without forming them. Pairs that agree a little on a column with degrees are counted directly and copies of
-    one profile by formula. Of the others only equality matters: the pairs that agree on at least a set of exact columns
-    follow from the sizes of the groups with equal values, those that agree on just that set by inclusion and exclusion
-    over the sets that hold it, less the pairs counted directly. Totals are kept per set of missing values.
+    Covers all pairs without forming most of them. For each set of columns, the pairs that agree at least a little on all of the set are
+    counted, whatever the others say: those equal on the set from the sizes of the groups with equal values, the others from the
+    pairs of values that agree a little, each with the sizes of the groups that hold them. Profiles are paired only where two columns
+    differ and yet agree a little. Pairs that agree on just the set follow by inclusion and exclusion over the sets that hold it, copies
+    of one profile by formula. Totals are kept per set of missing values.
     """
     free = linkage.outside(rule)
     names = [f"gamma_{c.column}" for c in free]
-    fuzzy, equal = [c for c in free if not is_exact(c)], [c for c in free if is_exact(c)]
     rows = in_block(found, rule)
     exact = "decimal(38,0)"  # pair counts of a hot block outgrow a long
     n = F.col(COPIES).cast("decimal(19,0)")
@@ -186,28 +234,43 @@ def pattern_counts(found: DataFrame, linkage: Linkage, rule: Sequence[str], smal
     for c in free:
         mask = mask + F.when(F.col(c.column).isNull(), bit[c.column]).otherwise(0)
     marked = rows.withColumn("_mask", mask)
-    top = {f"gamma_{c.column}": c.top for c in free}
-
-    def levels(agreeing: Sequence[str]) -> list[Column]:
-        """The pattern of a pair that is known by its missing values and the exact columns it agrees on."""
-        return [F.when(F.col("_mask").bitwiseAND(bit[c.column]) != 0, -1).otherwise(top[f"gamma_{c.column}"] if c.column in agreeing else 0).alias(f"gamma_{c.column}")
-                for c in free]
-
-    parts = [_pairs_in_groups(marked, rule, together, [m for m in range(1 << len(free)) if not any(m & bit[c] for c in together)], n).select(
-        F.explode(F.array(*[F.struct(*levels(just), (F.col("n") * (-1) ** (len(together) - len(just))).cast(exact).alias("n")) for just in _subsets(together)])).alias("p")).select("p.*")
-        for together in _subsets([c.column for c in equal])]
-    union = reduce(DataFrame.unionByName, parts)
-
-    proposed = fuzzy_pairs(found, linkage, rule, small)
-    if proposed is not None:
-        agree = reduce(lambda a, b: a | b, [F.col(f"gamma_{c.column}") > 0 for c in fuzzy])
-        both = F.col(f"{COPIES}_l").cast("decimal(19,0)") * F.col(f"{COPIES}_r").cast("decimal(19,0)")
-        similar = with_levels(spread(proposed), linkage).where(agree).groupBy(*names).agg(F.sum(both.cast(exact)).cast(exact).alias("n"))
-        # Each of them is one less among the pairs that only equality was known of.
-        dull = [F.least(F.col(f"gamma_{c.column}"), F.lit(0)).alias(f"gamma_{c.column}") if c in fuzzy else F.col(f"gamma_{c.column}") for c in free]
-        both_rows = F.array(F.struct(*names, "n"), F.struct(*dull, (-F.col("n")).cast(exact).alias("n")))
-        union = union.unionByName(similar.select(F.inline(both_rows)))
-    return union.unionByName(own).groupBy(*names).agg(F.sum("n").cast(exact).alias("n")).where("n > 0")
+    near = {c.column: materialise(near_values(rows, rule, c, small), "near") for c in free if not is_exact(c)}
+    fewest = {column: found.count() for column, found in near.items()} if len(near) > 1 else dict.fromkeys(near, 0)
+
+    parts = []
+    for together in _subsets([c.column for c in free]):
+        masks = [m for m in range(1 << len(free)) if not any(m & bit[c] for c in together)]
+        tops = [F.lit(c.top).alias(f"gamma_{c.column}") for c in free if c.column in together]
+        counted = [_pairs_in_groups(marked, rule, together, masks, n).select("_mask", *tops, "n")]
+        for differing in _subsets([c for c in together if c in near])[1:]:
+            pivot = min(differing, key=lambda c: fewest[c])
+            counted.append(_pairs_of_near(marked, linkage, rule, together, differing, pivot, near[pivot]))
+        pattern = F.array(*[F.struct(
+            *[(F.col(f"gamma_{c.column}") if c.column in just else F.when(F.col("_mask").bitwiseAND(bit[c.column]) != 0, -1).otherwise(0)).alias(f"gamma_{c.column}")
+              for c in free], (F.col("n") * (-1) ** (len(together) - len(just))).cast(exact).alias("n")) for just in _subsets(together)])
+        parts += [part.select(F.inline(pattern)) for part in counted]
+    return reduce(DataFrame.unionByName, parts).unionByName(own).groupBy(*names).agg(F.sum("n").cast(exact).alias("n")).where("n > 0")
+
+
+def _pairs_of_near(marked: DataFrame, linkage: Linkage, rule: Sequence[str], together: Sequence[str], differing: Sequence[str], pivot: str,
+                   near: DataFrame) -> DataFrame:
+    """``_mask``, levels and ``n``: record pairs that are equal on ``together`` but for the ``differing`` columns, on which they agree a
+    little; ``near`` has the pairs of values of the ``pivot``, one of them."""
+    exact = "decimal(38,0)"
+    by_name = {c.column: c for c in linkage.comparisons}
+    n = F.col(COPIES).cast("decimal(19,0)")
+    groups = marked.dropna(subset=list(together)).groupBy(*rule, *together, "_mask").agg(F.sum(n).cast("decimal(19,0)").alias("n"))
+    equal, others = [c for c in together if c not in differing], [c for c in differing if c != pivot]
+    sides = {side: groups.select(*rule, *equal, F.col(pivot).alias(f"{pivot}_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in [*others, "_mask", "n"]]) for side in "lr"}
+    first = near.join(sides["l"], [*rule, f"{pivot}_l"])
+    keys = [*rule, *equal, f"{pivot}_r"]
+    pairs = join_in_cells(materialise(first, "near"), sides["r"], keys) if others else first.join(sides["r"], keys)
+    for c in others:
+        level = by_name[c].level(F.col(f"{c}_l"), F.col(f"{c}_r"))
+        pairs = pairs.withColumn(f"gamma_{c}", level).where(F.col(f"gamma_{c}").between(1, by_name[c].top - 1))
+    levels = [F.lit(by_name[c].top).alias(f"gamma_{c}") if c in equal else F.col(f"gamma_{c}") for c in together]
+    counted = pairs.select(F.col("_mask_l").bitwiseOR(F.col("_mask_r")).alias("_mask"), *levels, (F.col("n_l") * F.col("n_r")).cast(exact).alias("n"))
+    return counted.groupBy("_mask", *[f"gamma_{c}" for c in together]).agg(F.sum("n").cast(exact).alias("n"))
 
 
 def _subsets(columns: Sequence[str]) -> list[tuple[str, ...]]:

@@ -286,6 +286,42 @@ def test_near_dates_are_counted_as_by_all_pairs(spark):
     assert windows and all("windowspecdefinition(_w0" in line for line in windows)  # never the whole histogram in one task
 
 
+def test_long_texts_are_compared_by_the_characters_they_share(spark):
+    from civiclake.functions.similarity import similar_among
+    from civiclake.operators.linkage.pairs import near_texts
+
+    rng = random.Random(6)
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(60)]
+    digests += [near_digest(rng, d, k) for k in (1, 4, 9, 14, 20) for d in digests[:20]]
+    odd = ["", "a", "ab", "é" * 20, "é" * 19 + "a", "日" + "0" * 30, "0" * 300, "0" * 290, *["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 24))) for _ in range(60)]]
+    texts = sorted({*digests, *odd})
+    for threshold in (0.6, 0.7, 0.75, 0.88, 0.95):
+        want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaro_winkler_pair(texts[a], texts[b]) >= threshold}
+        assert set(similar_among(texts, None, threshold, strip=50)) == want
+        assert {(i, j) for i, j in similar_among(texts, texts, threshold) if i < j} == want
+    df = spark.createDataFrame([(k, t) for k in "xy" for t in texts] + [("x", None), (None, "a")], "k string, t string")
+    got = near_texts(df, ["k"], "t", 0.88, chunk=40).collect()
+    want = {(k, a, b) for k in "xy" for a, b in itertools.combinations(texts, 2) if jaro_winkler_pair(a, b) >= 0.88}
+    assert len(got) == len(want) and {(k, *sorted(p)) for k, *p in got} == want
+
+
+def test_patterns_pair_values_not_profiles(spark, monkeypatch):
+    """300 people in one block share four near areas: six pairs of areas are compared, not 45,000 pairs of people."""
+    from civiclake.operators.linkage import pairs
+
+    compared = []
+    levels = pairs.with_levels
+    monkeypatch.setattr(pairs, "with_levels", lambda p, *rest: compared.append(p) or levels(p, *rest))
+    rng = random.Random(3)
+    df = spark.createDataFrame([(str(i), hashlib.sha256(str(i).encode()).hexdigest(), rng.choice(["NE1", "NE2", "NE3", "NE4"]), "a", "F") for i in range(300)],
+                               "id string, hash string, area string, band string, sex string")
+    got = {(r["gamma_hash"], r["gamma_area"]): int(r["n"]) for r in pattern_counts(lk.profiles(df, CARE, "id"), CARE, ("band", "sex")).collect()}
+    sizes = [r["count"] for r in df.groupBy("area").count().collect()]
+    same = sum(n * (n - 1) // 2 for n in sizes)
+    assert got == {(0, 3): same, (0, 2): 300 * 299 // 2 - same}
+    assert sum(p.count() for p in compared) == 6
+
+
 def test_digests_agree_only_when_equal(spark):
     df = spark.createDataFrame([("a" * 63 + "b", "a" * 63 + "c"), ("x", "x"), (None, "x")], "v_l string, v_r string")
     c = lk.Comparison("v", "jaro_winkler", (0.95, 0.88), digest=True)
