@@ -15,6 +15,10 @@ from civiclake.session import materialise
 
 
 SMALL_BLOCK = 256  # profiles
+#: Where spellings are looked up, a pair costs so little that larger blocks are paired directly too.
+DIRECT_BLOCK = 4096
+#: Pairs of similar spellings that are given to every task; beyond that, spellings are compared pair by pair.
+FEW_SPELLINGS = 100_000
 #: Texts longer than this, such as digests, have nearly all letters in common by chance, so the letter filter keeps nearly all pairs.
 LONG = 16
 
@@ -38,7 +42,7 @@ def carried(found: DataFrame) -> list[str]:
 
 
 def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small: int = SMALL_BLOCK,
-                  whole: Column | None = None, demands: Mapping[tuple[str, int], Column] | None = None) -> DataFrame:
+                  whole: Column | None = None, demands: Mapping[tuple[str, int], Column] | None = None, deal: bool = False) -> DataFrame:
     """Pairs of a block, complete for those that agree at least a little outside the rule.
 
     Blocks of up to ``small`` profiles are paired in full, which costs each profile at
@@ -56,9 +60,9 @@ def similar_pairs(found: DataFrame, linkage: Linkage, rule: Sequence[str], small
     rows = in_block(found, rule)
     large = rows.groupBy(*rule).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
     if large.isEmpty():
-        return plain_pairs(rows, rule, found)
+        return plain_pairs(rows, rule, found, deal)
     sized = rows.join(large, list(rule), "left")
-    pairs = plain_pairs(sized.where("_n is null").drop("_n"), rule, found)
+    pairs = plain_pairs(sized.where("_n is null").drop("_n"), rule, found, deal)
     many = sized.where("_n is not null").drop("_n")
     if whole is not None:
         pairs = pairs.unionByName(all_pairs(many.where(whole), rule))
@@ -124,8 +128,10 @@ def pairs_by_values(rows: DataFrame, near: DataFrame, rule: Sequence[str], colum
                            for c in rows.columns for side, x, y in (("l", "a", "b"), ("r", "b", "a"))])
 
 
-def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame) -> DataFrame:
-    """All pairs of each block by one self-join."""
+def plain_pairs(rows: DataFrame, rule: Sequence[str], found: DataFrame, deal: bool = False) -> DataFrame:
+    """All pairs of each block by one self-join. ``deal`` fixes its number of partitions: the bytes of its rows say little of its pairs."""
+    if deal:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rule)
     left = rows.select(*rule, *[F.col(c).alias(f"{c}_l") for c in found.columns])
     right = rows.select(*rule, *[F.col(c).alias(f"{c}_r") for c in found.columns])
     joined = left.join(right, list(rule)).where(F.col(f"{ID}_l") < F.col(f"{ID}_r"))
@@ -137,13 +143,57 @@ def all_pairs(found: DataFrame, rule: Sequence[str]) -> DataFrame:
     return pairs_within(in_block(found, rule), list(rule), ID, carried(found), drop=rule)
 
 
-def with_levels(pairs: DataFrame, linkage: Linkage, kinds: Sequence[str] = KINDS) -> DataFrame:
+def with_levels(pairs: DataFrame, linkage: Linkage, kinds: Sequence[str] = KINDS, known: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Pairs with the level of each column of the given kinds; those of ``known``, see ``known_spellings``, are looked up."""
+    known = known or {}
+    for c in linkage.comparisons:
+        if c.kind in kinds and c.column in known:
+            pairs = looked_up(pairs, c, known[c.column])
     return pairs.withColumns({
         f"gamma_{c.column}": c.level(F.col(f"{c.column}_l"), F.col(f"{c.column}_r"))
-        for c in linkage.comparisons if c.kind in kinds
+        for c in linkage.comparisons if c.kind in kinds and c.column not in known
     })
 
 
+def looked_up(pairs: DataFrame, c: Comparison, known: DataFrame) -> DataFrame:
+    """Pairs with the level of a column whose similar values, in either order, are the rows of ``known``."""
+    left, right = f"{c.column}_l", f"{c.column}_r"
+    level = F.when(F.col(left).isNull() | F.col(right).isNull(), -1).when(F.col(left) == F.col(right), c.top).otherwise(F.coalesce("_near", F.lit(0)))
+    return pairs.join(F.broadcast(known), [left, right], "left").withColumn(f"gamma_{c.column}", level).drop("_near")
+
+
+def known_spellings(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) -> dict[str, DataFrame] | None:
+    """For each column compared by Jaro-Winkler ``<c>_l, <c>_r, _near``: values that meet in some block, differ and agree a little, in either order.
+
+    Values meet far less often than profiles do, and each pair of them is compared once. None where some column has more than
+    ``FEW_SPELLINGS`` such pairs: they are too many to be given to every task.
+    """
+    known = {}
+    for c in linkage.comparisons:
+        if c.kind != "jaro_winkler":
+            continue
+        left, right = f"{c.column}_l", f"{c.column}_r"
+        met = [_meeting(found, c, rule, small) for rule in linkage.rules if c.column not in rule]
+        if not met or c.digest:  # level 0 unless equal, or not asked for
+            met = [found.limit(0).select(F.col(c.column).alias(left), F.col(c.column).alias(right))]
+        values = reduce(DataFrame.unionByName, met).distinct()
+        n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        level = values.repartition(n, left, right).withColumn("_near", c.level(F.col(left), F.col(right)))
+        near = materialise(level.where(F.col("_near").between(1, c.top - 1)), "spellings")
+        if near.count() > FEW_SPELLINGS:
+            return None
+        known[c.column] = near.unionByName(near.select(F.col(right).alias(left), F.col(left).alias(right), "_near"))
+    return known
+
+
+def _meeting(found: DataFrame, c: Comparison, rule: Sequence[str], small: int) -> DataFrame:
+    """Pairs of different values of a column that meet in a block of the rule, the lesser one on the left."""
+    left, right = f"{c.column}_l", f"{c.column}_r"
+    values = in_block(found, rule).dropna(subset=[c.column]).groupBy(*rule, c.column).agg(F.min(ID).alias(ID))
+    pairs = similar_pairs(values, Linkage((c,), (tuple(rule),)), rule, small, demands={(c.column, 1): F.lit(True)})
+    return pairs.select(F.least(left, right).alias(left), F.greatest(left, right).alias(right)).where(F.col(left) < F.col(right))
+
+
 def agrees_outside(linkage: Linkage, rule: Sequence[str]) -> Column:
     agree = F.lit(False)
     for c in linkage.outside(rule):
@@ -161,11 +211,11 @@ def spread(pairs: DataFrame, id_col: str = ID) -> DataFrame:
     return pairs.repartition(n, f"{id_col}_l", f"{id_col}_r")
 
 
-def proposed_pairs(parts: Sequence[DataFrame], rules: Sequence[Sequence[str]]) -> DataFrame:
+def proposed_pairs(parts: Sequence[DataFrame], rules: Sequence[Sequence[str]], deal: bool = True) -> DataFrame:
     """Union of the rules' pairs, each pair once, with ``_rule``, the first rule that blocks it.
 
     Whether an earlier rule blocks a pair as well is seen on the pair itself, so nothing is grouped. That rule has formed the pair
-    too: it agrees on the later rule's columns, which is more than blocks ask for.
+    too: it agrees on the later rule's columns, which is more than blocks ask for. ``deal`` spreads the pairs for a costly comparison.
     """
     union, earlier = None, F.lit(False)
     for number, (part, rule) in enumerate(zip(parts, rules)):
@@ -175,17 +225,19 @@ def proposed_pairs(parts: Sequence[DataFrame], rules: Sequence[Sequence[str]]) -
         for c in rule:
             agree = agree & F.coalesce(F.col(f"{c}_l") == F.col(f"{c}_r"), F.lit(False))
         earlier = earlier | agree
-    return spread(union)
+    return spread(union) if deal else union
 
 
-def block_pairs(found: DataFrame, linkage: Linkage, small: int = SMALL_BLOCK) -> DataFrame:
+def block_pairs(found: DataFrame, linkage: Linkage, small: int | None = None) -> DataFrame:
     """Levels of all pairs some rule proposes and that agree on something outside it; each pair once.
 
     ``match_key`` is the first such rule.
     """
-    proposed = proposed_pairs([similar_pairs(found, linkage, rule, small) for rule in linkage.rules], linkage.rules)
+    known = known_spellings(found, linkage, small or SMALL_BLOCK)
+    direct = small or (SMALL_BLOCK if known is None else DIRECT_BLOCK)
+    proposed = proposed_pairs([similar_pairs(found, linkage, rule, direct, deal=known is not None) for rule in linkage.rules], linkage.rules, deal=known is None)
     key = F.coalesce(*[F.when((F.col("_rule") == i) & agrees_outside(linkage, rule), F.lit(i)) for i, rule in enumerate(linkage.rules)])
-    levelled = with_levels(proposed, linkage).withColumn("match_key", key)
+    levelled = with_levels(proposed, linkage, known=known).withColumn("match_key", key)
     return levelled.where(F.col("match_key").isNotNull()).drop("_rule")
 
 

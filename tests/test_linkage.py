@@ -109,6 +109,13 @@ def test_predictions_equal_scoring_all_pairs(spark, people):
         assert rows(got) == rows(brute.distinct())
 
 
+def test_pairs_are_levelled_where_they_are_formed(spark, people):
+    found = lk.profiles(people, PEOPLE, "person_id").localCheckpoint()
+    plan = lk.block_pairs(found, PEOPLE)._jdf.queryExecution().executedPlan().toString()
+    assert "profile_id_l" in plan and "jaro" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "profile_id_l" in line]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randint(0, 90):03d}", f"n{rng.randint(0, 90):03d}") for _ in range(60)]
