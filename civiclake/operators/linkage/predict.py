@@ -2,36 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from civiclake.operators.components import connected_components
+from civiclake.operators.components import connected_components, extend_components
 from civiclake.operators.linkage.compare import ID, KINDS, Linkage
 from civiclake.operators.linkage.model import Model, probability, threshold_bits
-from civiclake.operators.linkage.pairs import SMALL_BLOCK, proposed_pairs, similar_pairs, with_levels
+from civiclake.operators.linkage.pairs import DIRECT_BLOCK, SMALL_BLOCK, in_block, proposed_pairs, similar_pairs, with_levels
+from civiclake.session import materialise
 
 
-def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float,
-            small: int = SMALL_BLOCK) -> DataFrame:
+def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float, small: int | None = None,
+            known: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Profile pairs whose match probability reaches ``threshold``, each once.
 
     In large blocks only pairs are formed that agree where they must to get there, see
     ``demanded``. Where the blocking values alone are rare enough to carry a pair over
-    the threshold, all pairs of the block are.
+    the threshold, all pairs of the block are. With ``known`` spellings, see ``known_spellings``,
+    pairs are scored where they are formed.
     """
+    parts = [_block(found, linkage, model, rule, threshold, small, known) for rule in linkage.rules]
+    return _scored(proposed_pairs(parts, linkage.rules, deal=known is None), linkage, model, threshold, known)
+
+
+def _block(rows: DataFrame, linkage: Linkage, model: Model, rule: tuple[str, ...], threshold: float, small: int | None,
+           known: Mapping[str, DataFrame] | None) -> DataFrame:
+    """A rule's pairs, complete for those that reach ``threshold``."""
     enough = threshold_bits(threshold) - 1e-9
-    parts = []
-    for rule in linkage.rules:
-        alone = model.most_bits(linkage, [c.column for c in linkage.outside(rule)]) >= enough
-        demands = demanded(linkage, model, rule, enough)
-        parts.append(similar_pairs(found, linkage, rule, small, whole=alone, demands=demands))
-    cheap = with_levels(proposed_pairs(parts, linkage.rules), linkage, [k for k in KINDS if k != "jaro_winkler"])
-    hopeful = cheap.where(model.pair_bound(linkage) >= enough)
-    scored = with_levels(hopeful, linkage, ["jaro_winkler"]).withColumn("match_weight", model.weight(linkage))
+    alone = model.most_bits(linkage, [c.column for c in linkage.outside(rule)]) >= enough
+    direct = small or (SMALL_BLOCK if known is None else DIRECT_BLOCK)
+    return similar_pairs(rows, linkage, rule, direct, whole=alone, demands=demanded(linkage, model, rule, enough), deal=known is not None)
+
+
+def _scored(proposed: DataFrame, linkage: Linkage, model: Model, threshold: float, known: Mapping[str, DataFrame] | None) -> DataFrame:
+    """Those of the proposed pairs that reach ``threshold``, with their weight; spellings are compared last."""
+    cheap = with_levels(proposed, linkage, [k for k in KINDS if k != "jaro_winkler"])
+    hopeful = cheap.where(model.pair_bound(linkage) >= threshold_bits(threshold) - 1e-9)
+    scored = with_levels(hopeful, linkage, ["jaro_winkler"], known).withColumn("match_weight", model.weight(linkage))
     scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
     return scored.where(F.col("match_probability") >= threshold).withColumnRenamed("_rule", "match_key")
 
 
+def spanning_pairs(found: DataFrame, linkage: Linkage, model: Model, threshold: float, small: int | None = None,
+                   known: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(near, homes, across)``: of the pairs that ``predict`` gives, enough to hold the same profiles together.
+
+    Profiles equal in a rule's columns and one more mostly all match, so their pairs grow with the square of such a group. Here each is
+    scored with the first of its group only: ``near`` are those that match, ``homes`` their components. Pairs of a block
+    are formed only between different homes; ``across`` are those that match. What no pair of ``near`` joins is compared in full, so no
+    link between homes is lost, however the scores in a group turn out.
+    """
+    ends = [f"{ID}_l", f"{ID}_r"]
+    more = [(rule, [c.column for c in linkage.outside(rule)] or list(rule)) for rule in linkage.rules]
+    groups = {tuple(c for c in linkage.columns if c in rule or c == one) for rule, ones in more for one in ones}
+    stars = reduce(DataFrame.unionByName, [_with_first(found, group) for group in sorted(groups)])
+    near = materialise(_scored(stars, linkage, model, threshold, known).select(*ends, "match_probability").distinct(), "near")
+    homes = materialise(connected_components(near, *ends).toDF(ID, "_home"), "homes")
+    placed = materialise(found.join(homes, ID, "left").withColumn("_home", F.coalesce("_home", ID)), "placed")
+    parts = []
+    for rule in linkage.rules:
+        rows = in_block(placed, rule)
+        mixed = rows.groupBy(*rule).agg(F.min("_home").alias("_least"), F.max("_home").alias("_most")).where("_least <> _most")
+        rows = materialise(rows.join(mixed.select(*rule), list(rule), "left_semi"), "mixed")
+        parts.append(_block(rows, linkage, model, rule, threshold, small, known).where("_home_l <> _home_r"))
+    across = _scored(proposed_pairs(parts, linkage.rules, deal=known is None), linkage, model, threshold, known)
+    return near, homes, materialise(across.select(*ends, "match_probability"), "across")
+
+
+def _with_first(found: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Each profile with the first one equal in the columns of the group, which is on the left."""
+    ahead = Window.partitionBy(*group).orderBy(ID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = {f"{c}_l": F.first(c).over(ahead) for c in found.columns if c not in group}
+    pairs = found.dropna(subset=list(group)).withColumns(first).where(F.col(f"{ID}_l") < F.col(ID))
+    return pairs.select(*[(F.col(f"{c}_l") if c not in group else F.col(c)).alias(f"{c}_l") for c in found.columns],
+                        *[F.col(c).alias(f"{c}_r") for c in found.columns])
+
+
+def spanning_clusters(found: DataFrame, linkage: Linkage, model: Model, threshold: float, known: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """``(profile_id, cluster_id)`` as ``clusters`` gives for all pairs of ``predict``, from the ``spanning_pairs``."""
+    _, homes, across = spanning_pairs(found, linkage, model, threshold, known=known)
+    return extend_components(homes.toDF("node", "component"), across, f"{ID}_l", f"{ID}_r").toDF(ID, "cluster_id")
+
+
 def demanded(linkage: Linkage, model: Model, rule: tuple[str, ...], enough: float) -> dict[tuple[str, int], Column]:
     """For each column outside the rule and each level: the rows whose tokens of that level are needed.
 
@@ -74,7 +130,11 @@ def clusters(pairs: DataFrame, threshold: float) -> DataFrame:
 def cluster_records(records: DataFrame, found: DataFrame, linkage: Linkage, model: Model, pairs: DataFrame,
                     threshold: float, id_col: str) -> DataFrame:
     """``(id, cluster_id)`` for every record; a record that matches nothing is its own cluster."""
-    named = clusters(pairs, threshold)
+    return place_records(records, found, linkage, model, clusters(pairs, threshold), threshold, id_col)
+
+
+def place_records(records: DataFrame, found: DataFrame, linkage: Linkage, model: Model, named: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    """``(id, cluster_id)`` for every record, given the clusters of the profiles that match any other."""
     homes = found.join(named, ID, "left").select(
         *linkage.columns, ID, "cluster_id", copies_match(linkage, model, threshold).alias("_together"))
     same = [records[c].eqNullSafe(homes[c]) for c in linkage.columns]

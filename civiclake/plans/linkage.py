@@ -355,8 +355,9 @@ def link_review_queue(spark, sf_dir):
 
 
 def assigned_people(spark, sf_dir) -> DataFrame:
-    records, found, pairs = _given_pairs(spark, sf_dir)
-    return lk.cluster_records(records, found, PEOPLE, GIVEN, pairs, CLUSTER_AT, "person_id")
+    records, found = _people(spark, sf_dir)
+    named = lk.spanning_clusters(found, PEOPLE, GIVEN, CLUSTER_AT, lk.known_spellings(found, PEOPLE))
+    return lk.place_records(records, found, PEOPLE, GIVEN, named, CLUSTER_AT, "person_id")
 
 
 def _own_bits_sql(column: str, tf: bool) -> str:
@@ -388,8 +389,10 @@ def link_clusters(spark, sf_dir):
 
 @query("link_clusters_increment", f"with recursive {CLUSTERS_SQL} select node as profile_id, cluster_id from named")
 def link_clusters_increment(spark, sf_dir):
-    """Clusters of the matched profiles in two batches: two thirds of the matches first, then the others joined to what is there."""
-    edges = _given_pairs(spark, sf_dir)[2].where(F.col("match_probability") >= CLUSTER_AT)
+    """Clusters of the matched profiles in two batches: two thirds of the spanning matches first, then the others joined to what is there."""
+    _, found = _people(spark, sf_dir)
+    near, _, across = lk.spanning_pairs(found, PEOPLE, GIVEN, CLUSTER_AT, known=lk.known_spellings(found, PEOPLE))
+    edges = near.unionByName(across)
     later = F.crc32(F.concat("profile_id_l", "profile_id_r").cast("binary")) % 3 == 0
     first = materialise(connected_components(edges.where(~later), "profile_id_l", "profile_id_r").toDF("node", "component"), "clusters")
     return extend_components(first, edges.where(later), "profile_id_l", "profile_id_r").toDF("profile_id", "cluster_id")

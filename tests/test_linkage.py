@@ -116,6 +116,34 @@ def test_pairs_are_levelled_where_they_are_formed(spark, people):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "profile_id_l" in line]
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """People who share name and birth date in different homes, some misspelt or lacking something, among others."""
+    rng = random.Random(23)
+    out = []
+    for i in range(150):
+        person = i % 50
+        dob = rng.choice(["1970-02-01"] * 8 + ["1970-02-02", None]) if person < 40 else f"19{person}-05-05"
+        out.append((f"c{i:04d}", rng.choice(["MARTHA"] * 5 + ["MRTHA", "MARTHAE"]) if person < 40 else rng.choice(NAMES), rng.choice(["BELL"] * 8 + ["BELLS", None]), dob,
+                    rng.choice([f"NE{person} 1AA"] * 8 + [f"NE{person} 1AB", None])))
+    df = spark.createDataFrame(out, "person_id string, forename string, surname string, dob string, postcode string")
+    return lk.profiles(df.withColumn("dob", F.col("dob").cast("date")), PEOPLE, "person_id").localCheckpoint()
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.9999])
+def test_clusters_need_no_pair_of_equals(spark, people, crowd, threshold):
+    for found in (lk.profiles(people, PEOPLE, "person_id").localCheckpoint(), crowd):
+        every = predict(found, PEOPLE, GIVEN, threshold)
+        want = rows(lk.clusters(every, threshold))
+        known = lk.known_spellings(found, PEOPLE) if threshold == 0.92 else None
+        assert rows(lk.spanning_clusters(found, PEOPLE, GIVEN, threshold, known)) == want
+    near, _, across = lk.spanning_pairs(crowd, PEOPLE, GIVEN, threshold)
+    held = near.unionByName(across).select("profile_id_l", "profile_id_r")
+    assert rows(held.exceptAll(every.select("profile_id_l", "profile_id_r"))) == []  # each is a match, and given once
+    if threshold == 0.92:
+        assert held.count() * 2 < every.count()
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randint(0, 90):03d}", f"n{rng.randint(0, 90):03d}") for _ in range(60)]
