@@ -78,11 +78,11 @@ class Model:
     def best_below_top(self, c: Comparison) -> float:
         return max(0.0, *[self.bits(c.column, level) for level in range(c.top)])
 
-    def pair_bound(self, linkage: Linkage) -> Column:
-        """Most weight of a pair whose cheap levels are known and whose spellings are only known to be equal or not."""
+    def pair_bound(self, linkage: Linkage, unseen: Sequence[str] = ("jaro_winkler",)) -> Column:
+        """Most weight of a pair whose values of the ``unseen`` kinds are only known to be equal or not, while the other levels are known."""
         total = F.lit(self.prior_bits)
         for c in linkage.comparisons:
-            if c.kind != "jaro_winkler":
+            if c.kind not in unseen:
                 total = total + self.level_bits(c)
                 continue
             left, right = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
@@ -92,6 +92,18 @@ class Model:
             total = total + F.when(left == right, top).otherwise(self.best_below_top(c))
         return total
 
+    def pair_least(self, linkage: Linkage) -> Column:
+        """Least weight of a pair of which it is only known where the values are equal or missing."""
+        total = F.lit(self.prior_bits)
+        for c in linkage.comparisons:
+            left, right = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
+            top = F.lit(self.bits(c.column, c.top))
+            if c.term_frequency:
+                top = top + self.rarity(c, f"tf_{c.column}_l")
+            below_top = min(self.bits(c.column, level) for level in range(c.top))
+            total = total + F.when(left.isNull() | right.isNull(), 0.0).when(left == right, top).otherwise(below_top)
+        return total
+
 
 def probability(weight: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(2.0), -weight))

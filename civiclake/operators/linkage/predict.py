@@ -17,16 +17,20 @@ from civiclake.session import materialise
 
 
 def predict(found: DataFrame, linkage: Linkage, model: Model, threshold: float, small: int | None = None,
-            known: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Profile pairs whose match probability reaches ``threshold``, each once.
+            known: Mapping[str, DataFrame] | None = None, below: float | None = None) -> DataFrame:
+    """Profile pairs whose match probability reaches ``threshold``, each once; if ``below`` is given, those under it only.
 
     In large blocks only pairs are formed that agree where they must to get there, see
     ``demanded``. Where the blocking values alone are rare enough to carry a pair over
     the threshold, all pairs of the block are. With ``known`` spellings, see ``known_spellings``,
-    pairs are scored where they are formed.
+    pairs are scored where they are formed. Pairs that equal values alone carry to ``below`` are left out before any level is found.
     """
     parts = [_block(found, linkage, model, rule, threshold, small, known) for rule in linkage.rules]
-    return _scored(proposed_pairs(parts, linkage.rules, deal=known is None), linkage, model, threshold, known)
+    if below is not None:
+        open_ = model.pair_least(linkage) < threshold_bits(below) + 1e-9
+        parts = [part.where(open_) for part in parts]
+    scored = _scored(proposed_pairs(parts, linkage.rules, deal=known is None), linkage, model, threshold, known)
+    return scored if below is None else scored.where(F.col("match_probability") < below)
 
 
 def _block(rows: DataFrame, linkage: Linkage, model: Model, rule: tuple[str, ...], threshold: float, small: int | None,
@@ -39,9 +43,14 @@ def _block(rows: DataFrame, linkage: Linkage, model: Model, rule: tuple[str, ...
 
 
 def _scored(proposed: DataFrame, linkage: Linkage, model: Model, threshold: float, known: Mapping[str, DataFrame] | None) -> DataFrame:
-    """Those of the proposed pairs that reach ``threshold``, with their weight; spellings are compared last."""
+    """Those of the proposed pairs that reach ``threshold``, with their weight; spellings are compared last.
+
+    Where spellings are looked up, the first sieve sees only what is equal: Spark moves it into the join, and levels would be found there
+    once for every mention.
+    """
     cheap = with_levels(proposed, linkage, [k for k in KINDS if k != "jaro_winkler"])
-    hopeful = cheap.where(model.pair_bound(linkage) >= threshold_bits(threshold) - 1e-9)
+    bound = model.pair_bound(linkage) if known is None else model.pair_bound(linkage, KINDS)
+    hopeful = cheap.where(bound >= threshold_bits(threshold) - 1e-9)
     scored = with_levels(hopeful, linkage, ["jaro_winkler"], known).withColumn("match_weight", model.weight(linkage))
     scored = scored.withColumn("match_probability", probability(F.col("match_weight")))
     return scored.where(F.col("match_probability") >= threshold).withColumnRenamed("_rule", "match_key")

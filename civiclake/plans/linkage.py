@@ -330,9 +330,10 @@ def link_predict(spark, sf_dir):
         "profile_id_l", "profile_id_r", F.round("match_probability", 6).alias("match_probability"), "match_key")
 
 
-def _given_pairs(spark, sf_dir):
-    records, found = _people(spark, sf_dir)
-    return records, found, materialise(lk.predict(found, PEOPLE, GIVEN, PREDICT_AT), "pairs")
+def _given_pairs(spark, sf_dir, below: float | None = None) -> DataFrame:
+    _, found = _people(spark, sf_dir)
+    pairs = lk.predict(found, PEOPLE, GIVEN, PREDICT_AT, known=lk.known_spellings(found, PEOPLE), below=below)
+    return materialise(pairs.select("profile_id_l", "profile_id_r", "match_weight", "match_probability", "match_key"), "pairs")
 
 
 @query("link_scored", f"""
@@ -340,7 +341,7 @@ def _given_pairs(spark, sf_dir):
       round(match_probability, 6) as match_probability, match_key from scored where match_probability >= 0.88""")
 def link_scored(spark, sf_dir):
     """Pairs under the given model."""
-    return _given_pairs(spark, sf_dir)[2].select(
+    return _given_pairs(spark, sf_dir).select(
         "profile_id_l", "profile_id_r", F.round("match_weight", 4).alias("match_weight"),
         F.round("match_probability", 6).alias("match_probability"), "match_key")
 
@@ -349,7 +350,7 @@ def link_scored(spark, sf_dir):
     with {SCORED_SQL} select profile_id_l, profile_id_r, round(match_probability, 6) as match_probability
     from scored where match_probability >= 0.88 and match_probability < 0.92""")
 def link_review_queue(spark, sf_dir):
-    pairs = _given_pairs(spark, sf_dir)[2]
+    pairs = _given_pairs(spark, sf_dir, below=CLUSTER_AT)
     return review_queue(pairs, PREDICT_AT, CLUSTER_AT).select(
         "profile_id_l", "profile_id_r", F.round("match_probability", 6).alias("match_probability"))
 

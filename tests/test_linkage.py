@@ -109,6 +109,17 @@ def test_predictions_equal_scoring_all_pairs(spark, people):
         assert rows(got) == rows(brute.distinct())
 
 
+def test_pairs_are_scored_where_they_are_formed(spark, people, crowd):
+    for found in (lk.profiles(people, PEOPLE, "person_id").localCheckpoint(), crowd):
+        known = lk.known_spellings(found, PEOPLE)
+        every = predict(found, PEOPLE, GIVEN, 0.5).select("profile_id_l", "profile_id_r", "match_key", F.round("match_probability", 9).alias("p")).localCheckpoint()
+        for threshold, below in ((0.5, None), (0.5, 0.98)):
+            found_now = predict(found, PEOPLE, GIVEN, threshold, known=known, below=below).select(*every.columns[:3], F.round("match_probability", 9).alias("p"))
+            assert rows(found_now) == rows(every if below is None else every.where(F.col("p") < below))
+            plan = found_now._jdf.queryExecution().executedPlan().toString()
+            assert "jaro" not in plan and not [line for line in plan.splitlines() if "Exchange" in line and "profile_id_l" in line]
+
+
 def test_pairs_are_levelled_where_they_are_formed(spark, people):
     found = lk.profiles(people, PEOPLE, "person_id").localCheckpoint()
     plan = lk.block_pairs(found, PEOPLE)._jdf.queryExecution().executedPlan().toString()
