@@ -368,6 +368,25 @@ def test_patterns_pair_values_not_profiles(spark, monkeypatch):
     assert sum(p.count() for p in compared) == 6
 
 
+@pytest.mark.parametrize("direct", [4096, 12])
+def test_patterns_are_counted_where_blocks_meet(spark, crowd, monkeypatch, direct):
+    """With known spellings a profile is sent once and no pair of values is; ids may repeat or be missing, larger blocks are counted as before."""
+    from civiclake.operators.linkage import pairs
+
+    monkeypatch.setattr(pairs, "DIRECT_BLOCK", direct)
+    twice = crowd.withColumn("copies", F.lit(3_000_000_000) + F.length("profile_id")).localCheckpoint()
+    unnamed = twice.withColumn("profile_id", F.lit(None).cast("string"))
+    for rule in PEOPLE.rules[::2]:
+        known = lk.known_spellings(twice, lk.Linkage(tuple(PEOPLE.outside(rule)), (rule,)))
+        want = rows(pattern_counts(twice, PEOPLE, rule))
+        assert rows(pattern_counts(twice, PEOPLE, rule, known=known)) == want
+        if direct == 4096:
+            counts = pattern_counts(unnamed, PEOPLE, rule, known=known)
+            assert rows(counts) == want
+            plan = counts._jdf.queryExecution().executedPlan().toString()
+            assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(gamma" not in line and "Exchange" in line and "copies_l" in line]
+
+
 def test_digests_agree_only_when_equal(spark):
     df = spark.createDataFrame([("a" * 63 + "b", "a" * 63 + "c"), ("x", "x"), (None, "x")], "v_l string, v_r string")
     c = lk.Comparison("v", "jaro_winkler", (0.95, 0.88), digest=True)
