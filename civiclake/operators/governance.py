@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FractionalType, MapType, NumericType, StructType
+from pyspark.sql.types import ArrayType, DatetimeType, FractionalType, MapType, NumericType, StructType
 
 from civiclake.functions.text import contains_folded, pseudonym
 
@@ -73,14 +73,17 @@ def partial_profiles(df: DataFrame, by: Column, columns: Sequence[str] | None =
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     chosen = [f.name for f in fields]
     numeric = {f.name for f in fields if isinstance(f.dataType, NumericType)}
-    text = {c: F.col(c).cast("string") for c in chosen}
+    # Three aggregates read each text; as columns of their own they are made once.
+    made = df.select(by.alias("part"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(chosen)],
+                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(chosen) if c in numeric])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(chosen):
-        aggs += [F.count(c).alias(f"n{i}"), F.min(text[c]).alias(f"a{i}"), F.max(text[c]).alias(f"b{i}"), F.hll_sketch_agg(text[c], F.lit(SKETCH_BITS)).alias(f"s{i}"),
-                 (F.kll_sketch_agg_double(F.col(c).cast("double")) if c in numeric else F.lit(None).cast("binary")).alias(f"q{i}")]
+        text = F.col(f"t{i}")
+        aggs += [F.count(text).alias(f"n{i}"), F.min(text).alias(f"a{i}"), F.max(text).alias(f"b{i}"), F.hll_sketch_agg(text, F.lit(SKETCH_BITS)).alias(f"s{i}"),
+                 (F.kll_sketch_agg_double(f"x{i}") if c in numeric else F.lit(None).cast("binary")).alias(f"q{i}")]
     cells = [F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"), F.col(f"n{i}").alias("n_values"), F.col(f"a{i}").alias("least"),
                       F.col(f"b{i}").alias("greatest"), F.col(f"s{i}").alias("sketch"), F.when(F.col(f"n{i}") > 0, F.col(f"q{i}")).alias("quantiles")) for i, c in enumerate(chosen)]
-    return df.groupBy(by.alias("part")).agg(*aggs).select("part", F.inline(F.array(*cells)))
+    return made.groupBy("part").agg(*aggs).select("part", F.inline(F.array(*cells)))
 
 
 def merged_profile(parts: DataFrame) -> DataFrame:
@@ -96,12 +99,15 @@ def merged_profile(parts: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, n_distinct``, exact: values are made distinct where they lie before any of them is sent, long ones as digests."""
-    chosen = [f.name for f in df.schema.fields if columns is None or f.name in columns]
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    made = df.select(*[F.col(f.name).cast("string").alias(f"t{i}") for i, f in enumerate(fields)])
     digest = lambda c: F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), digest(F.col(c).cast("string")).alias("value")) for c in chosen])
-    distinct = df.select(F.inline(cells)).where("value is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    names = df.sparkSession.createDataFrame([(c,) for c in chosen], "column_name string")
-    return names.join(distinct, "column_name", "left").na.fill(0, ["n_distinct"])
+    # Numbers and times are never that long; a number stands for the column's name in what is sent.
+    short = [isinstance(f.dataType, (NumericType, DatetimeType)) for f in fields]
+    cells = F.array(*[F.struct(F.lit(i).alias("which"), (F.col(f"t{i}") if short[i] else digest(F.col(f"t{i}"))).alias("value")) for i in range(len(fields))])
+    distinct = made.select(F.inline(cells)).where("value is not null").distinct().groupBy("which").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "which int, column_name string")
+    return names.join(distinct, "which", "left").na.fill(0, ["n_distinct"]).select("column_name", "n_distinct")
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "none") -> DataFrame:

@@ -326,3 +326,17 @@ def test_drift_of_single_records(spark):
         ("ok", [], [], []), ("ok", [], [], []), ("drifted", ["a"], [], []), ("drifted", [], ["c", "z"], ["a"]),
         ("unreadable", None, None, None), ("unreadable", None, None, None), ("drifted", [], [], ["a"])]
     assert rows(accepted(got, "line", expected)) == sorted([(1, "x"), (None, "x")], key=repr)
+
+
+def test_distinct_counts_digest_only_what_may_be_long(spark):
+    from civiclake.operators import governance
+
+    df = spark.sql("""select id, if(id % 5 = 0, null, id % 4) as few, cast(id % 6 as double) / 3 as part, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, id % 7) as at,
+                      repeat(if(id % 2 = 0, 'x', 'y'), 100 + id % 3) as long_text, array(id % 9, 1) as items from range(200)""")
+    short = ["id", "few", "part", "at"]
+    got = {r["column_name"]: r["n_distinct"] for r in governance.distinct_counts(df).collect()}
+    assert got == {"id": 200, "few": 4, "part": 6, "at": 7, "long_text": 6, "items": 9}
+    plan = governance.distinct_counts(df.select(*short))._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "sha2" in governance.distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
+    profiles = governance.partial_profiles(df.select("at"), F.lit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert profiles.count(" as string)") == 1
