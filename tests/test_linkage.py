@@ -428,3 +428,40 @@ def test_spellings_and_birth_dates_of_all_systems_are_compared(spark):
     names = {r[0] for r in QUERIES["persons_union"](spark, sf).select("forename").distinct().collect() if r[0]}
     want = sorted((a, b) for a, b in itertools.combinations(sorted(names), 2) if jaro_winkler_pair(a, b) >= 0.70)
     assert rows(QUERIES["link_jw_levels_all"](spark, sf).select("value_l", "value_r")) == want
+
+
+def test_deletions_that_meet_other_edits_form_no_pairs(spark):
+    from civiclake.operators.linkage import values
+
+    letters = "abcdefghij"
+    words = ["".join(w) for n in (2, 3) for w in itertools.product(letters, repeat=n)]
+    rows_ = spark.createDataFrame([(w, 1) for w in words], "v string, n long")
+    con = duckdb.connect()
+    pairs = "(select unnest(?) as a) x, (select unnest(?) as b) y where levenshtein(a, b) = 2"
+    want = con.execute(f"select count(*) from {pairs} and length(a) = 2 and length(b) = 3", [words, words]).fetchone()[0]
+    found = values._shortened_and_changed(rows_)
+    assert int(found.agg(F.sum("pairs")).collect()[0][0]) == want
+    assert found.count() < want  # sums by what is forbidden, not a row a pair and shared key
+    same = con.execute(f"select count(*) from {pairs} and length(a) = length(b) and a < b and list_sum([(a[i] <> b[i])::int for i in range(1, 4)]) > 2", [words, words]).fetchone()[0]
+    assert int(values._shifted(rows_).agg(F.sum("pairs")).collect()[0][0]) == same > 0
+
+
+def test_profiles_are_grouped_once(spark, people):
+    plan = lk.profiles(people, PEOPLE, "person_id")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "postcode" in line for line in plan.splitlines()) == 1
+
+
+def test_few_spellings_are_all_compared(spark, people, monkeypatch):
+    from civiclake.operators.linkage import pairs
+
+    found = lk.profiles(people, PEOPLE, "person_id").localCheckpoint()
+    some = {c: set(rows(df)) for c, df in lk.known_spellings(found, PEOPLE).items()}
+    monkeypatch.setattr(pairs, "_meeting", None)  # not asked for
+    assert {c: set(rows(df)) for c, df in lk.known_spellings(found, PEOPLE).items()} == some
+    names = [r[0] for r in found.select("forename").dropna().distinct().collect()]
+    want = {(a, b) for a, b in itertools.permutations(names, 2) if jaro_winkler_pair(a, b) >= 0.70}
+    assert {r[:2] for r in some["forename"]} == want
+    monkeypatch.undo()
+    monkeypatch.setattr(pairs, "FEW_VALUES", 0)
+    for c, df in lk.known_spellings(found, PEOPLE).items():
+        assert set(rows(df)) <= some[c]
