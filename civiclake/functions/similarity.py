@@ -151,41 +151,96 @@ def _least_common(threshold: float) -> list[float]:
     return [3 * (max(BOOST_ABOVE, (threshold - c) / (1 - c)) if c and threshold > BOOST_ABOVE else threshold) - 1 for c in credit]
 
 
-def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length, characters by class and first characters of each text."""
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Length, characters by class, first characters and the first ``WORD`` characters' classes (``CLASSES`` beyond its end) of each text."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     lengths = np.array([len(c) for c in codes], np.int64)
     counts = np.array([np.bincount(c % CLASSES, minlength=CLASSES) for c in codes], np.int64).reshape(-1, CLASSES)
     heads = np.array([[*c[:PREFIX_LENGTH], *[-1] * (PREFIX_LENGTH - len(c))] for c in codes], np.int64).reshape(-1, PREFIX_LENGTH)
-    return lengths, counts.astype(np.uint8 if lengths.max(initial=0) < 256 else np.uint32), heads
+    classes = np.full((len(codes), WORD), CLASSES, np.uint8)
+    for row, c in zip(classes, codes):
+        row[:len(c)] = c[:WORD] % CLASSES
+    return lengths, counts.astype(np.uint8 if lengths.max(initial=0) < 256 else np.uint32), heads, classes
+
+
+def _places(classes: np.ndarray) -> np.ndarray:
+    """For each text and class the positions that hold it, as the bits of one number; none for what is beyond an end."""
+    at = np.zeros((len(classes), CLASSES + 1), np.uint64)
+    each = np.arange(len(classes))
+    for k in range(WORD):
+        at[each, classes[:, k]] |= _BIT[k]
+    at[:, CLASSES] = 0
+    return at
+
+
+def _in_order(left: np.ndarray, places: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of classes of each ``left[i]`` and the text behind ``places[j]``, by bits (Hyyroe 2004)."""
+    flat, width = places.ravel(), places.shape[1]
+    most = np.empty(len(i), np.int64)
+    for k in range(0, len(i), 1 << 13):
+        some = slice(k, k + (1 << 13))
+        letters, base = np.ascontiguousarray(left[i[some]].T), j[some] * width
+        free = np.full(len(base), ~np.uint64(0))
+        for letter in letters:
+            met = free & flat[base + letter]
+            free = (free + met) | (free - met)
+        most[some] = np.bitwise_count(~free)
+    return most
+
+
+def _least_counts(need: float, lengths: np.ndarray, others: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """For texts of each length against each other one, the least m of m / p + m / q >= ``need``, as a number of the given kind."""
+    share = np.divide(1, lengths, out=np.zeros(len(lengths)), where=lengths > 0)[:, None] + np.divide(1, others, out=np.zeros(len(others)), where=others > 0)
+    least = np.divide(need, share, out=np.full(share.shape, np.inf if need > 0 else 0.0), where=share > 0)
+    return np.clip(np.ceil(least - 1e-9), 0, np.iinfo(dtype).max).astype(dtype)
 
 
 def similar_among(left: list[str], right: list[str] | None, threshold: float, strip: int = 256) -> list[tuple[int, int]]:
     """Places ``(i, j)`` of the pairs whose Jaro-Winkler similarity reaches ``threshold``; without ``right``, pairs i < j of ``left``.
 
-    Only pairs with enough characters in common, counted for a strip of ``left`` against all of ``right`` at once, are compared.
+    Only pairs with enough characters in common, counted for a strip of ``left`` against all of ``right`` at once, are compared, and of these
+    only the ones with enough in the same order: common characters that are not moved are a common subsequence. With m common ones of which at most
+    e are in order, the best is at the most m there are or at m = e + 1, since m / p + m / q + e / (2 m) has no peak between.
     """
     needs = _least_common(threshold)
-    la, a, head_a = _counted(left)
-    lb, b, head_b = (la, a, head_a) if right is None else _counted(right)
+    la, a, head_a, letters = _counted(left)
+    lb, b, head_b, other_letters = (la, a, head_a, letters) if right is None else _counted(right)
+    places = _places(other_letters)
     other = left if right is None else right
-    shares = [np.divide(1, n, out=np.zeros(len(n)), where=n > 0).astype(np.float32) for n in (la, lb)]
+    shares = [np.divide(1, n, out=np.zeros(len(n)), where=n > 0) for n in (la, lb)]
     used = np.flatnonzero(a.any(0) & b.any(0))
     wide = np.promote_types(a.dtype, b.dtype)
     columns = [np.ascontiguousarray(b[:, k]) for k in used]
+    kinds, kind = np.unique(la, return_inverse=True)
+    least_common = [_least_counts(need - 1e-4, kinds, lb, wide) for need in (needs[0], needs[1], needs[-1])]
+    starts = [np.ascontiguousarray(side[:, :2].T) for side in (letters, other_letters)]
+    held = np.empty((2, min(strip, len(left)), len(other)), wide)  # small numbers in the same memory, the costliest part of all
     found = []
     for at in range(0, len(left), strip):
         some = slice(at, at + strip)
-        common = np.zeros((len(la[some]), len(other)), wide)
+        common, less = held[:, :len(la[some])]
+        common[:] = 0
         for k, column in zip(used, columns):
-            common += np.minimum(a[some, k, None], column)
-        most = common * (shares[0][some, None] + shares[1]) + np.float32(1e-4)
-        i, j = np.nonzero((most >= needs[0]) | ((most >= needs[-1]) & (head_a[some, :1] == head_b[:, 0])))
-        equal = np.cumprod((head_a[some][i] == head_b[j]) & (head_b[j] >= 0), axis=1).sum(1)
-        hopeful = most[i, j] >= np.array(needs)[equal]
-        i, j = i[hopeful] + at, j[hopeful]
+            common += np.minimum(a[some, k, None], column, out=less)
+        bounds = [least[kind[some]] if len(kinds) > 1 else least for least in least_common]
+        begun = starts[0][0, some, None] == starts[1][0]
+        close = (common >= bounds[1]) & begun
+        begun &= starts[0][1, some, None] == starts[1][1]
+        close |= (common >= bounds[2]) & begun
+        close |= common >= bounds[0]
+        i, j = np.divmod(np.flatnonzero(close), len(other))
         if right is None:
-            i, j = i[i < j], j[i < j]
+            i, j = i[i + at < j], j[i + at < j]
+        equal = np.cumprod((head_a[some][i] == head_b[j]) & (head_b[j] >= 0), axis=1).sum(1)
+        least = np.array(needs)[equal]
+        share = shares[0][i + at] + shares[1][j]
+        m = np.maximum(common[i, j], 1).astype(np.float64)
+        hopeful = m * share + 1e-4 >= least
+        i, j, least, share, m = i[hopeful] + at, j[hopeful], least[hopeful], share[hopeful], m[hopeful]
+        ordered = np.minimum(_in_order(letters, places, i, j) + 1, m)
+        best = np.maximum(m * share - (1 - ordered / m) / 2, ordered * share) + 1e-4
+        hopeful = (best >= least) | (la[i] > WORD) | (lb[j] > WORD)
+        i, j = i[hopeful], j[hopeful]
         for k in range(0, len(i), 2048):
             x, y = i[k:k + 2048].tolist(), j[k:k + 2048].tolist()
             near = jaro_winkler_many([left[n] for n in x], [other[n] for n in y]) >= threshold

@@ -105,7 +105,7 @@ def near_texts(rows: DataFrame, keys: Sequence[str], column: str, threshold: flo
     """``keys, <column>_l, <column>_r``: different texts of a group whose Jaro-Winkler similarity reaches ``threshold``, each pair once.
 
     A group's texts are cut into parts of about ``chunk``, and each pair of parts is compared on its own by the characters they have in
-    common. That is every pair still, at some nanoseconds each.
+    common. That is every pair still, at some nanoseconds each. The number of partitions is fixed: the bytes of a cell say little of its pairs.
     """
     held = [*keys] or ["_all"]
     texts = (rows if keys else rows.withColumn("_all", F.lit(0))).select(*held, column).dropna().distinct()
@@ -114,7 +114,8 @@ def near_texts(rows: DataFrame, keys: Sequence[str], column: str, threshold: flo
     part = F.pmod(F.xxhash64(column), F.col("_parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.struct(F.least("_part", k).alias("_i"), F.greatest("_part", k).alias("_j")))
     placed = cut.withColumn("_part", part).select(*held, column, "_part", F.inline(cells))
-    return similar_in_cells(placed, held, column, threshold).select(*keys, f"{column}_l", f"{column}_r")
+    dealt = placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *held, "_i", "_j")
+    return similar_in_cells(dealt, held, column, threshold).select(*keys, f"{column}_l", f"{column}_r")
 
 
 def pairs_by_values(rows: DataFrame, near: DataFrame, rule: Sequence[str], column: str) -> DataFrame:

@@ -465,3 +465,19 @@ def test_few_spellings_are_all_compared(spark, people, monkeypatch):
     monkeypatch.setattr(pairs, "FEW_VALUES", 0)
     for c, df in lk.known_spellings(found, PEOPLE).items():
         assert set(rows(df)) <= some[c]
+
+
+def test_digests_are_compared_only_with_enough_in_order(monkeypatch):
+    from civiclake.functions import similarity
+
+    rng = random.Random(15)
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(700)]
+    digests += [near_digest(rng, d, k) for k in (2, 6) for d in digests[:20]] + [d[9:] + d[:9] for d in digests[:20]] + [d[:40] for d in digests[:20]]
+    compared = []
+    each = similarity.jaro_winkler_many
+    monkeypatch.setattr(similarity, "jaro_winkler_many", lambda a, b: compared.extend(a) or each(a, b))
+    got = similarity.similar_among(digests, None, 0.88)
+    every = list(itertools.combinations(range(len(digests)), 2))
+    scores = each([digests[i] for i, _ in every], [digests[j] for _, j in every])
+    assert set(got) == {pair for pair, score in zip(every, scores) if score >= 0.88} and len(got) >= 40
+    assert len(compared) < len(every) / 1000  # by the characters in common alone, about one in forty
